@@ -93,9 +93,13 @@ def _feistel(digits: Column, salt: Column) -> Column:
 def _ip(canon: Column, salt: Column) -> Column:
     parts = F.transform(F.split(canon, r"\."), lambda x: x.cast("long"))
     state = let(parts, lambda p: F.struct((p[0] * 256 + p[1]).alias("a"), (p[2] * 256 + p[3]).alias("b")))
+
+    def step(r: int):
+        return lambda p: F.struct(p.b.alias("a"), F.pmod(p.a + F.pmod(_number(salt, F.lit(str(r)), p.b.cast("string")), F.lit(65536)), F.lit(65536)).alias("b"))
+
     for r in range(4):
-        state = let(state, lambda p, r=r: F.struct(p.b.alias("a"), F.pmod(p.a + F.pmod(_number(salt, F.lit(str(r)), p.b.cast("string")), F.lit(65536)), F.lit(65536)).alias("b")))
-    return let(state, lambda p: F.concat_ws(".", *[x.cast("string") for x in (F.expr("0") + F.floor(p.a / 256), F.pmod(p.a, F.lit(256)), F.floor(p.b / 256), F.pmod(p.b, F.lit(256)))]))
+        state = let(state, step(r))
+    return let(state, lambda p: F.concat_ws(".", *[x.cast("string") for x in (F.floor(p.a / 256), F.pmod(p.a, F.lit(256)), F.floor(p.b / 256), F.pmod(p.b, F.lit(256)))]))
 
 
 def luhn_sum(digits: Column) -> Column:

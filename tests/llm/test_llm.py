@@ -406,6 +406,7 @@ def test_pii_exceptions_reach_the_text(spark, monkeypatch):
     real = spark.createDataFrame([("ipv4", "1.2.3.4", 1)], "kind string, canon string, draw int")
     docs = spark.createDataFrame([(1, "at 1.2.3.4 now"), (2, "at 1.2.3.5 now"), (3, None)], "doc_id long, text string")
     plain = {r.doc_id: r.text for r in pii.replace(docs).collect()}
+    assert plain == {r.doc_id: r.text for r in pii.replace(docs).collect()}
     monkeypatch.setattr(pii, "exceptions", lambda *a: real)
     moved = {r.doc_id: r.text for r in pii.replace(docs).collect()}
     assert plain[2] == moved[2] and plain[1] != moved[1] and plain[3] is moved[3] is None
