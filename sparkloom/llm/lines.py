@@ -81,7 +81,8 @@ def _windows(active: DataFrame, min_words: int) -> DataFrame:
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(s, i): the lines, by place in the split text, that lie in a later copy of a repeated run."""
     lines = common.save(_lines(docs).distinct(), "lines")
-    twice = lines.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    # Saved before its join: AQE can split a hot line's rows only where both sides are plain shuffles.
+    twice = common.save(lines.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "lines-twice")
     place = F.row_number().over(Window.partitionBy("s").orderBy("i")) - 1
     active = common.save(lines.withColumn("j", place).join(twice, "id", "left_semi"), "lines-active")
     rounds = max(0, min_words.bit_length() - 1)
@@ -92,6 +93,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wins = wins.withColumn("j2", F.expr("j + n - cast(shiftleft(1, k) as int)"))
     wins = common.save(wins.join(left, ["k", "s", "j"]).join(right, ["k", "s", "j2"]).select("d", "s", "j", "n", "r1", "r2"), "lines-windows")
     first = wins.groupBy("n", "r1", "r2").agg(F.count("*").alias("c"), F.min(F.struct("d", "s", "j")).alias("f")).where("c > 1")
+    first = common.save(first, "lines-first")
     late = wins.alias("w").join(first.alias("f"), ["n", "r1", "r2"]).where(F.struct("w.d", "w.s", "w.j") > F.col("f.f"))
     gone = late.select("s", F.explode(F.sequence("j", F.col("j") + F.col("n") - 1)).alias("j")).distinct()
     return gone.join(active.select("s", "j", "i"), ["s", "j"]).select("s", "i")
@@ -113,7 +115,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = common.save(spans(later_copies(docs, min_words)), "lines-spans")
     docs = docs.drop("removed_spans", "n_removed")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), F.xxhash64("doc_id", F.xxhash64("text")).alias("s"))
-    out = packed.join(found, "s", "left")
+    # One plan at every size: spans grow with the corpus, so they are hashed by partition and never broadcast; texts are not sorted.
+    out = packed.join(found.hint("shuffle_hash"), "s", "left")
 
     def kept(ss):
         lines = F.split(F.col("r.text"), "\n", -1)
