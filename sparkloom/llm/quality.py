@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import let
 
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 SYMBOLS = "#*$%&|<>"
 
 
@@ -34,8 +34,11 @@ def _repeated(words: Column) -> Column:
     none = F.lit(0).cast("long")
 
     def windows(w: Column) -> Column:
-        pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, F.lit(" "), b))
-        return let(pairs, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(w, 3, F.size(p) - 1), lambda a, b: F.xxhash64(a, b)))
+        def of(h: Column) -> Column:
+            pairs = F.zip_with(F.slice(h, 1, F.size(h) - 2), F.slice(h, 2, F.size(h) - 2), lambda a, b: F.xxhash64(a, b))
+            return F.zip_with(pairs, F.slice(h, 3, F.size(h) - 2), lambda a, b: F.xxhash64(a, b))
+
+        return let(F.transform(w, lambda x: F.xxhash64(x)), of)
 
     def covered(g: Column) -> Column:
         placed = F.zip_with(g, F.sequence(F.lit(0), F.size(g) - 1), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
@@ -54,14 +57,20 @@ def _repeated(words: Column) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with q_words, q_word_chars, q_symbols, q_dup_lines, q_lines and q_repeat_words (long); a null text has none of all."""
+    """docs with the columns NAMES (long) added or replaced; a null text has no words, symbols or lines."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.char_length(F.translate(x, common.SPACE_CHARS, "")) > 0)
     stats = let(common.words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("r")))
     line_stats = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
-    made = docs.withColumns({"q_stats": stats, "q_line_stats": line_stats, "q_word_chars": (F.char_length(t) - _chars_in(t, common.SPACE_CHARS)).cast("long"), "q_symbols": _chars_in(t, SYMBOLS)})
-    return made.withColumns({"q_words": F.col("q_stats.n"), "q_repeat_words": F.col("q_stats.r"), "q_lines": F.col("q_line_stats.n"), "q_dup_lines": F.col("q_line_stats.d")}).drop("q_stats", "q_line_stats")
+    row = F.struct(
+        stats.alias("s"), line_stats.alias("l"), (F.char_length(t) - _chars_in(t, common.SPACE_CHARS)).cast("long").alias("q_word_chars"), _chars_in(t, SYMBOLS).alias("q_symbols"),
+    )
+    # A generator of one row: what reads the features cannot be pushed below it, so each text is scanned once.
+    made = docs.drop(*NAMES).select("*", F.explode(F.array(row)).alias("q_row"))
+    return made.withColumns({"q_words": F.col("q_row.s.n"), "q_word_chars": F.col("q_row.q_word_chars"), "q_symbols": F.col("q_row.q_symbols"), "q_dup_lines": F.col("q_row.l.d"), "q_lines": F.col("q_row.l.n"), "q_repeat_words": F.col("q_row.s.r")}).drop("q_row")
+
 
+NAMES = ("q_row", "q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_lines", "q_repeat_words")
 
 # The two base rules, then lenient limits that only plain junk passes.
 BASE = {
@@ -87,7 +96,7 @@ def order(sample: DataFrame, rules: dict[str, str]) -> list[str]:
     return sorted(rules, key=lambda k: (-rate[k], k))
 
 
-def cascade(featured: DataFrame, rules: dict[str, str], names: list[str]) -> Column:
+def cascade(rules: dict[str, str], names: list[str]) -> Column:
     """Name of the first failing rule in the given order, null for rows that pass all."""
     return F.coalesce(*[F.when(F.expr(rules[k]), F.lit(k)) for k in names], F.lit(None).cast("string"))
 
@@ -99,9 +108,9 @@ def judge(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
     alike. Empty input gives no rows.
     """
     sample = features(docs.select(text).limit(sample_rows), text)
-    first, then = order(sample, BASE), order(sample, RULES)
+    rules = {**BASE, **RULES}
     made = features(docs, text)
-    failed = cascade(made, {**BASE, **RULES}, first + then)
+    failed = cascade(rules, order(sample, rules))
     base = reduce(lambda a, b: a | b, [F.expr(x) for x in BASE.values()])
     return made.withColumns({"base_failed": base, "rejected_by": failed}).withColumn("kept", F.col("rejected_by").isNull())
 
