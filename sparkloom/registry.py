@@ -1,6 +1,445 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the engine's operators, by their number in the survey, and the same results in SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .operators import aggregates as A
+from .operators import filters as P
+from .operators import graph as G
+from .operators import history as H
+from .operators import joins as J
+from .plans.projection import Tables, oracle
+from .sources import html, text
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None):
+    """Register a function of Tables under an operator's number; sql may use the projection's CTEs."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[name] = oracle(sql)
+        return f
+
+    return add
+
+
+QUARANTINE = """(coalesce(metadata_json, '') like '%"bsg.noise":true%' or coalesce(metadata_json, '') like '%"bsg.quarantined":true%')"""
+TEST_PATH = r"regexp_matches(regexp_extract(lower(file_path), '[^/]*$'), '(^test_.+|.+_test|.+\.test|.+\.spec)\.[^.]+$')"
+
+
+@query("O-01", "select relation_type, count(*) as n, count(distinct source_id) as sources from rels group by relation_type")
+def scan(t: Tables) -> DataFrame:
+    return t.rels().groupBy("relation_type").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))
+
+
+@query("O-02", "select entity_id, start_line from entities where file_path = 'src/asia/china.py'")
+def slice_of_file(t):
+    return t.entities().where("file_path = 'src/asia/china.py'").select("entity_id", "start_line")
+
+
+@query("O-07", "select regexp_extract(file_path, '[^.]*$') as language, count(*) as n from files group by 1")
+def by_language(t):
+    return A.count_by(t.files().withColumn("language", F.substring_index("file_path", ".", -1)), "language")
+
+
+@query("O-10", "select page_id, lower(u.tag) as tag, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)\\b[^>]*>', 1)) as tag from pages) u group by 1, 2")
+def html_elements(t):
+    return A.count_by(html.elements(t.raw("pages")), "page_id", "tag")
+
+
+@query("O-10-links", "select page_id, href, case when regexp_matches(href, '^(https?:)?//') then 'LINKS_TO' else 'LOCAL' end as kind from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages)")
+def html_links(t):
+    return html.links(t.raw("pages"))
+
+
+@query("O-12", """with m as (select event_id, props::json as j from events where props is not null), k as (select event_id, unnest(json_keys(j)) as key, j from m)
+select event_id, 'document' as path, 'DOCUMENT' as entity_type, null as value from m union all select event_id, 'root', 'SECTION', len(json_keys(j))::varchar from m
+union all select event_id, 'root.' || key, 'SETTING', j ->> key from k""")
+def json_source(t):
+    return text.json_settings(t.raw("events"), "event_id", "props")
+
+
+@query("O-30", f"select entity_id, start_line from entities where entity_type in ('CLASS', 'FUNCTION') and regexp_matches(name, '00[1-3]') and not starts_with(entity_id, 'unresolved:') and not {QUARANTINE} order by file_path, entity_id limit 50 offset 10")
+def graph_query(t):
+    e = t.entities().where(F.col("entity_type").isin("CLASS", "FUNCTION") & P.name_matches("00[1-3]") & ~P.is_stub("entity_id") & ~P.quarantined())
+    return e.orderBy("file_path", "entity_id").offset(10).limit(50).select("entity_id", "start_line")
+
+
+@query("O-32", "select entity_type, count(*) as n from entities where contains(name, '[1') group by 1")
+def literal_fallback(t):
+    return A.count_by(t.entities().where(P.name_matches("[1")), "entity_type")
+
+
+@query("O-33", "select count(*) as n from rels where not starts_with(target_id, 'unresolved:')")
+def not_stub(t):
+    return t.rels().where(~P.is_stub("target_id")).agg(F.count("*").alias("n"))
+
+
+@query("O-34", f"select entity_type, count(*) as n from entities where {QUARANTINE} group by 1")
+def quarantine(t):
+    return A.count_by(t.entities().where(P.quarantined()), "entity_type")
+
+
+@query("O-35", "select relation_type, count(*) as n from rels where coalesce(roles, 0) & 132 != 0 group by 1")
+def role_mask(t):
+    return A.count_by(t.rels().where(P.has_role("WriteAccess", "heuristic")), "relation_type")
+
+
+@query("O-36", "select relation_type, count(*) as n from rels where coalesce(confidence, 1.0::float) >= 0.9::float group by 1")
+def least_confidence(t):
+    return A.count_by(t.rels().where(P.confident(0.9)), "relation_type")
+
+
+@query("O-38", "select case when relation_type = 'CONTAINED_WITHIN' then target_id else source_id end as source_id, case when relation_type = 'CONTAINED_WITHIN' then source_id else target_id end as target_id, case when relation_type = 'CONTAINED_WITHIN' then 'CONTAINS' else relation_type end as relation_type, relation_type = 'CONTAINED_WITHIN' as reversed from rels")
+def forward_edges(t):
+    return P.forward(t.rels()).select("source_id", "target_id", "relation_type", "reversed")
+
+
+@query("O-40", "select relation_type, count(*) as n from rels where relation_type in ('CALLS', 'IMPORTS', 'READS', 'WRITES', 'CONTAINS') group by 1")
+def traversable(t):
+    return A.count_by(t.rels().where(F.col("relation_type").isin(*P.PRIORITY)), "relation_type")
+
+
+@query("O-42", f"select case when {TEST_PATH} then 'TEST' else 'SOURCE' end as category, count(*) as n from files group by 1")
+def path_category(t):
+    return A.count_by(t.files().withColumn("category", P.category()), "category")
+
+
+@query("O-43", "select file_path from files where file_path like 'src/%/i%.py' or file_path like 'lib/%/brand_1%.ts'")
+def glob_files(t):
+    return t.files().where(P.glob("src/**/i*.py") | P.glob("lib/*/Brand_1*.ts")).select("file_path")
+
+
+@query("O-45", """select entity_type, count(*) as n from (select entity_type, metadata_json ->> '$."bsg.domain"' as d, metadata_json ->> '$.segment' as s from entities)
+where (d is null or d not in ('ASIA', 'EUROPE')) and (s is null or length(s) > 8) group by 1""")
+def metadata(t):
+    d, s = F.get_json_object("metadata_json", "$['bsg.domain']"), F.get_json_object("metadata_json", "$.segment")
+    ok = P.metadata_predicate(d, "not_in", ["ASIA", "EUROPE"]) & (P.metadata_predicate(s, "length_gt", 8) | ~P.metadata_predicate(s, "exists"))
+    return A.count_by(t.entities().where(ok), "entity_type")
+
+
+@query("O-54", "select doc_id, (length(text) // 4)::bigint as tokens from documents")
+def token_estimate(t):
+    return t.raw("documents").select("doc_id", P.tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+@query("O-60", "select source_id, file_path from (select 'c:' || c_custkey as source_id, c_nationkey from customer) join nations on file_id = c_nationkey")
+def with_path(t):
+    c = t.raw("customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("source_id"), F.col("c_nationkey").cast("long").alias("file_id"))
+    return c.join(t.nations(), "file_id", "left").select("source_id", "file_path")
+
+
+@query("O-62", "select source_id, count(*) as n, string_agg(distinct target_id, ',' order by target_id) as targets from rels where relation_type in ('READS', 'WRITES') group by 1")
+def adjacency(t):
+    r = t.rels().where("relation_type in ('READS', 'WRITES')")
+    return r.groupBy("source_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("target_id")), ",").alias("targets"))
+
+
+@query("O-64", "select source_id, target_id, relation_type, count(*) as n from rels where source_id in (select 'c:' || c_custkey from customer where c_custkey % 50 = 0) or target_id in (select 'c:' || c_custkey from customer where c_custkey % 50 = 0) group by 1, 2, 3")
+def incident_edges(t):
+    ids = t.raw("customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return A.count_by(J.incident(t.rels(), ids), "source_id", "target_id", "relation_type")
+
+
+@query("O-65", "select distinct 'p:' || p_partkey as id from part where 'p:' || p_partkey in (select target_id from rels where roles & 128 != 0)")
+def role_semi_join(t):
+    parts = t.raw("part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
+    return parts.join(t.rels().where(P.has_role("heuristic")).select(F.col("target_id").alias("id")), "id", "left_semi")
+
+
+@query("O-69", """with refs as (select distinct n_name || '.' || s_name || '.run' as ref, n_name from supplier join nations on s_nationkey = file_id), mods as (select n_name as module from nations union select n_name || '.' || s_name from supplier join nations on s_nationkey = file_id where s_suppkey % 2 = 0)
+select ref, arg_max(module, length(module)) as module from refs left join mods on starts_with(ref, module || '.') group by ref""")
+def dotted_prefix(t):
+    s = t.raw("supplier").join(F.broadcast(t.nations()), F.col("s_nationkey") == F.col("file_id"))
+    refs = s.select(F.concat_ws(".", "n_name", "s_name", F.lit("run")).alias("ref")).distinct()
+    mods = t.nations().select(F.col("n_name").alias("module")).union(s.where("s_suppkey % 2 = 0").select(F.concat_ws(".", "n_name", "s_name")))
+    return J.longest_prefix(refs, mods, "ref", "module")
+
+
+@query("O-70", """with m as (select distinct regexp_extract(file_path, '[^/]*$') as mention from files), x as (select mention, file_path from m join files on file_path = mention or ends_with(file_path, '/' || mention))
+select mention, min(file_path) as file_path from x group by mention having count(*) = 1""")
+def suffix_join(t):
+    f = t.files().select("file_path")
+    return J.unique_suffix(f.select(F.substring_index("file_path", "/", -1).alias("mention")), f, "mention", "file_path")
+
+
+@query("O-71", """with c as (select distinct p_name as name, file_path as there from part_paths), r as (select distinct p_name as name, 'lib/' || lower(p_type) || '/x.ts' as here from part where p_partkey % 5 = 0),
+s as (select *, len(list_filter(range(1, 3), lambda i: list_slice(string_split(here, '/'), 1, i) = list_slice(string_split(there, '/'), 1, i))) as shared from r join c using (name))
+select name, here, there, shared::int as shared from s qualify row_number() over (partition by name, here order by shared desc, there) = 1""")
+def proximity(t):
+    p = t.part_paths()
+    refs = p.where("p_partkey % 5 = 0").select(F.col("p_name").alias("name"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/x.ts")).alias("here")).distinct()
+    return J.nearest_path(refs, p.select(F.col("p_name").alias("name"), F.col("file_path").alias("there")).distinct(), "name", "here", "there").select("name", "here", "there", F.col("shared").cast("int").alias("shared"))
+
+
+@query("O-73", """with t as (select p_partkey, unnest(list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+'))) as token from part where p_partkey <= 300),
+p as (select a.p_partkey as l, b.p_partkey as r, count(*) as shared from t a join t b using (token) where a.p_partkey % 2 = 0 and b.p_partkey % 2 = 1 group by 1, 2 having count(*) >= 2)
+select l, r, shared from p qualify row_number() over (partition by l order by shared desc, r) <= 3""")
+def overlap_join(t):
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lit("[a-z0-9]+"), F.lit(0)))
+    x = t.raw("part").where("p_partkey <= 300").select("p_partkey", F.explode(words).alias("token"))
+    return J.token_overlap(x.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l"), "token"), x.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("r"), "token"), "l", "r", 2, 3)
+
+
+@query("O-76", """with s as (select file_path, start_line, end_line, entity_id from entities where entity_type = 'CLASS'), p as (select distinct file_path, (key % 1500)::int as line from entities where entity_type = 'METHOD')
+select p.file_path, line, entity_id from p join s on s.file_path = p.file_path and line between start_line and end_line qualify row_number() over (partition by p.file_path, line order by end_line - start_line, entity_id) = 1""")
+def enclosing_join(t):
+    e = t.entities()
+    p = e.where("entity_type = 'METHOD'").select("file_path", ((F.col("start_line") - 1) % 1500).alias("line")).distinct()
+    return J.enclosing(p, e.where("entity_type = 'CLASS'").select("file_path", "start_line", "end_line", "entity_id")).select("file_path", "line", "entity_id")
+
+
+@query("O-81", "select change_kind, count(*) as n from changelog where run_uuid >= (select min(run_uuid) from changelog where run_uuid > (select min(run_uuid) from changelog)) group by 1")
+def history_since(t):
+    c = t.changelog()
+    runs = c.select("run_uuid").distinct()
+    first = runs.agg(F.min("run_uuid").alias("m"))
+    return A.count_by(c.join(F.broadcast(first), F.col("run_uuid") > F.col("m"), "left_semi"), "change_kind")  # a single row
+
+
+@query("O-90", "select entity_type, count(*) as n from entities group by 1")
+def breakdown(t):
+    return A.count_by(t.entities(), "entity_type")
+
+
+@query("O-91", "select f.file_path, count(e.file_path) as n from files f left join entities e on f.file_path = e.file_path group by 1")
+def per_file(t):
+    return A.entities_per_file(t.files(), t.entities())
+
+
+@query("O-92", "select case l_orderkey % 3 when 0 then 'resolved' when 1 then 'pending' else 'unknown' end as state, count(*) as n from lineitem where l_partkey % 17 = 0 group by 1")
+def stub_states(t):
+    state = F.when(F.col("file_id") % 3 == 0, "resolved").when(F.col("file_id") % 3 == 1, "pending").otherwise("unknown")
+    return A.count_by(t.rels().where(P.is_stub("target_id")).withColumn("state", state), "state")
+
+
+@query("O-94", "select sum(case when starts_with(target_id, 'unresolved:') then 1 else 0 end)::bigint as dangling, count(*) as edges from rels")
+def dangling_edges(t):
+    return A.dangling(t.rels())
+
+
+@query("O-94-duplicates", "select coalesce(sum(c - 1), 0)::bigint as duplicates from (select count(*) as c from rels group by source_id, target_id, relation_type having count(*) > 1)")
+def duplicates(t):
+    return A.duplicate_rows(t.rels(), "source_id", "target_id", "relation_type")
+
+
+@query("O-95", "select source_id, relation_type, count(*) as n, round_even(max(coalesce(confidence, 1.0::float))::double, 4) as max_confidence, string_agg(distinct line::varchar, ',' order by line::varchar) as via from rels group by 1, 2")
+def connectivity(t):
+    return A.connectivity(t.rels())
+
+
+@query("O-99", "select file, count(*) as n from (select unnest([source_id, target_id]) as file from rels where relation_type in ('CALLS', 'IMPORTS')) group by 1 order by n desc, file limit 50")
+def coupled(t):
+    return A.top(A.coupling(t.rels().where("relation_type in ('CALLS', 'IMPORTS')")), "n", "file", 50)
+
+
+@query("O-100", """with d as (select id, sum(i) as g from (select source_id as id, 0 as i from rels union all select target_id, 1 from rels) group by id), r as (select g, row_number() over (order by g) - 1 as k, count(*) over () as n from d)
+select max(g)::bigint as max_degree, round_even(sum(g) / count(*), 2) as mean_degree, max(case when k = least(n - 1, floor(n * 50 / 100)) then g end)::bigint as p50, max(case when k = least(n - 1, floor(n * 95 / 100)) then g end)::bigint as p95, max(case when k = least(n - 1, floor(n * 99 / 100)) then g end)::bigint as p99 from r""")
+def degrees(t):
+    return A.degree_histogram(t.rels())
+
+
+@query("O-101", """select round_even(100.0 * count(*) filter (metadata_json like '%bsg.domain%') / count(*), 1)::double as domain, round_even(100.0 * count(*) filter (is_exported) / count(*), 1)::double as exported from entities""")
+def coverage(t):
+    return A.share(t.entities(), domain=F.contains("metadata_json", F.lit("bsg.domain")), exported=F.col("is_exported"))
+
+
+@query("O-104", "select case when n = 1 then '1' when n <= 3 then '2-3' when n <= 10 then '4-10' when n <= 100 then '11-100' else '>100' end as bucket, count(*) as n from (select source_id, count(*) as n from rels group by 1) group by 1")
+def size_histogram(t):
+    return A.size_buckets(A.count_by(t.rels(), "source_id"))
+
+
+@query("O-112", "select run_uuid, change_kind, count(*) as n from changelog group by 1, 2")
+def run_deltas(t):
+    return A.count_by(t.changelog(), "run_uuid", "change_kind")
+
+
+@query("O-113", "select key, value, count(*) as n from (select unnest(json_keys(metadata_json::json)) as key, metadata_json from entities where metadata_json is not null) x, lateral (select metadata_json::json ->> ('$.\"' || key || '\"') as value) group by 1, 2")
+def distributions(t):
+    m = t.entities().select(F.explode(F.from_json("metadata_json", "map<string,string>")).alias("key", "value"))
+    return A.count_by(m, "key", "value")
+
+
+DIFF = """with b as (select coalesce(o.file_id, n.file_id) as f, o.id as oid, o.hash as oh, o.name as onm, o.start_line as ol, n.id as nid, n.hash as nh, n.name as nn, n.start_line as nl from v_old o full join v_new n on o.file_id = n.file_id and o.id = n.id),
+g as (select f, oid, oh, onm, row_number() over (partition by f, oh order by oid) as k from b where nid is null), c as (select f, nid, nh, nn, row_number() over (partition by f, nh order by nid) as k from b where oid is null),
+r as (select g.f, nid, oid from g join c on g.f = c.f and oh = nh and g.k = c.k),
+g2 as (select f, oid, onm, row_number() over (partition by f, onm order by oid) as k from g where (f, oid) not in (select f, oid from r)), c2 as (select f, nid, nn, row_number() over (partition by f, nn order by nid) as k from c where (f, nid) not in (select f, nid from r)),
+m as (select g2.f, nid, oid from g2 join c2 on g2.f = c2.f and onm = nn and g2.k = c2.k)
+select f as file_id, nid as id, oid as old_id, 'modified' as change from b where oid is not null and nid is not null and (oh <> nh or ol <> nl)
+union all select f, nid, oid, 'renamed' from r union all select f, nid, oid, 'modified' from m
+union all select f, nid, null, 'added' from c2 where (f, nid) not in (select f, nid from m) union all select f, null, oid, 'removed' from g2 where (f, oid) not in (select f, oid from m)"""
+
+
+@query("O-116", DIFF)
+def node_diff(t):
+    return H.node_diff(*t.versions())
+
+
+@query("O-120", "with r as (select file_id, run_uuid from (select distinct file_id, run_uuid from changelog) qualify row_number() over (partition by file_id order by run_uuid desc) <= 3) select event_id, file_id, run_uuid from changelog semi join r using (file_id, run_uuid)")
+def prune(t):
+    return H.latest_runs(t.changelog(), 3).select("event_id", "file_id", "run_uuid")
+
+
+@query("O-122", "select o.o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) as latest from orders o left join events e on e.user_id = o.o_custkey and e.ts <= o.o_orderdate + interval 10000 day where o.o_custkey <= 100 group by 1")
+def as_of(t):
+    o = t.raw("orders").where("o_custkey <= 100").select("o_orderkey", F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("interval 10000 days")).alias("at"))
+    return J.as_of(o, t.raw("events").select(F.col("user_id").alias("k"), "ts", F.col("event_id").alias("latest")), "k", "at", "ts", "latest").select("o_orderkey", "latest")
+
+
+@query("O-125", """with d as (select event_type, strftime(ts, '%Y-%m-%d') as run, count(*) as n from events group by 1, 2), s as (select event_type, arg_min(n, run) as a, arg_max(n, run) as b, max(n) as m, count(*) as c from d group by 1)
+select event_type, case when m = 0 then 'zero' when c >= 2 and b > 1.25 * a then 'rising' when c >= 2 and b < 0.75 * a then 'falling' else 'stable' end as trend from s""")
+def trends(t):
+    d = A.count_by(t.raw("events").withColumn("run", F.date_format("ts", "yyyy-MM-dd")), "event_type", "run")
+    return A.trend(d, "event_type", "run", "n")
+
+
+@query("O-131", "select doc_id, source from (select doc_id, source, sum(n_chars // 4) over (partition by source order by doc_id) as spent from documents) where spent <= 5000")
+def budget_prefix(t):
+    d = t.raw("documents").select("doc_id", "source", F.expr("n_chars div 4").alias("cost"))
+    return A.budget_prefix(d, "cost", 5000, ["doc_id"], ["source"]).select("doc_id", "source")
+
+
+@query("O-133", "select source_id, target_id, n from (select source_id, target_id, count(*) as n from rels where relation_type in ('READS', 'WRITES') group by 1, 2) qualify row_number() over (partition by source_id order by n desc, target_id) <= 2")
+def top_members(t):
+    e = A.count_by(t.rels().where("relation_type in ('READS', 'WRITES')"), "source_id", "target_id")
+    return A.top_per_group(e, ["source_id"], "n", "target_id", 2).drop("rank")
+
+
+@query("O-134", "select doc_id from (select doc_id, row_number() over (partition by source order by doc_id) - 1 as rn from documents) where rn % 7 = 0 and rn < 35")
+def strided(t):
+    return A.strided(t.raw("documents").select("doc_id", "source"), "doc_id", ["source"], 7, 5).select("doc_id")
+
+
+@query("O-137", "select coalesce(o.id, n.id) as id, case when o.id is null then 'added' when n.id is null then 'deleted' when o.hash <> n.hash then 'modified' else 'unchanged' end as change from v_old o full join v_new n on o.id = n.id")
+def change_scan(t):
+    return H.change_scan(*t.versions())
+
+
+@query("O-138", "select file_id, id, hash from v_new union all select file_id, id, hash from v_old where file_id not in (select file_id from v_new)")
+def merged(t):
+    old, new = t.versions()
+    return J.merge(old, new).select("file_id", "id", "hash")
+
+
+@query("O-139", "select distinct source_id, target_id, relation_type from rels")
+def distinct_edges(t):
+    return t.rels().select("source_id", "target_id", "relation_type").distinct()
+
+
+@query("O-144", "select 's:' || s_suppkey as id from supplier where 's:' || s_suppkey not in (select source_id from rels where relation_type = 'READS') union all select 'p:' || p_partkey from part where 'p:' || p_partkey not in (select target_id from rels where target_id is not null)")
+def orphans(t):
+    s = t.raw("supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"))
+    p = t.raw("part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
+    return G.orphans(s, t.rels().where("relation_type = 'READS'")).unionByName(G.orphans(p, t.rels()))
+
+
+COMPONENT_EDGES = "select distinct o_custkey as u, 1000000 + o_orderkey % 997 as v from orders where o_orderkey % 13 = 0"
+
+
+@query("O-145", f"""with recursive e as ({COMPONENT_EDGES}), b as (select u, v from e union select v, u from e), w(id, c) as (select u, u from b union select b.v, w.c from w join b on b.u = w.id where w.c < b.v or true)
+select id, min(c) as component from w group by id""")
+def components(t):
+    o = t.raw("orders").where("o_orderkey % 13 = 0")
+    return G.connected(o.select(F.col("o_custkey").alias("u"), (1000000 + F.col("o_orderkey") % 997).alias("v")).distinct())
+
+
+ORACLES["O-145"] = ORACLES["O-145"].replace("with ", "with recursive ", 1).replace(", recursive e", ", e")
+
+
+def _two_way(t: Tables) -> DataFrame:
+    li = t.raw("lineitem").join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("u"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("v"))
+    back = t.raw("supplier").join(t.raw("customer"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("u"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("v"))
+    return li.unionByName(back)
+
+
+@query("O-143", "select distinct 'c' || o_custkey as a, 's' || l_suppkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey where s_nationkey = c_nationkey")
+def cycles(t):
+    return G.two_cycles(_two_way(t))
+
+
+PATH_EDGES = "select distinct 'c' || o_custkey as u, 'p' || l_partkey as v from lineitem join orders on l_orderkey = o_orderkey union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem"
+
+
+def _path_edges(t: Tables) -> DataFrame:
+    li = t.raw("lineitem")
+    a = li.join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("v"), F.lit("CALLS").alias("relation_type"))
+    b = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("u"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("v"), F.lit("IMPORTS").alias("relation_type"))
+    return a.unionByName(b).withColumn("priority", F.when(F.col("relation_type") == "CALLS", P.PRIORITY["CALLS"]).otherwise(P.PRIORITY["IMPORTS"])).distinct()
+
+
+@query("O-141", f"with e as ({PATH_EDGES}), p as (select min(p.v) as p from e p join e s on s.u = p.v where p.u = 'c1' and s.v = (select min(v) from e where u = (select min(v) from e where u = 'c1'))) select 0 as hop, 'c1' as id, null as relation_type union all select 1, p, 'CALLS' from p union all select 2, (select min(v) from e where u = (select min(v) from e where u = 'c1')), 'IMPORTS'")
+def trace(t):
+    e = G.cut(_path_edges(t))
+    mid = e.where("u = 'c1'").agg(F.min("v")).first()[0]
+    end = e.where(F.col("u") == mid).agg(F.min("v")).first()[0]
+    return G.trace_path(e, "c1", end, 5)
+
+
+@query("O-142", "with recursive_edges as (select n_name as u, r_name as v from nations union all select r_name, 'WORLD' from region union all select 'c' || c_custkey, n_name from customer join nations on c_nationkey = file_id where c_custkey <= 200) select u, v from recursive_edges union select a.u, b.v from recursive_edges a join recursive_edges b on a.v = b.u union select a.u, c.v from recursive_edges a join recursive_edges b on a.v = b.u join recursive_edges c on b.v = c.u")
+def closure(t):
+    n = t.nations()
+    e = n.select(F.col("n_name").alias("u"), F.col("r_name").alias("v")).union(t.raw("region").select("r_name", F.lit("WORLD")))
+    return G.closure(e.union(t.raw("customer").where("c_custkey <= 200").join(n, F.col("c_nationkey") == F.col("file_id")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "n_name")))
+
+
+@query("O-162", "select id, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree from (select source_id as id, 1 as o, 0 as i from rels union all select target_id, 0, 1 from rels) group by 1")
+def node_degrees(t):
+    return A.degrees(t.rels())
+
+
+@query("O-164", "select source_id, target_id from rels where relation_type in ('READS', 'WRITES') and not exists (select 1 from part where target_id = 'p:' || p_partkey)")
+def consistency(t):
+    parts = t.raw("part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("target_id"))
+    return t.rels().where("relation_type in ('READS', 'WRITES')").join(parts, "target_id", "left_anti").select("source_id", "target_id")
+
+
+@query("O-168", "select target_id, count(*) filter (relation_type = 'CALLS') as calls, count(*) filter (relation_type = 'IMPORTS') as imports from rels group by 1 having count(*) filter (relation_type = 'CALLS') >= 10 or count(*) filter (relation_type = 'IMPORTS') >= 10")
+def fan_in(t):
+    n = t.rels().groupBy("target_id").agg(*[F.count(F.when(F.col("relation_type") == k, 1)).alias(k.lower()) for k in ("CALLS", "IMPORTS")])
+    return n.where("calls >= 10 or imports >= 10")
+
+
+SCORE = f"""select entity_id, name, file_path, (case when b = 'Customer#000000012' then 100 when starts_with(b, 'Customer#000000012') then 60 when contains(b, 'Customer#000000012') then 30 else 10 end
+ + case when entity_type in ('CLASS', 'METHOD', 'FUNCTION') then 40 when entity_type = 'MODULE' then 30 else 0 end + case when is_exported then 15 else 0 end + case when contains(coalesce(fqn, ''), 'Customer#000000012') then 20 else 0 end - case when {TEST_PATH} then 15 else 0 end)::int as score
+from (select *, regexp_replace(name, '_\\[[0-9a-fA-F]+\\]$', '') as b, start_line as sl from entities where regexp_matches(name, 'Customer#000000012') and not {QUARANTINE}) order by score desc, sl, file_path, entity_id limit 25"""
+
+
+@query("O-187", SCORE)
+def search(t):
+    return P.search(t.entities(), "Customer#000000012").select("entity_id", "name", "file_path", F.col("score").cast("int").alias("score"))
+
+
+@query("O-193", "select entity_id from entities where fqn = 'china.Customer#000000001' or starts_with(name, 'Supplier#00000000')")
+def older_search(t):
+    return t.entities().where((F.col("fqn") == "china.Customer#000000001") | F.startswith("name", F.lit("Supplier#00000000"))).select("entity_id")
+
+
+@query("O-196", "select 'duplicate_id' as issue, count(*)::bigint as n from (select 1 from entities group by entity_id having count(*) > 1) union all select 'self_edge', count(*) from rels where source_id = target_id union all select 'stub_target', count(*) from rels where starts_with(target_id, 'unresolved:')")
+def integrity(t):
+    r = t.rels()
+    dup = t.entities().groupBy("entity_id").agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate_id").alias("issue"), "n")
+    own = r.where("source_id = target_id").agg(F.count("*").alias("n")).select(F.lit("self_edge").alias("issue"), "n")
+    return dup.unionByName(own).unionByName(r.where(P.is_stub("target_id")).agg(F.count("*").alias("n")).select(F.lit("stub_target").alias("issue"), "n"))
+
+
+@query("O-201", """with g as (select user_id, ts, case when ts <= lag(ts) over w + interval 6 hour then 0 else 1 end as s from events window w as (partition by user_id order by ts)),
+k as (select user_id, ts, sum(s) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_at, count(*) as n from k group by user_id, k""")
+def debounce(t):
+    return H.bursts(t.raw("events"), "user_id", "ts", "6 hours")
+
+
+@query("O-203", "select user_id, event_id, ((row_number() over (partition by user_id order by ts, event_id) - 1) // 3)::bigint as flush from events")
+def threshold_flush(t):
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return t.raw("events").select("user_id", "event_id", F.floor(rn / 3).alias("flush"))
+
+
+@query("O-210", "select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2")
+def tumbling(t):
+    return t.raw("events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
