@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id") ->
     least = common.save(keyed.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
     roots = common.save(link(least), "simhash-roots")
     rooted = least.join(roots, "fp")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Saved before the join: a component of a third of all texts is then split over tasks.
+    lows = common.save(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
     table = common.save(rooted.join(lows, "root").select("fp", "component_id"), "simhash-table")
     return keyed.join(table, "fp").select("doc_id", "th", "fp", "component_id")
 
