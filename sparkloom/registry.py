@@ -9,7 +9,10 @@ from .operators import aggregates as A
 from .operators import filters as P
 from .operators import graph as G
 from .operators import history as H
+from .functions import names as N
 from .operators import joins as J
+from .operators import resolution as R
+from .operators import rules as U
 from .plans.projection import Tables, oracle
 from .sources import html, text
 
@@ -443,3 +446,91 @@ def threshold_flush(t):
 @query("O-210", "select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2")
 def tumbling(t):
     return t.raw("events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("O-16", """with s as (select o_custkey as k, o_orderkey % 1000 as start, o_orderkey % 1000 + 40 as "end" from orders where o_custkey <= 300), w as (select k, start, max("end") over (partition by k order by start, "end" rows between unbounded preceding and 1 preceding) as u from s)
+select k, u as start, start as "end" from w where start > u""")
+def uncovered(t):
+    o = t.raw("orders").where("o_custkey <= 300").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 1000).alias("start"), (F.col("o_orderkey") % 1000 + 40).alias("end"))
+    return R.gaps(o, "k")
+
+
+@query("O-50", """select 'big' as rule_id, count(*) filter (d) as entities, count(distinct file_path) filter (d) as files from (select *, entity_type = 'CLASS' and metadata_json ->> '$.segment' = 'BUILDING' as d from entities)
+union all select 'lib', count(*), count(distinct file_path) from entities where file_path like 'lib/%' union all select 'tagged', count(*), count(distinct file_path) from entities where entity_type = 'CLASS' and metadata_json ->> '$.segment' = 'BUILDING' and is_exported is not null""")
+def rule_hits(t):
+    rules = [U.Rule("big", 1, ("CLASS",), metadata=(("segment", "eq", "BUILDING"),), add_tags=("building",), put={"tier": "1"}), U.Rule("lib", 2, files=("lib/**",), put={"tier": "2"}), U.Rule("tagged", 3, tags_any=("building",))]
+    return U.hits(U.apply(t.entities(), rules))
+
+
+@query("O-152", """with stubs as (select distinct target_id as stub, regexp_extract(target_id, '[0-9]+$') as ref from rels where starts_with(target_id, 'unresolved:')),
+c as (select p_partkey::varchar as ref, 'p:' || p_partkey as target, 0 as rank, 'exact_match' as strategy, 0.95 as c from part where p_partkey % 2 = 0 union all select p_partkey::varchar, 'x:' || p_partkey % 100, 1, 'package_alias', 0.85 from part where p_partkey % 3 = 0),
+b as (select ref, arg_min({'t': target, 's': strategy, 'c': c}, (rank, target)) as b, count(distinct target) as n from c group by ref)
+select stub, b.t as target, b.s as strategy, (case when b is null then 0 when n > 1 then 0.5 else b.c end)::double as confidence, coalesce(n, 0)::bigint as n_candidates from stubs left join b using (ref)""")
+def stub_resolution(t):
+    stubs = t.rels().where(P.is_stub("target_id")).select(F.col("target_id").alias("stub"), F.regexp_extract("target_id", "[0-9]+$", 0).alias("ref")).distinct()
+    ref = F.col("p_partkey").cast("string")
+    exact = t.raw("part").where("p_partkey % 2 = 0").select(ref.alias("ref"), F.concat(F.lit("p:"), ref).alias("target"))
+    alias = t.raw("part").where("p_partkey % 3 = 0").select(ref.alias("ref"), F.concat(F.lit("x:"), (F.col("p_partkey") % 100).cast("string")).alias("target"))
+    return R.resolve(stubs, {"exact_match": exact, "package_alias": alias})
+
+
+@query("O-154", "with l as (select o_orderkey as u, o_orderkey + 7 as v from orders where o_orderkey % 9 < 5), j as (select a.u, coalesce(b.v, a.v) as v from l a left join l b on a.v = b.u), k as (select a.u, coalesce(b.v, a.v) as v from j a left join j b on a.v = b.u) select a.u, coalesce(b.v, a.v) as v from k a left join k b on a.v = b.u")
+def chains(t):
+    return R.compress(t.raw("orders").where("o_orderkey % 9 < 5").select(F.col("o_orderkey").alias("u"), (F.col("o_orderkey") + 7).alias("v")))
+
+
+@query("O-27", "select relation_type, count(*) as n, count(*) filter (starts_with(target_id, 'unresolved:')) as stubs from (select relation_type, case when starts_with(target_id, 'unresolved:') and l % 2 = 0 then 'p:' || l else target_id end as target_id from (select *, try_cast(regexp_extract(target_id, '[0-9]+$') as bigint) as l from rels)) group by 1")
+def rewritten(t):
+    r = t.rels()
+    stubs = r.where(P.is_stub("target_id")).select(F.col("target_id").alias("stub"), F.regexp_extract("target_id", "[0-9]+$", 0).alias("k")).distinct()
+    made = stubs.where("cast(k as bigint) % 2 = 0").select("stub", F.concat(F.lit("p:"), "k").alias("target"), F.lit(0.95).alias("confidence"))
+    return R.retarget(r, made).groupBy("relation_type").agg(F.count("*").alias("n"), F.count(F.when(P.is_stub("target_id"), 1)).alias("stubs"))
+
+
+@query("O-174", """with e as (select distinct source_id, target_id, relation_type from rels where relation_type in ('CALLS', 'IMPORTS')), s as (select 'c:' || c_custkey as id, c_mktsegment as tag from customer union all select 'o:' || o_orderkey, case when o_orderkey % 2 = 0 then 'BUILDING' else 'orders' end from orders)
+select relation_type, count(*) as n from (select relation_type from e union all select case relation_type when 'CALLS' then 'CALLED_BY' else 'IMPORTED_BY' end from e union all select 'STACK_BOUNDARY' from e join s a on a.id = source_id join s b on b.id = target_id where a.tag <> b.tag) group by 1""")
+def rendered(t):
+    o = t.raw("orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "BUILDING").otherwise("orders").alias("tag"))
+    s = t.raw("customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("tag")).unionByName(o)
+    return A.count_by(R.render_edges(t.rels().where("relation_type in ('CALLS', 'IMPORTS')"), s), "relation_type")
+
+
+@query("O-185", "select entity_id from entities where entity_type = 'CONSTANT' and regexp_replace(name, '_\\[[0-9a-fA-F]+\\]$', '') = (select min(p_name) from part)")
+def by_name(t):
+    return R.by_name(t.entities(), t.raw("part").agg(F.min("p_name")).first()[0]).select("entity_id")
+
+
+@query("O-149-tokens", "select token, count(*) as n from (select unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(regexp_replace(p_type || p_brand, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) as token from part) group by 1")
+def tokens(t):
+    return A.count_by(t.raw("part").select(F.explode(N.name_tokens(F.concat("p_type", "p_brand"))).alias("token")), "token")
+
+
+@query("O-26-module", "select file_path, replace(regexp_replace(file_path, '\\.(py|ts)$', ''), '/', '.') as module from files")
+def modules(t):
+    return t.files().select("file_path", N.module_of(F.col("file_path")).alias("module"))
+
+
+@query("O-188", "select event_id, entity_id, change_kind from changelog where run_uuid = (select max(run_uuid) from changelog) order by event_id limit 50 offset 5")
+def delta(t):
+    c = t.changelog()
+    last = c.agg(F.max("run_uuid").alias("run_uuid"))
+    return c.join(F.broadcast(last), "run_uuid").orderBy("event_id").offset(5).limit(50).select("event_id", "entity_id", "change_kind")  # a single row
+
+
+@query("O-189", "select entity_id, event_id, run_uuid from changelog qualify row_number() over (partition by entity_id order by run_uuid desc, event_id desc) <= 3")
+def entity_history(t):
+    w = Window.partitionBy("entity_id").orderBy(F.desc("run_uuid"), F.desc("event_id"))
+    return t.changelog().withColumn("r", F.row_number().over(w)).where("r <= 3").select("entity_id", "event_id", "run_uuid")
+
+
+@query("O-191", "select run_uuid, count(*) as changes, count(distinct file_id) as files from changelog group by 1")
+def runs(t):
+    return t.changelog().groupBy("run_uuid").agg(F.count("*").alias("changes"), F.countDistinct("file_id").alias("files"))
+
+
+@query("O-180", "select 'entities' as section, entity_type as item, count(*) as n from entities group by 2 union all select 'relations', relation_type, count(*) from rels group by 2 union all select 'files', case when is_indexed then 'indexed' else 'tracked' end, count(*) from files group by 2")
+def overview(t):
+    def part(df, section, item):
+        return df.groupBy(item.alias("item")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "item", "n")
+
+    return part(t.entities(), "entities", F.col("entity_type")).unionByName(part(t.rels(), "relations", F.col("relation_type"))).unionByName(part(t.files(), "files", F.when(F.col("is_indexed"), "indexed").otherwise("tracked")))
