@@ -534,3 +534,81 @@ def overview(t):
         return df.groupBy(item.alias("item")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "item", "n")
 
     return part(t.entities(), "entities", F.col("entity_type")).unionByName(part(t.rels(), "relations", F.col("relation_type"))).unionByName(part(t.files(), "files", F.when(F.col("is_indexed"), "indexed").otherwise("tracked")))
+
+
+from .operators import communities as C  # noqa: E402
+from .operators import semantic as S  # noqa: E402
+from .sources import files as FS  # noqa: E402
+
+PAIRS = "select least(source_id, target_id) as u, greatest(source_id, target_id) as v, round(sum((case relation_type when 'CALLS' then 3 when 'IMPORTS' then 2 when 'READS' then 1 when 'WRITES' then 1 else 0 end) * coalesce(confidence, 1.0::float)::double), 4) as w from rels where source_id <> target_id and relation_type in ('CALLS', 'IMPORTS', 'READS', 'WRITES') and coalesce(confidence, 1.0) > 0 group by 1, 2"
+
+
+@query("O-147-weights", PAIRS)
+def pair_weights(t):
+    return C.pair_weights(t.rels()).select("u", "v", F.round("w", 4).alias("w"))
+
+
+@query("O-147", None)
+def communities(t):
+    return C.detect(t.rels().where("relation_type in ('CALLS', 'IMPORTS')"), most=2000)
+
+
+@query("O-108", """with m as (select 'c:' || c_custkey as id, c_mktsegment as community from customer union all select 'n:' || n_nationkey, 'BUILDING' from nation),
+e as (select a.community as a, b.community as b from rels join m a on a.id = source_id join m b on b.id = target_id), x as (select a as community, 1 as i, 0 as o from e where a = b union all select unnest([a, b]), 0, 1 from e where a <> b)
+select community, sum(i)::bigint as inner, sum(o)::bigint as outer from x group by 1""".replace("as inner", 'as "inner"').replace("as outer", 'as "outer"'))
+def community_profile(t):
+    m = t.raw("customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("community"))
+    return C.edge_profile(t.rels(), m.unionByName(t.raw("nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("BUILDING").alias("community"))))
+
+
+@query("O-165", """with g as (select 'o:' || o_orderkey as id, case when o_orderkey % 2 = 0 then 'api' else 'loop' end as tag from orders union all select 'c:' || c_custkey, case when c_custkey % 3 = 0 then 'db' else 'auth' end from customer)
+select source_id, target_id, case when a.tag = 'api' then 'WRAPPED_BY' else 'CONTAINS' end as relation_type from (select distinct source_id, target_id from rels where relation_type = 'CALLS') join g a on a.id = source_id join g b on b.id = target_id where (a.tag = 'api' and b.tag = 'auth') or (a.tag = 'loop' and b.tag = 'db')""")
+def implied(t):
+    o = t.raw("orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.array(F.when(F.col("o_orderkey") % 2 == 0, "api").otherwise("loop")).alias("tags"))
+    c = t.raw("customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.when(F.col("c_custkey") % 3 == 0, "db").otherwise("auth")).alias("tags"))
+    return S.implied_edges(t.rels(), o.unionByName(c), [("api", "auth", "WRAPPED_BY"), ("loop", "db", "CONTAINS")])
+
+
+@query("O-75", """with t as (select 's:' || s_suppkey as test, s_nationkey as base from supplier), m as (select 'c:' || c_custkey as target, c_nationkey as base from customer), d as (select distinct 's:' || l_suppkey as test, 'c:' || o_custkey as target from lineitem join orders on l_orderkey = o_orderkey)
+select n.test, n.target, (case when d.test is null then 0.65 else 0.85 end)::double as confidence from (select test, target from t join m using (base) qualify row_number() over (partition by test order by target) <= 50) n left join d on n.test = d.test and n.target = d.target""")
+def tested_by(t):
+    tests = t.raw("supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("test"), F.col("s_nationkey").alias("base"))
+    targets = t.raw("customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("target"), F.col("c_nationkey").alias("base"))
+    direct = t.raw("lineitem").join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("test"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("target"))
+    return S.tested_by(tests, targets, direct)
+
+
+@query("O-107", """with d as (select user_id % 40 as rule_id, strftime(ts, '%Y-%m-%d') as run, count(*) as n, count(*) filter (event_type = 'view') as unique_n, avg(value) * 50000 as avg_ns from events group by 1, 2),
+s as (select rule_id, count(*) as runs, sum(n) as total, arg_max(n, run) as last, arg_max(unique_n, run) as own, avg(avg_ns) as ns from d group by 1)
+select rule_id, case when total = 0 and runs < 3 then 'regenerate' when total = 0 then 'disable' when last > 0.25 * 60 then 'regenerate' when ns > 5000000 then 'shadow' when last > 0 and own > 0.5 * last then 'promote' else 'shadow' end as verdict from s""")
+def rule_verdicts(t):
+    e = t.raw("events").withColumn("rule_id", F.col("user_id") % 40).withColumn("run", F.date_format("ts", "yyyy-MM-dd"))
+    d = e.groupBy("rule_id", "run").agg(F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "view", 1)).alias("unique_n"), (F.avg("value") * 50000).alias("avg_ns"))
+    return S.verdicts(d, 60)
+
+
+@query("O-06", "select case regexp_extract(file_path, '[^.]*$') when 'py' then 'python' when 'ts' then 'typescript' end as language, count(*) as n from files group by 1")
+def languages(t):
+    return A.count_by(t.files().withColumn("language", FS.language(F.col("file_path"))), "language")
+
+
+@query("O-05", "select file_path from files where not regexp_matches(file_path, '^lib/[^/]* brass/')")
+def not_ignored(t):
+    return t.files().where(~FS.ignored(F.col("file_path"), ("lib/* brass/**",))).select("file_path")
+
+
+@query("O-11", """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where text is not null)
+select doc_id, line_no::int as line_no, 'header' as kind, regexp_extract(line, '^#{1,6}\\s+(.+?)\\s*$', 1) as value from l where regexp_matches(line, '^#{1,6}\\s+(.+?)\\s*$')
+union all select doc_id, line_no::int, 'item', regexp_extract(line, '^\\s*(?:[-*+]|\\d+\\.)\\s+(.+)$', 1) from l where regexp_matches(line, '^\\s*(?:[-*+]|\\d+\\.)\\s+(.+)$')
+union all select doc_id, line_no::int, 'code', regexp_extract(line, '^\\s*```(\\w+)', 1) from l where regexp_matches(line, '^\\s*```(\\w+)')
+union all select doc_id, line_no::int, 'link', regexp_extract(line, '\\[[^\\]]*\\]\\(([^)\\s]+)', 1) from l where regexp_matches(line, '\\[[^\\]]*\\]\\(([^)\\s]+)')""")
+def markdown(t):
+    return FS.markdown(t.raw("documents"), "doc_id", "text")
+
+
+@query("O-119", None)
+def capped(t):
+    d = t.raw("documents").select("source", "lang", "doc_id", F.expr("n_chars div 100").alias("b")).where("doc_id < 400")
+    a, b = d.alias("a"), d.alias("b")
+    pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("source", "lang", "b")] + [F.col("a.doc_id") < F.col("b.doc_id")])
+    return R.capped_pairs(pairs.select("a.source", "a.lang", F.col("a.doc_id").cast("string").alias("a"), F.col("b.doc_id").cast("string").alias("b"), F.lit(1).alias("w")), ["source", "lang"], 5)

@@ -119,3 +119,69 @@ def test_streaming_flushes_match_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(str(r.first_at), r.n, tuple(r.paths)) for r in spark.table("flushes").collect()}
     assert {n for _, n, _ in batch} == {3, 2, 1} and got == {b for b in batch if b[2] != ("end",)}
+
+
+def test_communities_of_two_cliques(spark):
+    from sparkloom.operators import communities
+
+    def clique(names):
+        return [(a, b, "CALLS", None) for a in names for b in names if a < b]
+
+    rels = clique(["a1", "a2", "a3", "a4"]) + clique(["b1", "b2", "b3", "b4"]) + [("a1", "b1", "READS", 0.5), ("a2", "x", "IMPORTS", 1.0), ("y1", "y2", "READS", 1.0), ("a1", "a1", "CALLS", 1.0)]
+    frame = spark.createDataFrame(rels, "source_id string, target_id string, relation_type string, confidence float")
+    got = {r.id: r.community for r in communities.detect(frame, smallest=3).collect()}
+    assert len({got[f"a{i}"] for i in range(1, 5)}) == 1 and len({got[f"b{i}"] for i in range(1, 5)}) == 1 and got["a1"] != got["b1"]
+    assert got["x"] == got["a2"] and set(got) == {f"{k}{i}" for k in "ab" for i in range(1, 5)} | {"x", "y1", "y2"}
+    whole = {r.exact for r in communities.detect(frame, most=3).collect()}
+    assert whole == {True, False}
+    profile = {r.community: (r.inner, r.outer) for r in communities.edge_profile(frame, spark.createDataFrame(list(got.items()), "id string, community string")).collect()}
+    assert profile[got["b1"]] == (6, 1)
+
+
+def test_term_labels(spark):
+    from sparkloom.operators import communities
+
+    rows = [("c1", "loadOrder"), ("c1", "saveOrder"), ("c2", "loadUser"), ("c2", "saveUser")]
+    got = {r.community: r.label for r in communities.term_labels(spark.createDataFrame(rows, "community string, name string"), 1).collect()}
+    assert got == {"c1": "order", "c2": "user"}
+
+
+def test_tags_and_implied_edges(spark):
+    from sparkloom.operators import semantic
+
+    e = spark.createDataFrame([("1", "OrderController", "CLASS", "src/a.py"), ("2", "checkToken", "FUNCTION", "src/b.py"), ("3", "plain", "FUNCTION", "src/c.py")], "id string, name string, entity_type string, file_path string")
+    tags = semantic.tag(e, {"api": {"controller", "route"}, "auth": {"token"}}, {"api": {"CLASS"}})
+    assert {r.id: r.tags for r in tags.collect()} == {"1": ["api"], "2": ["auth"], "3": []}
+    rels = spark.createDataFrame([("1", "2", "CALLS"), ("3", "1", "CALLS"), ("3", "1", "DEPENDS_ON_API"), ("2", "1", "READS")], "source_id string, target_id string, relation_type string")
+    got = {tuple(r) for r in semantic.implied_edges(rels, tags, [(None, "api", "DEPENDS_ON_API"), ("api", "auth", "WRAPPED_BY")]).collect()}
+    assert got == {("1", "2", "WRAPPED_BY")}
+
+
+def test_verdicts_and_tested_by(spark):
+    from sparkloom.operators import semantic
+
+    h = [("new", 1, 0, 0, 1.0), *[("dead", r, 0, 0, 1.0) for r in range(3)], ("wide", 1, 50, 1, 1.0), ("slow", 1, 5, 5, 6e6), ("good", 1, 5, 4, 1.0), ("dup", 1, 5, 1, 1.0)]
+    got = {r.rule_id: r.verdict for r in semantic.verdicts(spark.createDataFrame(h, "rule_id string, run int, n long, unique_n long, avg_ns double"), 100).collect()}
+    assert got == {"new": "regenerate", "dead": "disable", "wide": "regenerate", "slow": "shadow", "good": "promote", "dup": "shadow"}
+    t = spark.createDataFrame([("t1", "run")], "test string, base string")
+    o = spark.createDataFrame([("m1", "run"), ("m2", "run"), ("m3", "go")], "target string, base string")
+    d = spark.createDataFrame([("t1", "m2")], "test string, target string")
+    assert {(r.target, r.confidence) for r in semantic.tested_by(t, o, d).collect()} == {("m1", 0.65), ("m2", 0.85)}
+
+
+def test_file_sources(spark, tmp_path):
+    from sparkloom.sources import files
+
+    (tmp_path / "a" / "node_modules").mkdir(parents=True)
+    (tmp_path / "a" / "x.py").write_text("pass")
+    (tmp_path / "a" / "node_modules" / "y.js").write_text("1")
+    (tmp_path / "run").write_text("#!/usr/bin/env python\n")
+    t = files.tree(spark, str(tmp_path))
+    got = {r.path: (r.lang, r.skip) for r in t.select("path", files.language(F.col("path"), F.col("content").cast("string")).alias("lang"), files.ignored(F.col("path")).alias("skip")).collect()}
+    assert got == {"a/x.py": ("python", False), "a/node_modules/y.js": ("javascript", True), "run": ("python", False)}
+    req = spark.createDataFrame([("r.txt", "Foo_Bar==1.2 # x\n# c\n-r other\nbaz>=3,<4\nplain\n")], "path string, text string")
+    assert {(r.name, r.version) for r in files.requirements(req).collect()} == {("foo-bar", "1.2"), ("baz", "3"), ("plain", None)}
+    pkg = spark.createDataFrame([("p.json", '{"dependencies":{"a":"1"},"devDependencies":{"b":"2","a":"0"}}'), ("q.json", '{"dependencies":{"c":"3"}}')], "path string, text string")
+    assert {(r.path, r.name) for r in files.package_json(pkg).collect()} == {("p.json", "a"), ("p.json", "b"), ("q.json", "c")}
+    md = spark.createDataFrame([(1, "# Top\n- item [x](http://y)\n```py\n")], "k int, t string")
+    assert {(r.line_no, r.kind, r.value) for r in files.markdown(md, "k", "t").collect()} == {(1, "header", "Top"), (2, "item", "item [x](http://y)"), (2, "link", "http://y"), (3, "code", "py")}
