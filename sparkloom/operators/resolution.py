@@ -19,10 +19,9 @@ def by_name(entities: DataFrame, query: str) -> DataFrame:
     stub = is_stub("entity_id")
     rung = F.when(F.col("entity_id") == query, 1).when((F.col("name") == query) & ~stub, 3).when((base_name() == query) & ~stub, 4).when((F.col("name") == query) & stub, 5)
     hits = entities.withColumn("rung", rung).where("rung is not null")
-    best = hits.agg(F.min("rung").alias("rung"), F.lit(1).alias("one"))
-    hits = hits.join(F.broadcast(best.select("rung")), "rung")  # a single row
-    others = hits.agg(F.sum(F.when(F.col("entity_type") != "MODULE", 1).otherwise(0)).alias("others"))
-    return hits.crossJoin(F.broadcast(others)).where("others <> 1 or entity_type <> 'MODULE'").drop("others")  # one row beside each
+    others = F.sum(F.when(F.col("entity_type") != "MODULE", 1).otherwise(0)).alias("others")
+    best = hits.groupBy("rung").agg(others).orderBy("rung").limit(1)
+    return hits.join(F.broadcast(best), "rung").where("others <> 1 or entity_type <> 'MODULE'").drop("others")  # a single row
 
 
 def resolve(stubs: DataFrame, candidates: dict[str, DataFrame]) -> DataFrame:
