@@ -612,3 +612,36 @@ def capped(t):
     a, b = d.alias("a"), d.alias("b")
     pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("source", "lang", "b")] + [F.col("a.doc_id") < F.col("b.doc_id")])
     return R.capped_pairs(pairs.select("a.source", "a.lang", F.col("a.doc_id").cast("string").alias("a"), F.col("b.doc_id").cast("string").alias("b"), F.lit(1).alias("w")), ["source", "lang"], 5)
+
+
+@query("O-132", """with c as (select o_custkey as community, count(*) as members from orders group by 1), r as (select *, row_number() over (order by members desc, community) as k from c)
+select case when k <= 20 then community::varchar else 'rest' end as community, sum(members)::bigint as members, count(*) as communities from r group by 1""")
+def top_and_rest(t):
+    c = t.raw("orders").groupBy(F.col("o_custkey").alias("community")).agg(F.count("*").alias("members"))
+    best = A.top(c, "members", "community", 20)
+    rest = c.join(best.select("community"), "community", "left_anti").agg(F.sum("members").alias("members"), F.count("*").alias("communities"))
+    return best.select(F.col("community").cast("string").alias("community"), "members", F.lit(1).cast("long").alias("communities")).unionByName(rest.where("communities > 0").select(F.lit("rest").alias("community"), "members", "communities"))
+
+
+@query("O-136", """with a as (select file_id, string_agg(id || hash, ',' order by id) as ids from v_old group by 1), b as (select file_id, string_agg(id || hash, ',' order by id) as ids from v_new group by 1)
+select coalesce(a.file_id, b.file_id) as file_id, case when a.file_id is null then 'added' when b.file_id is null then 'removed' when a.ids = b.ids then 'unchanged' else 'modified' end as change from a full join b on a.file_id = b.file_id""")
+def file_delta(t):
+    old, new = [v.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "hash"))), lambda x: F.concat(x.id, x["hash"])), ",").alias("hash")) for v in t.versions()]
+    return H.change_scan(old, new, "file_id").select("file_id", F.when(F.col("change") == "deleted", "removed").otherwise(F.col("change")).alias("change"))
+
+
+@query("O-110", "select regexp_extract(file_path, '[^.]*$') as language, entity_type, count(*) as entities, count(distinct file_path) as files from entities group by 1, 2")
+def overview_stats(t):
+    e = t.entities().withColumn("language", F.substring_index("file_path", ".", -1))
+    return e.groupBy("language", "entity_type").agg(F.count("*").alias("entities"), F.countDistinct("file_path").alias("files"))
+
+
+@query("O-111", "select id, count(*) as weight from (select unnest([source_id, target_id]) as id from rels) group by 1")
+def dependency_weight(t):
+    return A.count_by(t.rels().select(F.explode(F.array("source_id", "target_id")).alias("id")), "id", name="weight")
+
+
+@query("O-97", "select source_id, count(*) filter (starts_with(target_id, 'unresolved:')) as unresolved, count(distinct case when not starts_with(target_id, 'unresolved:') then split_part(target_id, ':', 1) end) as kinds from rels group by 1")
+def external_summary(t):
+    stub = P.is_stub("target_id")
+    return t.rels().groupBy("source_id").agg(F.count(F.when(stub, 1)).alias("unresolved"), F.countDistinct(F.when(~stub, F.substring_index("target_id", ":", 1))).alias("kinds"))
