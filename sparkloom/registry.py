@@ -144,9 +144,9 @@ def adjacency(t):
     return r.groupBy("source_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("target_id")), ",").alias("targets"))
 
 
-@query("O-64", "select source_id, target_id, relation_type, count(*) as n from rels where source_id in (select 'c:' || c_custkey from customer where c_custkey % 50 = 0) or target_id in (select 'c:' || c_custkey from customer where c_custkey % 50 = 0) group by 1, 2, 3")
+@query("O-64", "select source_id, target_id, relation_type, count(*) as n from rels where source_id in (select 'c:' || c_custkey from customer where c_mktsegment = 'BUILDING') or target_id in (select 'c:' || c_custkey from customer where c_mktsegment = 'BUILDING') group by 1, 2, 3")
 def incident_edges(t):
-    ids = t.raw("customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    ids = t.raw("customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
     return A.count_by(J.incident(t.rels(), ids), "source_id", "target_id", "relation_type")
 
 
@@ -172,22 +172,22 @@ def suffix_join(t):
     return J.unique_suffix(f.select(F.substring_index("file_path", "/", -1).alias("mention")), f, "mention", "file_path")
 
 
-@query("O-71", """with c as (select distinct p_name as name, file_path as there from part_paths), r as (select distinct p_name as name, 'lib/' || lower(p_type) || '/x.ts' as here from part where p_partkey % 5 = 0),
+@query("O-71", """with c as (select distinct p_name as name, file_path as there from part_paths), r as (select distinct p_name as name, 'lib/' || lower(p_type) || '/x.ts' as here from part),
 s as (select *, len(list_filter(range(1, 3), lambda i: list_slice(string_split(here, '/'), 1, i) = list_slice(string_split(there, '/'), 1, i))) as shared from r join c using (name))
 select name, here, there, shared::int as shared from s qualify row_number() over (partition by name, here order by shared desc, there) = 1""")
 def proximity(t):
     p = t.part_paths()
-    refs = p.where("p_partkey % 5 = 0").select(F.col("p_name").alias("name"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/x.ts")).alias("here")).distinct()
+    refs = p.select(F.col("p_name").alias("name"), F.concat(F.lit("lib/"), F.lower("p_type"), F.lit("/x.ts")).alias("here")).distinct()
     return J.nearest_path(refs, p.select(F.col("p_name").alias("name"), F.col("file_path").alias("there")).distinct(), "name", "here", "there").select("name", "here", "there", F.col("shared").cast("int").alias("shared"))
 
 
-@query("O-73", """with t as (select p_partkey, unnest(list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+'))) as token from part where p_partkey <= 300),
-p as (select a.p_partkey as l, b.p_partkey as r, count(*) as shared from t a join t b using (token) where a.p_partkey % 2 = 0 and b.p_partkey % 2 = 1 group by 1, 2 having count(*) >= 2)
-select l, r, shared from p qualify row_number() over (partition by l order by shared desc, r) <= 3""")
+@query("O-73", """with l as (select distinct p_name as l, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as token from part), r as (select distinct r, unnest(regexp_extract_all(lower(r), '[a-z0-9]+')) as token from (select p_type || ' ' || p_name as r from part)),
+p as (select l, r, count(*) as shared from l join r using (token) group by 1, 2 having count(*) >= 2) select l, r, shared from p qualify row_number() over (partition by l order by shared desc, r) <= 3""")
 def overlap_join(t):
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_type", "p_name")), F.lit("[a-z0-9]+"), F.lit(0)))
-    x = t.raw("part").where("p_partkey <= 300").select("p_partkey", F.explode(words).alias("token"))
-    return J.token_overlap(x.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l"), "token"), x.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("r"), "token"), "l", "r", 2, 3)
+    def words(text):  # texts are told apart first: pairs are made of different texts, not of rows
+        return t.raw("part").select(text.alias("x")).distinct().select("x", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
+
+    return J.token_overlap(words(F.col("p_name")).withColumnRenamed("x", "l"), words(F.concat_ws(" ", "p_type", "p_name")).withColumnRenamed("x", "r"), "l", "r", 2, 3)
 
 
 @query("O-76", """with s as (select file_path, start_line, end_line, entity_id from entities where entity_type = 'CLASS'), p as (select distinct file_path, (key % 1500)::int as line from entities where entity_type = 'METHOD')
@@ -289,9 +289,9 @@ def prune(t):
     return H.latest_runs(t.changelog(), 3).select("event_id", "file_id", "run_uuid")
 
 
-@query("O-122", "select o.o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) as latest from orders o left join events e on e.user_id = o.o_custkey and e.ts <= o.o_orderdate + interval 10000 day where o.o_custkey <= 100 group by 1")
+@query("O-122", "select o.o_orderkey, arg_max(e.event_id, (e.ts, e.event_id)) as latest from orders o left join events e on e.user_id = o.o_custkey and e.ts <= o.o_orderdate + interval 10000 day group by 1")
 def as_of(t):
-    o = t.raw("orders").where("o_custkey <= 100").select("o_orderkey", F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("interval 10000 days")).alias("at"))
+    o = t.raw("orders").select("o_orderkey", F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("interval 10000 days")).alias("at"))
     return J.as_of(o, t.raw("events").select(F.col("user_id").alias("k"), "ts", F.col("event_id").alias("latest")), "k", "at", "ts", "latest").select("o_orderkey", "latest")
 
 
@@ -342,17 +342,9 @@ def orphans(t):
     return G.orphans(s, t.rels().where("relation_type = 'READS'")).unionByName(G.orphans(p, t.rels()))
 
 
-COMPONENT_EDGES = "select distinct o_custkey as u, 1000000 + o_orderkey % 997 as v from orders where o_orderkey % 13 = 0"
-
-
-@query("O-145", f"""with recursive e as ({COMPONENT_EDGES}), b as (select u, v from e union select v, u from e), w(id, c) as (select u, u from b union select b.v, w.c from w join b on b.u = w.id where w.c < b.v or true)
-select id, min(c) as component from w group by id""")
+@query("O-145", None)  # recursive SQL is too slow on the whole table; tests hold it against union-find
 def components(t):
-    o = t.raw("orders").where("o_orderkey % 13 = 0")
-    return G.connected(o.select(F.col("o_custkey").alias("u"), (1000000 + F.col("o_orderkey") % 997).alias("v")).distinct())
-
-
-ORACLES["O-145"] = ORACLES["O-145"].replace("with ", "with recursive ", 1).replace(", recursive e", ", e")
+    return G.connected(t.raw("orders").select(F.col("o_custkey").alias("u"), (1000000 + F.col("o_orderkey") % 997).alias("v")).distinct())
 
 
 def _two_way(t: Tables) -> DataFrame:
@@ -384,11 +376,11 @@ def trace(t):
     return G.trace_path(e, "c1", end, 5)
 
 
-@query("O-142", "with recursive_edges as (select n_name as u, r_name as v from nations union all select r_name, 'WORLD' from region union all select 'c' || c_custkey, n_name from customer join nations on c_nationkey = file_id where c_custkey <= 200) select u, v from recursive_edges union select a.u, b.v from recursive_edges a join recursive_edges b on a.v = b.u union select a.u, c.v from recursive_edges a join recursive_edges b on a.v = b.u join recursive_edges c on b.v = c.u")
+@query("O-142", "with recursive_edges as (select n_name as u, r_name as v from nations union all select r_name, 'WORLD' from region union all select 'c' || c_custkey, n_name from customer join nations on c_nationkey = file_id) select u, v from recursive_edges union select a.u, b.v from recursive_edges a join recursive_edges b on a.v = b.u union select a.u, c.v from recursive_edges a join recursive_edges b on a.v = b.u join recursive_edges c on b.v = c.u")
 def closure(t):
     n = t.nations()
     e = n.select(F.col("n_name").alias("u"), F.col("r_name").alias("v")).union(t.raw("region").select("r_name", F.lit("WORLD")))
-    return G.closure(e.union(t.raw("customer").where("c_custkey <= 200").join(n, F.col("c_nationkey") == F.col("file_id")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "n_name")))
+    return G.closure(e.union(t.raw("customer").join(n, F.col("c_nationkey") == F.col("file_id")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "n_name")))
 
 
 @query("O-162", "select id, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree from (select source_id as id, 1 as o, 0 as i from rels union all select target_id, 0, 1 from rels) group by 1")
@@ -448,10 +440,10 @@ def tumbling(t):
     return t.raw("events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("O-16", """with s as (select o_custkey as k, o_orderkey % 1000 as start, o_orderkey % 1000 + 40 as "end" from orders where o_custkey <= 300), w as (select k, start, max("end") over (partition by k order by start, "end" rows between unbounded preceding and 1 preceding) as u from s)
+@query("O-16", """with s as (select o_custkey as k, o_orderkey % 1000 as start, o_orderkey % 1000 + 40 as "end" from orders), w as (select k, start, max("end") over (partition by k order by start, "end" rows between unbounded preceding and 1 preceding) as u from s)
 select k, u as start, start as "end" from w where start > u""")
 def uncovered(t):
-    o = t.raw("orders").where("o_custkey <= 300").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 1000).alias("start"), (F.col("o_orderkey") % 1000 + 40).alias("end"))
+    o = t.raw("orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 1000).alias("start"), (F.col("o_orderkey") % 1000 + 40).alias("end"))
     return R.gaps(o, "k")
 
 
@@ -608,7 +600,8 @@ def markdown(t):
 
 @query("O-119", None)
 def capped(t):
-    d = t.raw("documents").select("source", "lang", "doc_id", F.expr("n_chars div 100").alias("b")).where("doc_id < 400")
+    d = t.raw("documents").select("source", "lang", "doc_id", F.expr("n_chars div 100").alias("b"))
+    d = A.top_per_group(d.withColumn("_all", F.lit(0)), ["source", "lang"], "_all", "doc_id", 200).drop("_all", "rank")  # the operator's own bound: a group's first 200 ids
     a, b = d.alias("a"), d.alias("b")
     pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("source", "lang", "b")] + [F.col("a.doc_id") < F.col("b.doc_id")])
     return R.capped_pairs(pairs.select("a.source", "a.lang", F.col("a.doc_id").cast("string").alias("a"), F.col("b.doc_id").cast("string").alias("b"), F.lit(1).alias("w")), ["source", "lang"], 5)

@@ -185,3 +185,20 @@ def test_file_sources(spark, tmp_path):
     assert {(r.path, r.name) for r in files.package_json(pkg).collect()} == {("p.json", "a"), ("p.json", "b"), ("q.json", "c")}
     md = spark.createDataFrame([(1, "# Top\n- item [x](http://y)\n```py\n")], "k int, t string")
     assert {(r.line_no, r.kind, r.value) for r in files.markdown(md, "k", "t").collect()} == {(1, "header", "Top"), (2, "item", "item [x](http://y)"), (2, "link", "http://y"), (3, "code", "py")}
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((root(u), root(v)))
+        parent[b] = a
+    got = {r.id: r.component for r in graph.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for x in parent}
