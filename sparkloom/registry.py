@@ -638,3 +638,6 @@ def dependency_weight(t):
 def external_summary(t):
     stub = P.is_stub("target_id")
     return t.rels().groupBy("source_id").agg(F.count(F.when(stub, 1)).alias("unresolved"), F.countDistinct(F.when(~stub, F.substring_index("target_id", ":", 1))).alias("kinds"))
+
+
+from . import surface  # noqa: E402,F401  (registers more queries)
