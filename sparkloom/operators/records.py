@@ -164,3 +164,28 @@ def greedy_files(counts: DataFrame, threshold: int) -> DataFrame:
     part = counts.join(F.broadcast(stop), F.col("n") == F.col("stop")).join(F.broadcast(room.join(F.broadcast(stop), F.col("n") == F.col("stop")).select("fit")), F.lit(True))  # single rows
     k = F.row_number().over(Window.orderBy("file_path"))
     return whole.unionByName(part.withColumn("k", k).where("k <= fit").select("file_path", "n"))
+
+
+def coverage(spans: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """(key, covered, overlap, coverage): total span over size, overlaps counted twice, and the length covered again.
+
+    spans: (key, start, end, size).
+    """
+    upto = F.max("end").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    again = F.greatest(F.lit(0), F.least(F.col("end"), F.coalesce("_u", F.lit(0))) - F.col("start"))
+    s = spans.withColumn("_u", upto).withColumn("_again", F.when(F.col("_u").isNull(), 0).otherwise(again))
+    return s.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.sum("_again").alias("overlap"), F.max(size).alias("_s")).select(key, "covered", "overlap", F.bround(F.col("covered") / F.col("_s"), 4).alias("coverage"))
+
+
+def carried(old: DataFrame, new: DataFrame, cards: list[str]) -> DataFrame:
+    """(id, label): labels of the last generation whose card, all but its id, is the same. old also has `label`."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(cards)), {"ignoreNullFields": "false"}), 256)
+    known = old.select(digest.alias("h"), "label").groupBy("h").agg(F.min("label").alias("label"))
+    return new.select("id", digest.alias("h")).join(known, "h").select("id", "label")
+
+
+def tiebreak_pairs(old: DataFrame, new: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
+    """(old_id, id): k-th old with k-th new row of equal keys, both in order."""
+    k = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    a, b = old.select(*keys, k.alias("k"), F.col("id").alias("old_id")), new.select(*keys, k.alias("k"), "id")
+    return a.join(b, [*keys, "k"]).select("old_id", "id")

@@ -23,3 +23,31 @@ def flushes(events: DataFrame, key: str = "repo", ts: str = "ts", path: str = "p
     e = events.withWatermark(ts, late).withColumn("_slot", F.window(ts, staleness).start)
     burst = e.groupBy(F.session_window(ts, gap).alias("w"), key, "_slot").agg(F.count("*").alias("n"), F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.array_sort(F.collect_set(path)).alias("paths"))
     return burst.select(key, "first_at", "last_at", "n", "paths")
+
+
+# Files of a repository's own folder whose change ends an operation, folders of a running one, folders that never tell.
+BOUNDARY = ("index", "HEAD", "MERGE_HEAD", "CHERRY_PICK_HEAD", "REVERT_HEAD", "AUTO_MERGE", "ORIG_HEAD", "COMMIT_EDITMSG", "MERGE_MSG")
+RUNNING = ("rebase-merge", "rebase-apply", "sequencer")
+SILENT = ("fsmonitor--daemon", "batho", "objects", "logs", "hooks", "info", "lfs", "worktrees", "modules")
+
+
+def boundary(path: Column, event: Column, folder: Column) -> Column:
+    """boundary, lock, in_progress or ignore for an event on a path of the repository's own folder."""
+    p = F.filter(F.split(path, "/"), lambda x: x != "")
+    first, name, one = F.get(p, F.lit(0)), F.element_at(p, -1), F.size(p) == 1
+    silent = F.arrays_overlap(p, F.array(*[F.lit(x) for x in SILENT])) | F.contains(path, F.lit(".watchman-cookie-"))
+    running = F.when((event == "deleted") & (folder | one), "boundary").otherwise("in_progress")
+    return (
+        F.when((F.size(p) < 1) | silent, "ignore").when(F.endswith(name, F.lit(".lock")), "lock").when(first.isin(*RUNNING), running)
+        .when((first == "refs") & F.coalesce(F.get(p, F.lit(1)) == "remotes", F.lit(False)), "ignore").when(first == "refs", "boundary").when(one & first.isin(*BOUNDARY), "boundary").otherwise("ignore")
+    )
+
+
+def scan_mode(pending: Column, most: int = 10_000, least: int = 300) -> Column:
+    """full_scan above the cap of pending files, flush from the threshold on, else wait."""
+    return F.when(pending > most, "full_scan").when(pending >= least, "flush").otherwise("wait")
+
+
+def banner(patching: Column, held: Column, file_pending: Column, pending: Column, failed: Column) -> Column:
+    """What a reader is told about staleness, the most pressing first; null where all is current."""
+    return F.when(patching, "patching").when(held, "held").when(file_pending, "file_pending").when(pending > 0, F.concat(pending.cast("string"), F.lit(" pending"))).when(failed, "failed")

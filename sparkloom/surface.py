@@ -63,10 +63,10 @@ def sourced(t: Tables) -> DataFrame:
     return t.rels().join(a, "source_id", "left").join(b, "target_id", "left")
 
 
-@query("O-03", f"{SOURCED} select 'entities' as section, count(*) as n from entities where file_path = 'src/asia/china.py' union all select 'relations', count(*) from sourced where source_file = 'src/asia/china.py'")
+@query("O-03", f"{SOURCED} select 'entities' as section, count(*) as n from entities where file_path = 'src/asia/nation_2.py' union all select 'relations', count(*) from sourced where source_file = 'src/asia/nation_2.py'")
 def artifacts(t):
-    e = t.entities().where("file_path = 'src/asia/china.py'").agg(F.count("*").alias("n"))
-    r = sourced(t).where("source_file = 'src/asia/china.py'").agg(F.count("*").alias("n"))
+    e = t.entities().where("file_path = 'src/asia/nation_2.py'").agg(F.count("*").alias("n"))
+    r = sourced(t).where("source_file = 'src/asia/nation_2.py'").agg(F.count("*").alias("n"))
     return e.select(F.lit("entities").alias("section"), "n").unionByName(r.select(F.lit("relations").alias("section"), "n"))
 
 
@@ -196,9 +196,9 @@ def lookup(t):
     return r.groupBy("relation_type").agg(F.count(F.when(F.col("hit").isNull(), 1)).alias("missing"), F.count("*").alias("n"))
 
 
-@query("O-63", f"{SOURCED}, p as (select id from nodes where path = 'src/asia/china.py') select distinct source_id, target_id, relation_type from sourced where source_file = 'src/asia/china.py' or target_id in (select id from p)")
+@query("O-63", f"{SOURCED}, p as (select id from nodes where path = 'src/asia/nation_2.py') select distinct source_id, target_id, relation_type from sourced where source_file = 'src/asia/nation_2.py' or target_id in (select id from p)")
 def page_edges(t):
-    page = nodes(t).where("path = 'src/asia/china.py'").select("id")
+    page = nodes(t).where("path = 'src/asia/nation_2.py'").select("id")
     return X.directed(t.rels(), page, "both").select("source_id", "target_id", "relation_type").distinct()
 
 
@@ -211,9 +211,9 @@ def unflagged(t):
     return A.count_by(r, "relation_type")
 
 
-@query("O-67", f"{SOURCED} select distinct target_id as id, target_file as path from sourced where source_file = 'src/asia/china.py' and target_file <> source_file")
+@query("O-67", f"{SOURCED} select distinct target_id as id, target_file as path from sourced where source_file = 'src/asia/nation_2.py' and target_file <> source_file")
 def foreign_neighbours(t):
-    return sourced(t).where("source_file = 'src/asia/china.py' and target_file <> source_file").select(F.col("target_id").alias("id"), F.col("target_file").alias("path")).distinct()
+    return sourced(t).where("source_file = 'src/asia/nation_2.py' and target_file <> source_file").select(F.col("target_id").alias("id"), F.col("target_file").alias("path")).distinct()
 
 
 @query("O-72", """with d as (select distinct p_name as name, 'lib/economy/' || lower(replace(p_brand, '#', '_')) || '.ts' as here from part where p_type = 'ECONOMY'), c as (select p_name as name, p_partkey as id, file_path as there from part_paths where p_type <> 'ECONOMY'),
@@ -293,11 +293,11 @@ def ambiguous(t):
 FILE_EDGES = "with d as (select source_file as a, target_file as b, relation_type, count(*) as n from sourced where source_file <> target_file group by all)"
 
 
-@query("O-96", f"{SOURCED} select 'out' as way, target_file as other, relation_type, count(*) as n from sourced where source_file = 'src/asia/china.py' and target_file <> source_file group by all union all select 'in', source_file, relation_type, count(*) from sourced where target_file = 'src/asia/china.py' and target_file <> source_file group by all")
+@query("O-96", f"{SOURCED} select 'out' as way, target_file as other, relation_type, count(*) as n from sourced where source_file = 'src/asia/nation_2.py' and target_file <> source_file group by all union all select 'in', source_file, relation_type, count(*) from sourced where target_file = 'src/asia/nation_2.py' and target_file <> source_file group by all")
 def file_dependencies(t):
     r = sourced(t).where("source_file <> target_file")
-    out = r.where("source_file = 'src/asia/china.py'").select(F.lit("out").alias("way"), F.col("target_file").alias("other"), "relation_type")
-    return A.count_by(out.unionByName(r.where("target_file = 'src/asia/china.py'").select(F.lit("in").alias("way"), F.col("source_file").alias("other"), "relation_type")), "way", "other", "relation_type")
+    out = r.where("source_file = 'src/asia/nation_2.py'").select(F.lit("out").alias("way"), F.col("target_file").alias("other"), "relation_type")
+    return A.count_by(out.unionByName(r.where("target_file = 'src/asia/nation_2.py'").select(F.lit("in").alias("way"), F.col("source_file").alias("other"), "relation_type")), "way", "other", "relation_type")
 
 
 @query("O-194", f"{SOURCED} select source_file, target_file, count(*) as n from sourced where relation_type <> 'CONTAINED_WITHIN' and source_file <> target_file group by 1, 2")
