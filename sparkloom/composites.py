@@ -327,3 +327,108 @@ def saturation(t):
 def banners(t):
     g = t.raw("events").groupBy("user_id").agg(*[F.count(F.when(F.col("event_type") == k, 1)).alias(k) for k in ("signup", "error")], F.max("value").alias("v"))
     return g.select("user_id", changes.banner(F.col("signup") > 15, F.col("v") > 90, F.lit(False), F.col("error"), F.lit(False)).alias("banner"))
+
+
+from .functions import render  # noqa: E402
+from .sources import extract, manifests  # noqa: E402
+
+PY = 'import os\nfrom .lib import tool as t\nLIMIT = 3\nclass Part{k}(Base):\n    size: int = {k}\n    def show(self):\n        return os.path.join(t(self), "x")\n'
+
+
+@query("O-08", """select p_partkey, unnest(['reference', 'reference', 'definition', 'definition', 'reference', 'definition', 'definition', 'reference', 'reference']) as record, unnest(['os', '.lib.tool', 'LIMIT', 'Part' || p_partkey, 'Base', 'size', 'show', 'os.path.join', 't']) as name,
+unnest(['IMPORTS', 'IMPORTS', 'CONSTANT', 'CLASS', 'INHERITS', 'FIELD', 'METHOD', 'CALLS', 'CALLS']) as kind, unnest(['', '', '', '', 'Part' || p_partkey, 'Part' || p_partkey, 'Part' || p_partkey, 'Part' || p_partkey || '.show', 'Part' || p_partkey || '.show']) as owner, unnest([1, 2, 3, 4, 4, 5, 6, 7, 7]) as start_line from part""")
+def extracted(t):
+    body = F.replace(F.lit(PY), F.lit("{k}"), F.col("p_partkey").cast("string"))
+    return extract.python(t.raw("part").select("p_partkey", body.alias("text")), "p_partkey", "text").drop("end_line")
+
+
+def _manifests(t):
+    n = F.col("n_nationkey").cast("string")
+    go = F.concat(F.lit("module x\n\nrequire (\n\tgithub.com/a/"), F.lower("n_name"), F.lit(" v1."), n, F.lit(".0\n)\n"))
+    gem = F.concat(F.lit("source 'x'\ngem '"), F.lower("n_name"), F.lit("', '~> "), n, F.lit("'\ngem 'plain'\n"))
+    both = F.array(F.struct(F.concat(n, F.lit("/go.mod")).alias("path"), go.alias("text")), F.struct(F.concat(n, F.lit("/Gemfile")).alias("path"), gem.alias("text")), F.struct(F.lit("readme.md").alias("path"), go.alias("text")))
+    return manifests.dependencies(t.raw("nation").select(F.inline(both)))
+
+
+DEPS = "deps as (select n_nationkey || '/go.mod' as path, 'go' as manager, 'github.com/a/' || lower(n_name) as name, 'v1.' || n_nationkey || '.0' as version from nation union all select n_nationkey || '/Gemfile', 'gem', lower(n_name), '~> ' || n_nationkey from nation union all select n_nationkey || '/Gemfile', 'gem', 'plain', null from nation)"
+
+
+@query("O-18", f"with {DEPS} select * from deps")
+def manifest_rows(t):
+    return _manifests(t)
+
+
+@query("O-19", f"with {DEPS} select distinct 'dependency' as scope, manager, name, version from deps where name <> 'plain' union all select 'workspace', 'gem', 'plain', '1.0'")
+def workspace(t):
+    return manifests.workspace_rows(_manifests(t), t.spark.createDataFrame([("gem", "plain", "1.0")], "manager string, name string, version string"))
+
+
+@query("O-128", "select entity_id from entities where contains(name, 'order_12') order by (case when name = 'order_12' then 100 when starts_with(name, 'order_12') then 60 else 30 end) desc, start_line, file_path, entity_id limit 25")
+def ranked(t):
+    return P.search(t.entities(), "order_12").select("entity_id")
+
+
+@query("O-155", "with c as (select p_name as ref, count(distinct 'p:' || p_brand) as n from part group by 1) select ref as stub, (case when n > 1 then 0.5 else 0.95 end)::double as confidence, n as n_candidates from c")
+def ambiguity(t):
+    p = t.raw("part").select(F.col("p_name").alias("ref"), F.concat(F.lit("p:"), "p_brand").alias("target"))
+    return R.resolve(p.select(F.col("ref").alias("stub"), "ref").distinct(), {"exact_match": p}).select("stub", "confidence", "n_candidates")
+
+
+@query("O-157", "select min('p:' || p_brand) as target from part where p_name = (select min(p_name) from part)")
+def one_stub(t):
+    p = t.raw("part").select(F.col("p_name").alias("ref"), F.concat(F.lit("p:"), "p_brand").alias("target"))
+    ref_ = p.agg(F.min("ref")).first()[0]  # one stub asked for; its filter reaches the scan
+    return R.resolve(t.spark.createDataFrame([(ref_, ref_)], "stub string, ref string"), {"exact_match": p.where(F.col("ref") == ref_)}).select("target")
+
+
+@query("O-171", "select 'big' as a, 'lib' as b, 'tier' as key")
+def conflicts(t):
+    return t.spark.createDataFrame(U.conflicts(RULES), "a string, b string, key string")
+
+
+PLUGIN_TEXT = """
+schema_version: 2
+rules:
+  - rule_id: big
+    priority: 1
+    matchers: {entity_types: [CLASS], metadata_conditions: [{key: segment, operator: eq, value: BUILDING}]}
+    actions: {add_tags: [building]}
+  - rule_id: next
+    priority: 2
+    matchers: {usn_tags_any: [building], name_patterns: ["1$"]}
+  - {rule_id: off, enabled: false}
+"""
+
+
+@query("O-172", "select 'big' as rule_id, count(*) as n from entities where entity_type = 'CLASS' and metadata_json ->> '$.segment' = 'BUILDING' union all select 'next', count(*) from entities where entity_type = 'CLASS' and metadata_json ->> '$.segment' = 'BUILDING' and ends_with(name, '1')")
+def loaded(t):
+    h = U.hits(U.apply(t.entities(), U.load(PLUGIN_TEXT)))
+    return h.select("rule_id", F.col("entities").alias("n"))
+
+
+@query("O-169", "select case when metadata_json ->> '$.segment' = 'BUILDING' and entity_type = 'CLASS' then 'big' else '' end || case when file_path like 'lib/%' then 'lib' else '' end || case when entity_type = 'FUNCTION' then 'ship' else '' end as rules, count(*) as n from entities group by 1")
+def stamped(t):
+    return A.count_by(U.apply(t.entities(), RULES).withColumn("rules", F.array_join("rule_ids", "")), "rules")
+
+
+@query("O-197", None)
+def gate(t):
+    return U.sample_gate(t.entities(), RULES)
+
+
+@query("O-167", """with h as (select entity_id as target_id from entities where lower(name) like 'customer#00000000%' order by entity_id limit 10) select entity_id as source_id, target_id, 0.95::double as confidence from entities, h where entity_type = 'FUNCTION' and ends_with(name, '1')""")
+def declared(t):
+    e = t.entities()
+    src = e.where("entity_type = 'FUNCTION' and endswith(name, '1')").select(F.col("entity_id").alias("source_id"), F.lit("low").alias("hint"), F.lit(1.5).alias("c"))
+    hit = X.hinted(e, {"low": "customer#00000000*"}).withColumnRenamed("entity_id", "target_id")  # ten targets a hint at most
+    return src.join(hit, "hint").select("source_id", "target_id", F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.col("c"))).alias("confidence"))
+
+
+@query("O-195", "select '- `' || id || '` ' || name || ' (' || path || ')' as line from nodes where starts_with(id, 's:')".replace("select", f"with {NODES} select", 1))
+def markdown_lines(t):
+    return nodes(t).where(F.startswith("id", F.lit("s:"))).select(render.node_line(F.col("id"), F.col("name"), F.col("path")).alias("line"))
+
+
+@query("O-26", "select n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' as view from nation")
+def json_view(t):
+    return t.raw("nation").select("n_nationkey", render.sorted_json(name=F.col("n_name"), key=F.col("n_nationkey")).alias("view"))

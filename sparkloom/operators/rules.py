@@ -73,3 +73,46 @@ def conflicts(rules: list[Rule]) -> list[tuple[str, str, str]]:
             meet = "*" in a.types or "*" in b.types or set(a.types) & set(b.types)
             out += [(a.rule_id, b.rule_id, k) for k in sorted(a.put.keys() & b.put.keys()) if meet and a.put[k] != b.put[k]]
     return out
+
+
+def load(text: str) -> list[Rule]:
+    """Rules of a YAML plugin of schema version 2; an unknown version or an invalid pattern raises ValueError."""
+    import re
+
+    import yaml
+
+    doc = yaml.safe_load(text) or {}
+    if str(doc.get("schema_version", "2")).split(".")[0] != "2":
+        raise ValueError(f"schema version {doc.get('schema_version')}")
+    out = []
+    for r in doc.get("rules", []):
+        if not r.get("enabled", True):
+            continue
+        m, a = r.get("matchers", {}), r.get("actions", {})
+        for p in m.get("name_patterns", []):
+            try:
+                re.compile(p)
+            except re.error as e:
+                raise ValueError(f"{r['rule_id']}: {p}") from e
+        meta = tuple((c["key"], c["operator"], c.get("value")) for c in m.get("metadata_conditions", []))
+        out.append(Rule(r["rule_id"], int(r.get("priority", 0)), tuple(m.get("entity_types", ["*"])), tuple(m.get("file_patterns", [])), tuple(m.get("name_patterns", [])), meta, tuple(m.get("usn_tags_any", [])), tuple(a.get("add_tags", [])), {k: str(v) for k, v in a.get("metadata", {}).items()}))
+    return out
+
+
+def fingerprint(rules: list[Rule]) -> str:
+    """SHA-256 of the rules' canonical JSON: the same set in any order has the same print."""
+    import dataclasses
+    import hashlib
+    import json
+
+    rows = sorted(json.dumps(dataclasses.asdict(r), sort_keys=True) for r in rules)
+    return hashlib.sha256("\n".join(rows).encode()).hexdigest()
+
+
+def sample_gate(entities: DataFrame, rules: list[Rule], n: int = 2000) -> DataFrame:
+    """(rule_id, hits, sample, verdict) on the `n` entities smallest by hashed id: fail at no hit or at 10 percent, else pass."""
+    some = entities.orderBy(F.xxhash64("entity_id"), "entity_id").limit(n)
+    h = apply(some, rules)
+    each = h.agg(F.count("*").alias("sample"), *[F.count(F.when(F.array_contains("rule_ids", r.rule_id), 1)).alias(r.rule_id) for r in rules])
+    wide = each.select("sample", F.explode(F.create_map(*[x for r in rules for x in (F.lit(r.rule_id), F.col(f"`{r.rule_id}`"))])).alias("rule_id", "hits"))
+    return wide.select("rule_id", "hits", "sample", F.when((F.col("hits") == 0) | (F.col("hits") * 10 >= F.col("sample")), "fail").otherwise("pass").alias("verdict"))
