@@ -432,3 +432,15 @@ def markdown_lines(t):
 @query("O-26", "select n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' as view from nation")
 def json_view(t):
     return t.raw("nation").select("n_nationkey", render.sorted_json(name=F.col("n_name"), key=F.col("n_nationkey")).alias("view"))
+
+
+@query("O-156", "select relation_type, count(*) as n from rels where not (starts_with(target_id, 'unresolved:') and regexp_extract(target_id, '[^.]*$') in ('17', '34', '51')) group by 1")
+def pruned(t):
+    return A.count_by(R.prune_stubs(t.rels(), ["17", "34", "51"]), "relation_type")
+
+
+@query("O-146", None)
+def cohesion(t):
+    o = t.raw("orders").select(ref("c", "o_custkey").alias("u"), ref("d", "o_orderpriority").alias("v")).distinct()
+    m = t.raw("customer").select(ref("c", "c_custkey").alias("id"), F.col("c_mktsegment").alias("community"))
+    return C.cohesion(o, m.unionByName(t.spark.createDataFrame([("d:1-URGENT", "BUILDING")], "id string, community string")))

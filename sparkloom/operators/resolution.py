@@ -90,3 +90,9 @@ def gaps(spans: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("start", "end")
     upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("_u", upto).where(F.col("start") > F.col("_u")).select(key, F.col("_u").alias("start"), F.col("start").alias("end"))
+
+
+def prune_stubs(rels: DataFrame, common: list[str]) -> DataFrame:
+    """Edges but those to stubs whose last segment is a common method name; run it after retarget, so only open stubs go."""
+    last = F.regexp_extract("target_id", r"([^.:]*)$", 1)
+    return rels.where(~(is_stub("target_id") & last.isin(*common)))

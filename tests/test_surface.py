@@ -71,3 +71,23 @@ def test_labels_are_carried_by_card(spark):
     old = spark.createDataFrame([(1, "x", None, "L1"), (2, "y", "z", "L2")], "id int, a string, b string, label string")
     new = spark.createDataFrame([(7, "x", None), (8, "y", "q")], "id int, a string, b string")
     assert [tuple(r) for r in records.carried(old, new, ["a", "b"]).collect()] == [(7, "L1")]
+
+
+def test_cohesion_counts_parts(spark):
+    from sparkloom.operators import communities
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("c", "d"), ("g", "g")], "u string, v string")
+    members = spark.createDataFrame([(x, "one") for x in "abc"] + [(x, "two") for x in "defg"], "id string, community string")
+    assert {tuple(r) for r in communities.cohesion(edges, members).collect()} == {("one", 3, 1), ("two", 4, 3)}
+
+
+def test_hooks_run_by_priority_then_id(spark):
+    from sparkloom.operators.hooks import Hooks
+
+    hooks = Hooks(("before", "after"))
+    for name, priority in (("b", 1), ("a", 1), ("z", 0)):
+        hooks.add("before", name, lambda df, name=name: df.withColumn("s", F.concat("s", F.lit(name))), priority)
+    with pytest.raises(ValueError):
+        hooks.add("before", "a", lambda df: df)
+    df = spark.createDataFrame([("",)], "s string")
+    assert hooks.run("before", df).first().s == "zab" and hooks.run("after", df).first().s == ""
