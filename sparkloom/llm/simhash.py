@@ -129,10 +129,11 @@ def link(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """(doc_id, th, fp, component_id) for every row of docs; th is XXH64 of the text and tells texts of one id apart.
+    """(doc_id, th, fp, root, component_id) for every row of docs; th is XXH64 of the text and tells texts of one id apart.
 
-    Null and blank texts have fingerprint 0 and link like any other. Repeated rows stay repeated. A null id
-    takes part in linking; a component of null ids alone has a null component_id. Empty input gives no rows.
+    root is one fingerprint of the component and alone identifies it: a component of null ids has a null
+    component_id, and an id of several texts may be the smallest of several components. Null and blank texts have
+    fingerprint 0 and link like any other. Repeated rows stay repeated. Empty input gives no rows.
     """
     keyed = common.save(docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("th"), simhash(F.col(text)).alias("fp")), "simhash")
     least = common.save(keyed.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
@@ -140,16 +141,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id") ->
     rooted = least.join(roots, "fp")
     # Saved before the join: a component of a third of all texts is then split over tasks.
     lows = common.save(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
-    table = common.save(rooted.join(lows, "root").select("fp", "component_id"), "simhash-table")
-    return keyed.join(table, "fp").select("doc_id", "th", "fp", "component_id")
+    table = common.save(rooted.join(lows, "root").select("fp", "root", "component_id"), "simhash-table")
+    return keyed.join(table, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: its smallest doc_id (then smallest text hash); all columns kept."""
     found = common.save(near_duplicates(docs), "simhash-found")
-    rows = found.groupBy("component_id", "doc_id", "th").agg(F.count("*").alias("n"))
+    rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     rows = common.save(rows, "simhash-rows")
-    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))
     kept = first.select(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"), F.lit(True).alias("keep"))
     judged = common.save(rows.join(kept, rows.doc_id.eqNullSafe(kept.doc_id) & (rows.th == kept.th), "left").select(rows.doc_id, rows.th, "n", F.coalesce("keep", F.lit(False)).alias("keep")), "simhash-judged")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), F.xxhash64("text").alias("th"))

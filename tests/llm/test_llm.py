@@ -101,6 +101,15 @@ def test_simhash_components_and_dedup(spark, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_dedup_keeps_unrelated_texts_of_null_and_reused_ids(spark):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)) for _ in range(6)]
+    made = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[2], "b"), (None, texts[2], "b"), (1, texts[3], "a"), (1, texts[4], "a"), (2, texts[4], "a"), (3, texts[5], "a")]
+    got = simhash.deduplicate(docs_of(spark, made)).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[3]), (1, texts[4]), (3, texts[5])]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 301)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
