@@ -10,6 +10,11 @@ Linking at Hamming distance 3, exact and without emitting the pairs of a group:
    side's plain half, and colliding pairs are verified by bit count. Halves shared by more than HOT fingerprints
    go on to agree on a 16-bit quarter and an 8-bit eighth as well, which bounds what meets there by 256.
 3. Links are reduced to components by large-star/small-star.
+
+Distance 3 misses most copies below a similarity of 0.9, so deduplication adds texts whose sets of five-word shingles
+have a Jaccard similarity of SIMILAR or more: MinHash bands propose, the exact similarity of the sets decides. A band
+held by one component proposes nothing. Large groups are first linked to leaders, one a text and round; what is left
+meets in pairs, in bands of more than CROWD texts only where a second band agrees.
 """
 
 from __future__ import annotations
@@ -19,33 +24,67 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from . import common
 
 common.ship(__name__)
 
 HOT = 512
+# Least similarity of near copies, MinHash bands and rows of a band (at 0.8 all bands fail once in 2e7).
+SIMILAR, BANDS, ROWS = 0.8, 32, 4
+CROWD, ROUNDS = 64, 2
+_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned 64-bit fingerprint; 0 for null, empty and blank texts."""
-    if text is None:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
+def _hashes(text: str | None) -> np.ndarray:
+    """XXH64 of every three words, or of all words of a shorter text; none for null, empty and blank texts."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and the six ASCII spaces only
     n = len(words)
     if n == 0:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n < 3:
-        return digest(joined, 42)
+        return np.array([digest(joined, 42)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:-2].tolist(), ends[2:].tolist(), strict=True)), np.uint64, n - 2)
-    return _majority(hashes)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:-2].tolist(), ends[2:].tolist(), strict=True)), np.uint64, n - 2)
+
+
+def fingerprint(text: str | None) -> int:
+    """Unsigned 64-bit fingerprint; 0 for null, empty and blank texts."""
+    return _folded(_hashes(text))
+
+
+def _folded(hashes: np.ndarray) -> int:
+    return int(hashes[0]) if len(hashes) == 1 else _majority(hashes) if len(hashes) else 0
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _shingles(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every five words, from those of its first and last three; a text under five words is one shingle."""
+    if len(hashes) < 3:
+        return _stirred(np.bitwise_xor.reduce(hashes * np.arange(3, 3 + 2 * len(hashes), 2, np.uint64), keepdims=True)) if len(hashes) else hashes
+    return _stirred(hashes[:-2] * np.uint64(0x9E3779B97F4A7C15) + _stirred(hashes[2:]))
+
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    """BANDS signed keys, each a hash of ROWS least values under their own factor; 1,024 shingles are held at once."""
+    if not len(shingles):
+        return []
+    low = np.min([(shingles[a : a + 1024, None] * _FACTORS).min(axis=0) for a in range(0, len(shingles), 1024)], axis=0)
+    low = low.reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        out = _stirred(out * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+    return out.view(np.int64).tolist()
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -64,6 +103,18 @@ def simhash(text: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter(map(fingerprint, text), np.uint64, len(text)).view(np.int64))
 
 
+@F.pandas_udf(StructType().add("fp", LongType()).add("bands", ArrayType(LongType())))
+def signed(text: pd.Series) -> pd.DataFrame:
+    hashes = [_hashes(t) for t in text]
+    fps = np.fromiter(map(_folded, hashes), np.uint64, len(hashes)).view(np.int64)
+    return pd.DataFrame({"fp": fps, "bands": [_bands(_shingles(h)) for h in hashes]})
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def shingle_set(text: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(_shingles(_hashes(t))).view(np.int64) for t in text])
+
+
 def _masks(bits) -> list[int]:
     return [0] + [1 << b if b < 63 else -(1 << 63) for b in bits]
 
@@ -128,16 +179,84 @@ def link(fps: DataFrame) -> DataFrame:
     return joined.select("fp", F.coalesce("top", "comp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
+def _open(members: DataFrame) -> DataFrame:
+    """The members (key, th, comp) of keys that several components hold."""
+    several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return members.join(common.save(several, "similar-keys"), "key", "left_semi")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): components of those pairs (ta, tb, u, v) whose shingle sets are as similar as asked, exactly."""
+    pairs = common.save(pairs, "similar-pairs")
+    a, b = sets.select(F.col("th").alias("ta"), F.col("set").alias("sa")), sets.select(F.col("th").alias("tb"), F.col("set").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)
+    sizes = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb")) - F.lit(1e-9)
+    return pairs.join(a, "ta").join(b, "tb").where(F.when(sizes, near).otherwise(F.lit(False))).select("u", "v").distinct()
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    a, b = left.alias("a"), right.alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    met = a.join(b, [*on, F.col("a.th") < F.col("b.th"), F.col("a.comp") != F.col("b.comp")])
+    return met.select(F.col("a.th").alias("ta"), F.col("b.th").alias("tb"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v")).distinct()
+
+
+def resemble(texts: DataFrame, keyed: DataFrame, roots: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(node, top): the roots that similar texts link, with one root of each such group.
+
+    texts: (th, text); keyed: (th, fp, bands); roots: (fp, root) of every fingerprint.
+    """
+    rows = keyed.select("th", "fp", "bands").join(roots, "fp").select("th", F.col("root").alias("comp"), F.explode("bands").alias("key")).distinct()
+    first = common.save(_open(rows), "similar-members")
+    none = first.select(F.col("comp").alias("u"), F.col("comp").alias("v")).limit(0)
+    if first.isEmpty():
+        return none.toDF("node", "top")
+    held = common.save(texts.join(first.select("th").distinct(), "th", "left_semi"), "similar-texts")
+    sets = common.save(held.groupBy("th").agg(F.first("text").alias("text")).select("th", shingle_set("text").alias("set")), "similar-sets")
+    links, members, top = none, first, None
+
+    def merged() -> DataFrame:
+        return common.save(common.components(links).toDF("node", "top"), "similar-top")
+
+    for r in range(ROUNDS):
+        # One leader a key, then one leader a text: as many pairs as texts at most, however large the group.
+        leads = common.save(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("th", F.lit(r)).alias("x"), "th", "comp")).alias("b")), "similar-leads")
+        met = members.join(leads, "key").where("comp <> b.comp").groupBy("th", "comp").agg(F.min("b").alias("b"))
+        pairs = met.select(F.col("th").alias("ta"), F.col("b.th").alias("tb"), F.col("comp").alias("u"), F.col("b.comp").alias("v"))
+        links = common.save(links.unionByName(_alike(pairs, sets, similarity)), "similar-links")
+        top = merged()
+        moved = first.join(top, first["comp"] == top["node"], "left").select("key", "th", F.coalesce("top", "comp").alias("comp"))
+        members = common.save(_open(common.save(moved, "similar-moved")), "similar-members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    crowds = common.save(sizes.where(F.col("n") > CROWD).select("key"), "similar-crowds")
+    pairs = _pairs(calm := members.join(crowds, "key", "left_anti"), calm, ["key"])
+    if not crowds.isEmpty():
+        crowded = common.save(members.join(crowds, "key", "left_semi"), "similar-crowded")
+        other = crowded.select("th", F.col("key").alias("also"))
+        twice = common.save(crowded.join(other, "th").where("key < also"), "similar-twice")
+        pairs = pairs.unionByName(_pairs(twice, twice, ["key", "also"])).distinct()
+    links = common.save(links.unionByName(_alike(pairs, sets, similarity)), "similar-links")
+    return merged()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """(doc_id, th, fp, root, component_id) for every row of docs; th is XXH64 of the text and tells texts of one id apart.
 
     root is one fingerprint of the component and alone identifies it: a component of null ids has a null
     component_id, and an id of several texts may be the smallest of several components. Null and blank texts have
-    fingerprint 0 and link like any other. Repeated rows stay repeated. Empty input gives no rows.
+    fingerprint 0 and link like any other. Repeated rows stay repeated. Empty input gives no rows. With a similarity,
+    texts whose five-word shingles are at least that similar are linked as well.
     """
-    keyed = common.save(docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("th"), simhash(F.col(text)).alias("fp")), "simhash")
+    made = [simhash(F.col(text)).alias("fp")] if similarity is None else [signed(F.col(text)).alias("s")]
+    keyed = docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("th"), *made)
+    keyed = common.save(keyed if similarity is None else keyed.select("doc_id", "th", "s.fp", "s.bands"), "simhash")
     least = common.save(keyed.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
     roots = common.save(link(least), "simhash-roots")
+    if similarity is not None:
+        tops = resemble(docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")), keyed, roots, similarity)
+        roots = roots.join(tops, roots["root"] == tops["node"], "left").select("fp", F.coalesce("top", "root").alias("root"))
+        roots = common.save(roots, "simhash-tops")
     rooted = least.join(roots, "fp")
     # Saved before the join: a component of a third of all texts is then split over tasks.
     lows = common.save(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
@@ -145,9 +264,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id") ->
     return keyed.join(table, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float | None = SIMILAR) -> DataFrame:
     """docs with one row of each component: its smallest doc_id (then smallest text hash); all columns kept."""
-    found = common.save(near_duplicates(docs), "simhash-found")
+    found = common.save(near_duplicates(docs, similarity=similarity), "simhash-found")
     rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     rows = common.save(rows, "simhash-rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))

@@ -110,6 +110,40 @@ def test_dedup_keeps_unrelated_texts_of_null_and_reused_ids(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
 
 
+def similarity_of(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_dedup_finds_copies_of_similarity_080(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(8):
+        base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 5, 8, 12):
+            words = base[:]
+            for at in rng.sample(range(200), changes):
+                words[at] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    parent = list(range(len(texts)))
+
+    def find(a):
+        return a if parent[a] == a else find(parent[a])
+
+    bits = [simhash.fingerprint(t) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            if similarity_of(texts[a], texts[b]) >= 0.8 or (bits[a] ^ bits[b]).bit_count() <= 3:
+                parent[find(a)] = find(b)
+    lows = {}
+    for i in range(len(texts)):
+        lows.setdefault(find(i), i)
+    got = simhash.deduplicate(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in got) == sorted(lows.values())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 301)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
