@@ -2,12 +2,15 @@
 
 Every rule is a Column over the text. A bounded sample of rows (SAMPLE_ROWS, read once) gives each rule's share of
 rejected rows; its cost is the work of the expression a row, taken from the sample as characters, words or lines
-scanned. Rules run in order of rejections per cost inside one CASE, so a row stops at its first failing rule. The
-order is a plan choice alone: which rows are kept does not depend on it.
+scanned. Rules run in order of rejections per cost inside one CASE; the order is a plan choice alone: which rows are
+kept does not depend on it. keep() makes each rule's inputs inside its branch, so a row stops at its first failing
+rule and later rules cost it nothing. judge() returns the inputs of all rules, so there is nothing to skip there.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +27,15 @@ def _chars_in(text: Column, chars: str) -> Column:
     return (F.char_length(text) - F.char_length(F.translate(text, chars, ""))).cast("long")
 
 
+def _word_chars(text: Column) -> Column:
+    return (F.char_length(text) - _chars_in(text, common.SPACE_CHARS)).cast("long")
+
+
+def _line_stats(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.char_length(F.translate(x, common.SPACE_CHARS, "")) > 0)
+    return let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
+
+
 def _repeated(words: Column) -> Column:
     """Words of an array that lie in a 3-word window found at least twice in it.
 
@@ -59,11 +71,9 @@ def _repeated(words: Column) -> Column:
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns NAMES (long) added or replaced; a null text has no words, symbols or lines."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.char_length(F.translate(x, common.SPACE_CHARS, "")) > 0)
     stats = let(common.words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("r")))
-    line_stats = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
     row = F.struct(
-        stats.alias("s"), line_stats.alias("l"), (F.char_length(t) - _chars_in(t, common.SPACE_CHARS)).cast("long").alias("q_word_chars"), _chars_in(t, SYMBOLS).alias("q_symbols"),
+        stats.alias("s"), _line_stats(t).alias("l"), _word_chars(t).alias("q_word_chars"), _chars_in(t, SYMBOLS).alias("q_symbols"),
     )
     # A generator of one row: what reads the features cannot be pushed below it, so each text is scanned once.
     made = docs.drop(*NAMES).select("*", F.explode(F.array(row)).alias("q_row"))
@@ -101,6 +111,34 @@ def cascade(rules: dict[str, str], names: list[str]) -> Column:
     return F.coalesce(*[F.when(F.expr(rules[k]), F.lit(k)) for k in names], F.lit(None).cast("string"))
 
 
+def passes(rules: dict[str, str], names: list[str], text: Column) -> Column:
+    """Whether text fails none of the rules, tried in the given order; words are made once, at the first rule in need."""
+    t = F.coalesce(text, F.lit(""))
+    of_lines = {"q_lines": "n", "q_dup_lines": "d"}
+
+    def fails(rule: str, w: Column | None) -> Column:
+        used = set(re.findall(r"q_\w+", rule))
+        python = "(" + rule.replace(" and ", ") & (") + ")"
+        if used & set(of_lines):
+            if not used <= set(of_lines):
+                raise ValueError(f"a rule over lines and words: {rule}")
+            return let(_line_stats(t), lambda q: eval(python, {}, {k: q[f] for k, f in of_lines.items()}))
+        make: dict[str, Callable[[], Column]] = {
+            "q_words": lambda: F.size(w).cast("long"), "q_word_chars": lambda: _word_chars(t), "q_symbols": lambda: _chars_in(t, SYMBOLS), "q_repeat_words": lambda: _repeated(w),
+        }
+        return let(F.struct(*[make[k]().alias(k) for k in sorted(used)]), lambda q: eval(python, {}, {k: q[k] for k in used}))
+
+    def chain(rest: list[str], w: Column | None) -> Column:
+        if not rest:
+            return F.lit(True)
+        rule = rules[rest[0]]
+        if w is None and re.search("q_words|q_repeat_words", rule):
+            return let(common.words(t), lambda w: chain(rest, w))
+        return F.when(fails(rule, w), F.lit(False)).otherwise(chain(rest[1:], w))
+
+    return chain(names, None)
+
+
 def judge(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with the q_ features, base_failed, kept and rejected_by.
 
@@ -117,8 +155,9 @@ def judge(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass every rule, all columns as they were."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), docs["text"].alias("text"))
-    return judge(packed).where("kept").select("r.*")
+    rules = {**BASE, **RULES}
+    names = order(features(docs.select("text").limit(SAMPLE_ROWS)), rules)
+    return docs.where(passes(rules, names, docs["text"]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -172,6 +172,19 @@ def test_quality_features_and_cascade(spark, rows):
     assert quality.keep(docs.limit(0)).count() == 0
 
 
+def test_keep_skips_the_rules_after_the_first_failing_one(spark, rows, monkeypatch):
+    more = [(900, "a b c " * 30, "x"), (902, "# % one\n\n# % one\n \nlast", "x"), (906, "### ok " * 60, "x"), (907, "a b\n" * 40, "x"), (908, "i " * 70, "x"), (909, "x" * 30 + " " + "y " * 60, "x")]
+    docs = docs_of(spark, rows + more)
+    want = Counter(r.doc_id for r in quality.judge(docs).where("kept").collect())
+    assert Counter(r.doc_id for r in quality.keep(docs).collect()) == want
+    rules = {**quality.BASE, **quality.RULES}
+    for names in (list(rules), list(rules)[::-1]):
+        assert Counter(r.doc_id for r in docs.where(quality.passes(rules, names, F.col("text"))).collect()) == want
+    monkeypatch.setattr(quality, "order", lambda sample, rules: list(rules))
+    monkeypatch.setattr(quality, "_repeated", lambda words: F.raise_error(F.lit("made")).cast("long"))
+    assert quality.keep(docs_of(spark, [(i, "few words " * i, "x") for i in range(20)])).count() == 0
+
+
 def test_cascade_orders_rules_by_rejection_per_cost(spark):
     sample = quality.features(docs_of(spark, [(i, "word " * 10, "x") for i in range(9)] + [(9, "word " * 80, "x")]))
     assert quality.order(sample, {"never": "q_words < 0", "few_words": "q_words < 50"}) == ["few_words", "never"]
