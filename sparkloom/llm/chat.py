@@ -4,8 +4,9 @@ A conversation logged after every turn leaves one copy per turn. Every turn gets
 XORs of hashes tagged with the turn's place); a conversation whose whole hash is a proper prefix of another, or the
 whole of one with a smaller id, is dropped by anti-join; the rest are rendered.
 
-Prefixes are built in two levels, inside blocks of BLOCK turns and then over the blocks of a conversation, so a
-conversation with a third of all rows is not gathered in one task; it is rendered in parts of BLOCK turns.
+Turns are laid out in range partitions of (conversation, turn, role, start of the text); places and prefixes are built
+inside the part of a conversation that lies in one partition and then over those parts, so a conversation with a third
+of all rows, numbered or not, is not gathered in one task. It is rendered in parts of BLOCK turns.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK = 512
+BLOCK, START = 512, 64
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -23,13 +24,15 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
     Order is by turn (nulls last), role and text. Rows repeated in full are one turn. Null ids are one conversation.
     """
-    rows = turns.select("conv_id", "turn", "role", "text").distinct().withColumn("block", F.expr(f"cast(floor(turn / {BLOCK}) as long)"))
-    rows = common.save(rows, "chat-rows")
+    rows = turns.select("conv_id", "turn", "role", "text").distinct()
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.repartitionByRange(n, F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.substring("text", 1, START))
+    rows = common.save(laid.withColumn("block", F.spark_partition_id()), "chat-rows")
     same = F.col("l.conv_id").eqNullSafe(F.col("r.conv_id")) & F.col("l.block").eqNullSafe(F.col("r.block"))
-    over = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     heads = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n")).select("conv_id", "block", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
     inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    # A conversation within its first block needs no second level.
+    # A conversation within one partition needs no second level.
     several = common.save(heads.where("base > 0"), "chat-heads")
     placed = rows.withColumn("ord", F.row_number().over(inside) - 1).alias("l").join(several.alias("r"), same, "left")
     placed = placed.select("l.conv_id", "l.block", "role", "text", (F.coalesce("base", F.lit(0)) + F.col("ord")).alias("ord"))
@@ -46,7 +49,10 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 
 def maximal(made: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of the conversations that are no prefix of another and first among equals."""
+    """(conv_id, n_turns) of the conversations that are no prefix of another and first among equals.
+
+    Of equal conversations the smallest id stays, a null id only where all are null. Empty input gives no rows.
+    """
     ends = made.groupBy("conv_id").agg(F.max("ord").alias("ord"))
     last = made.alias("m").join(ends.alias("e"), F.col("m.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("m.ord") == F.col("e.ord")))
     whole = common.save(last.select(F.col("m.conv_id").alias("conv_id"), F.col("m.ord").alias("ord"), "a", "b"), "chat-whole")
@@ -59,7 +65,9 @@ def render(turns: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, text) of the maximal conversations.
 
     A turn is <|im_start|>role, a line break, the text, <|im_end|> and a line break; null roles and texts are
-    empty. A conversation up to BLOCK turns has the single part 0. Empty input gives no rows.
+    empty. A conversation up to BLOCK turns has the single part 0; a longer one has a row for every BLOCK turns, whose
+    texts joined in order of part are the whole. Rows repeated in full are one turn; other columns are not read. Very
+    long turns are rendered whole. Empty input gives no rows.
     """
     made = common.save(prefixes(turns), "chat-prefixes")
     kept = common.save(maximal(made), "chat-kept")
@@ -83,6 +91,6 @@ c as (select conv_id, max(n) as n from p group by conv_id),
 w as (select p.h, c.n, min(c.conv_id) as conv_id from p join c on p.conv_id is not distinct from c.conv_id and p.n = c.n group by p.h, c.n),
 i as (select distinct p.h, p.n from p join c on p.conv_id is not distinct from c.conv_id and p.n < c.n),
 k as (select conv_id, n from w where not exists (select 1 from i where i.h = w.h and i.n = w.n))
-select k.conv_id, 0::int as part, k.n::bigint as n_turns, string_agg(s.said, '' order by s.n) as text
-from s join k on s.conv_id is not distinct from k.conv_id group by k.conv_id, k.n
+select k.conv_id, ((s.n - 1) // 512)::int as part, k.n::bigint as n_turns, string_agg(s.said, '' order by s.n) as text
+from s join k on s.conv_id is not distinct from k.conv_id group by k.conv_id, k.n, 2
 """
