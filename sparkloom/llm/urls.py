@@ -1,7 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions joined to rules on short hash prefixes.
 
-A URL is expanded only to as many labels and path characters as some rule has, so very long hosts and paths stay
-cheap. Expressions meet rules on 32 bits of SHA-256; the full digest confirms; the longest rule wins.
+A host is expanded to at most as many labels as some rule has, and a path only to lengths that rules of a fitting host
+have, so very long hosts and paths stay cheap and rules of any number and shape are tried. Expressions meet rules on
+32 bits of SHA-256; the full digest confirms; the longest rule wins.
 """
 
 from __future__ import annotations
@@ -33,30 +34,49 @@ def _short(digest: Column) -> Column:
     return F.substring(digest, 1, 8)
 
 
+def _digest(host: Column, path: Column) -> Column:
+    """Digest of a host-suffix and path-prefix expression; the host's end is part of it."""
+    return F.sha2(F.concat(host, F.lit("\0"), path), 256)
+
+
+def _small(table: DataFrame, label: str) -> DataFrame:
+    """table saved; marked for broadcast where it has BROADCAST_RULES rows or less, else left to Spark's own size check."""
+    table = common.save(table, label)
+    return F.broadcast(table) if table.count() <= BROADCAST_RULES else table
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict; columns of `pages` with these names are replaced.
+    """pages with host, path, rule and verdict; columns of `pages` with these names are replaced, others of any name stay.
 
     A rule (host, path, verdict) fits its host and all subdomains where the path starts with the rule's; the
     longest rule wins, then the longer host, then block. Null urls and urls without :// have empty host and path,
-    fit no rule and get the default. Repeated pages and null ids are judged one by one.
+    fit no rule and get the default. Very long urls are cut to no prefix: only expansions that a rule can match are
+    made. Repeated pages and null ids are judged one by one. Empty pages give no rows, empty rules the default.
     """
-    pages = pages.drop("host", "path", "rule", "verdict")
-    r = rules.select(F.concat("host", "path").alias("rule"), F.size(F.split("host", r"\.")).alias("labels"), F.char_length("path").alias("chars"), F.char_length("host").alias("host_chars"), F.col("verdict").alias("rule_verdict"))
-    r = r.withColumn("digest", F.sha2("rule", 256)).withColumn("short", _short(F.col("digest")))
-    shapes = [(x.labels, x.chars) for x in r.select("labels", "chars").distinct().limit(100_000).collect()]  # lengths in use, not rules
-    if r.count() <= BROADCAST_RULES:
-        r = F.broadcast(r)
-    seen = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    r = rules.select(
+        F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"),
+        _digest(F.col("host"), F.col("path")).alias("digest"),
+    ).withColumn("short", _short(F.col("digest")))
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
+    seen = pages.select(F.struct(*[pages[c] for c in own]).alias("r"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
+    both = common.save(seen.select("host", "path").where("host <> ''").distinct(), "urls-seen")
+    # First the suffixes of each host meet the rules' hosts, then only path lengths that rules of such a host have are tried.
     parts = F.split("host", r"\.")
-    each = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("chars")) for a, b in sorted(shapes)]) if shapes else F.array().cast("array<struct<labels:int,chars:int>>")
-    wide = seen.select("host", "path").distinct().withColumn("p", parts).withColumn("s", F.explode(each))
-    wide = wide.where((F.size("p") >= F.col("s.labels")) & (F.char_length("path") >= F.col("s.chars")))
-    tail = F.array_join(F.slice("p", F.size("p") - F.col("s.labels") + 1, F.col("s.labels")), ".")
-    wide = wide.withColumn("url_digest", F.sha2(F.concat(tail, F.col("path").substr(F.lit(1), F.col("s.chars"))), 256))
-    hits = wide.withColumn("short", _short(F.col("url_digest"))).join(r, "short").where("url_digest = digest and s.labels = labels and s.chars = chars")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), "host_chars", "rule_verdict", "rule")).alias("b"))
-    out = seen.join(best, ["host", "path"], "left")
-    return out.select(*pages.columns, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.rule_verdict", F.lit(default)).alias("verdict"))
+    tails = both.select("host").distinct().withColumn("p", parts).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(max(1, labels))))))
+    tails = tails.select("host", F.array_join(F.slice("p", F.size("p") - F.col("n") + 1, F.col("n")), ".").alias("tail"))
+    tails = tails.withColumn("tail_digest", F.sha2("tail", 256)).withColumn("short", _short(F.col("tail_digest")))
+    hosts = rules.select(F.col("host").alias("rule_host"), F.char_length("path").alias("chars")).distinct()
+    hosts = _small(hosts.withColumn("host_digest", F.sha2("rule_host", 256)).withColumn("short", _short(F.col("host_digest"))), "urls-hosts")
+    fits = common.save(tails.join(hosts, "short").where("tail_digest = host_digest").select("host", "tail", "chars"), "urls-fits")
+    wide = both.join(fits, "host").where(F.char_length("path") >= F.col("chars"))
+    wide = wide.withColumn("url_digest", _digest(F.col("tail"), F.col("path").substr(F.lit(1), F.col("chars"))))
+    hits = wide.withColumn("short", _short(F.col("url_digest"))).join(_small(r, "urls-rules"), "short").where("url_digest = digest")
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), F.char_length("rule_host").alias("h"), "rule_verdict", "rule")).alias("b"))
+    # Saved, so that AQE can split the pages of one url; most pages fit no rule and are not in it.
+    best = common.save(best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "b"), "urls-best")
+    out = seen.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    return out.select(*[F.col(f"r.`{c}`").alias(c) for c in own], "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
