@@ -11,7 +11,7 @@ Items are taken in blocks of BLOCK_CHARS characters, a broadcast of bounded size
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -135,29 +135,31 @@ class Matcher:
                     found = (distance, low + end)
                 if n not in best or found < best[n]:
                     best[n] = found
-        return sorted((self.items[n][0], d, max(0, e - len(self.items[n][1])), e) for n, (d, e) in best.items())
+        found = ((self.items[n][0], d, max(0, e - len(self.items[n][1])), e) for n, (d, e) in best.items())
+        return sorted(found, key=lambda h: (h[0] is None, h[0] or 0, *h[1:]))
 
 
 def matchers(benchmark: DataFrame, rate: float = RATE) -> list[Column]:
-    """For each block of items, a function Column(text) -> HITS. Null and blank items match nothing.
+    """For each block of items, a function Column(text) -> HITS. Null and blank texts match nothing; an item without an id does.
 
-    Blocks are cut by a running count of characters over item ids, so each broadcast is bounded whatever the size
-    of the benchmark; more items mean more blocks.
+    Items are dealt to blocks of about BLOCK_CHARS characters by a hash of id and text, so each broadcast is bounded
+    whatever the size of the benchmark; more items mean more blocks. Equal rows are one item.
     """
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = total // BLOCK_CHARS + 1
-    return [_matcher(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), rate) for b in range(blocks)]
+    return [_matcher(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), rate) for b in range(blocks)]
 
 
 def _matcher(items: DataFrame, rate: float):
-    rows = sorted((r[0], normal(r[1])) for r in items.collect())
+    rows = sorted(((r[0], normal(r[1])) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     shared = items.sparkSession.sparkContext.broadcast((rows, rate))
 
     @F.pandas_udf(HITS)
-    def find(texts: pd.Series) -> pd.Series:
-        matcher = Matcher(*shared.value)
-        return pd.Series([[{"item_id": i, "distance": d, "start": a, "end": b} for i, d, a, b in matcher.search(t)] for t in texts])
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(*shared.value)  # once a task, not once a batch
+        for texts in batches:
+            yield pd.Series([[{"item_id": i, "distance": d, "start": a, "end": b} for i, d, a, b in matcher.search(t)] for t in texts])
 
     return find
 
@@ -165,7 +167,9 @@ def _matcher(items: DataFrame, rate: float):
 def hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance, start, end) for every document and every item in it, one row a pair and row of docs.
 
-    Null and blank texts hold no item. Equal items with other ids are reported each. Empty tables give no rows.
+    Null and blank texts hold no item. Equal items with other ids are reported each, an item without an id with a null
+    item_id. Of equally near places the first counts. Very long texts are searched whole. Repeated rows are reported one
+    by one. Empty tables give no rows.
     """
     out = None
     for find in matchers(benchmark, rate):
@@ -175,7 +179,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs that hold no item, all columns as they were."""
+    """The rows of docs that hold no item, all columns as they were, extra ones of any name included.
+
+    Null and blank texts stay. An item counts whether it has an id or not. Repeated rows stay or go together. An empty
+    benchmark keeps every row; empty docs give no rows.
+    """
     out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"))
     for find in matchers(benchmark, rate):
         out = out.where(F.size(find(F.col("r.text"))) == 0)
