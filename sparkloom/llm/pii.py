@@ -7,8 +7,8 @@ their digits (a permutation, so other numbers get other surrogates) and keep the
 their title, its gender and their script.
 
 Collision checks: over the distinct entities of the whole corpus, a surrogate that is also a real entity, or that two
-entities share, is drawn again (all but the first owner) until none is left. Only these few exceptions are joined
-back, by text; the rest needs no shuffle.
+entities share, is drawn again (all but the first owner) until none is left; domains too full for that are permuted as
+a whole. Only these exceptions are joined back, by text; the rest needs no shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import let
 
-KEY, DRAWS, BROADCAST_TEXTS = "surrogates", 20, 10_000
+KEY, DRAWS, DENSE, BROADCAST_TEXTS = "surrogates", 20, 8, 10_000
 
 # Entity patterns (Java), titles by gender and script, given names and name syllables.
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z][A-Za-z0-9-]*+"
@@ -123,12 +123,13 @@ def _pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
 
 
-def _person(canon: Column, salt: Column) -> Column:
-    """A surname of six syllables, after a given name of the gender where the name has two words."""
+def _person(canon: Column, salt: Column, draw: Column) -> Column:
+    """A surname of six syllables and one more a draw, up to twelve, after a given name of the gender where the name has two words."""
 
     def made(g: str, n: Column) -> Column:
         syl = SYLLABLES["mc" if g.endswith("c") else "m"]
-        sur = F.initcap(F.concat(*[_pick(syl, F.shiftrightunsigned(n, 8 + 4 * k)) for k in range(6)]))
+        more = [F.when(draw > k - 6, _pick(syl, F.shiftrightunsigned(n, 8 + 4 * k))).otherwise("") for k in range(6, 12)]
+        sur = F.initcap(F.concat(*[_pick(syl, F.shiftrightunsigned(n, 8 + 4 * k)) for k in range(6)], F.when(draw == 0, "").otherwise(F.concat(*more))))
         return F.when(F.contains(canon, F.lit(" ")), F.concat(_pick(GIVEN[g], n), F.lit(" "), sur)).otherwise(sur)
 
     g = F.substring_index(canon, ":", 1)
@@ -142,7 +143,7 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Colu
     prefix, rest = F.substring_index(canon, "|", 1), F.substring_index(canon, "|", -1)
     return (
         F.when(kind == "email", mail).when(kind == "secret", F.substring(F.sha2(F.concat(salt, canon), 256), F.lit(1), F.length(canon)))
-        .when(kind == "ipv4", _ip(canon, salt)).when(kind == "name", _person(canon, salt))
+        .when(kind == "ipv4", _ip(canon, salt)).when(kind == "name", _person(canon, salt, draw))
         .when(kind == "phone", F.concat(prefix, F.lit("|"), _feistel(rest, salt))).when(kind == "ssn", _feistel(canon, salt)).otherwise(_card(canon, salt))
     )
 
@@ -170,29 +171,51 @@ def entities(docs: DataFrame) -> DataFrame:
     return m.select("kind", canon_of(F.col("kind"), F.col("m")).alias("canon")).distinct()
 
 
+def domain_of(kind: Column, canon: Column) -> Column:
+    """What the permutation of a kind maps onto itself: prefix and number of digits; null for surrogates drawn from a hash."""
+    rest = F.concat(F.substring_index(canon, "|", 1), F.lit("|"), F.length(F.substring_index(canon, "|", -1)).cast("string"))
+    return F.when(kind == "phone", rest).when(kind == "ipv4", F.lit("all")).when(kind.isin("ssn", "card"), F.length(canon).cast("string"))
+
+
 def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon, draw) of the entities whose first surrogate is a real entity or another one's surrogate."""
-    now = common.save(found.withColumn("draw", F.lit(0)).withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key)), "pii-made")
-    real = now.select("kind", F.col("canon").alias("made"))
-    for _ in range(DRAWS):
-        owner = now.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("draw", "canon")).alias("f")).where("n > 1")
-        shared = now.join(owner, ["kind", "made"]).where(F.struct("draw", "canon") > F.col("f")).select("kind", "canon")
-        bad = common.save(shared.unionByName(now.join(real, ["kind", "made"], "left_semi").select("kind", "canon")).distinct().withColumn("again", F.lit(1)), "pii-bad")
+    """(kind, canon, draw) of the entities whose first surrogate is a real entity or another one's surrogate.
+
+    A domain so full of real entities that DRAWS draws leave some on one of them (say all numbers of three digits) cannot
+    avoid them. All its entities then take one common draw, a permutation of the domain, so they stay distinct; of
+    DENSE such draws it is the first that leaves none in its place, else the last. Names get longer with later draws.
+    """
+    kind, canon, domain = F.col("kind"), F.col("canon"), domain_of(F.col("kind"), F.col("canon"))
+    now = found.withColumns({"draw": F.lit(0), "made": surrogate(kind, canon, F.lit(0), key), "settled": F.lit(False)})
+    now = common.save(now, "pii-made")
+    real = found.select("kind", F.col("canon").alias("made"))
+    for n in range(10 * DRAWS):
+        live = now.where("not settled")
+        owner = live.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("draw", "canon")).alias("f")).where("n > 1")
+        shared = live.join(owner, ["kind", "made"]).where(F.struct("draw", "canon") > F.col("f")).select("kind", "canon")
+        bad = common.save(shared.unionByName(live.join(real, ["kind", "made"], "left_semi").select("kind", "canon")).distinct().withColumn("again", F.lit(1)), "pii-bad")
         if bad.isEmpty():
-            break
+            return now.where("draw > 0").select("kind", "canon", "draw")
+        if n >= DRAWS and not bad.where(domain.isNotNull()).isEmpty():
+            full = common.save(bad.where(domain.isNotNull()).select("kind", domain.alias("domain")).distinct(), "pii-full")
+            stays = [F.count(F.when(surrogate(kind, canon, F.lit(DRAWS + d), key) == canon, 1)) for d in range(DENSE)]
+            pick = F.coalesce(*[F.when(c == 0, F.lit(DRAWS + d)) for d, c in enumerate(stays[:-1])], F.lit(DRAWS + DENSE - 1))
+            placed = now.withColumn("domain", domain)
+            picks = common.save(placed.join(full, ["kind", "domain"], "left_semi").groupBy("kind", "domain").agg(pick.alias("pick")), "pii-picks")
+            nxt = placed.join(picks, ["kind", "domain"], "left")
+            now = common.save(nxt.select("kind", "canon", F.coalesce("pick", "draw").alias("draw"), "made", F.col("pick").isNotNull().alias("settled")), "pii-made")
+            continue
         nxt = now.join(bad, ["kind", "canon"], "left").withColumn("draw", F.col("draw") + F.coalesce("again", F.lit(0)))
-        nxt = nxt.withColumn("made", F.when(F.col("again") == 1, surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key)).otherwise(F.col("made")))
+        nxt = nxt.withColumn("made", F.when(F.col("again") == 1, surrogate(kind, canon, F.col("draw"), key)).otherwise(F.col("made")))
         now = common.save(nxt.drop("again"), "pii-made")
-    else:
-        raise RuntimeError("surrogates still collide")
-    return now.where("draw > 0").select("kind", "canon", "draw")
+    raise RuntimeError("surrogates still collide")
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text replaced and n_entities added or replaced.
 
     Null texts stay null, empty ones empty; both have no entities. Repeated rows, and one entity in many documents,
-    get the same surrogates. Empty input gives no rows.
+    get the same surrogates. Very long texts are searched whole. Other columns, of any name, stay. Empty input gives
+    no rows.
     """
     docs = docs.drop("n_entities")
     odd = common.save(exceptions(entities(docs), key), "pii-odd")
