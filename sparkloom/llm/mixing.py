@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
-A document's key is -ln(u) / quality with u from MD5 of its id: sorted ascending within a source this is weighted
+A document's key is -ln(u) / quality with u from MD5 of its id and text (so documents without an id draw apart): sorted ascending within a source this is weighted
 sampling without replacement, the same on every run. A source's target is met by complete epochs first; the rest
 takes documents in key order while their prefix sum of words stays within it (the one that crosses goes to the
 nearer side).
@@ -27,9 +27,10 @@ def quality(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + _chars_in(F.coalesce(text, F.lit("")), SYMBOLS) / F.greatest(size, F.lit(1)))
 
 
-def keyed(docs: DataFrame, size: Column, weight: Column, seed: str = "mix") -> DataFrame:
-    """docs with _size, _key and _bucket. A null id hashes as the empty string; ties are broken by id and size."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def keyed(docs: DataFrame, size: Column, weight: Column, text: Column | None = None, seed: str = "mix") -> DataFrame:
+    """docs with _size, _key and _bucket, added or replaced. Null ids and texts hash as the empty string; ties go by id and size."""
+    body = F.md5(F.coalesce(F.col("text") if text is None else text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), body).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
     made = docs.withColumn("_size", size).withColumn("_key", -F.log(u) / weight)
     return made.withColumn("_bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS)).cast("int"))
@@ -55,11 +56,13 @@ def targets(sums: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def mix(made: DataFrame, **how) -> DataFrame:
-    """Rows of keyed() with source_size, target and _times, how often the mix takes each.
+    """Rows of keyed() with source_size, target and _times, how often the mix takes each; columns of these names are replaced.
 
     Sources without words get target 0 and take nothing. Null sources are one source. Repeated rows count one by
     one. Empty input gives no rows. `made` is read three times; pass a saved table where its columns are dear.
     """
+    own = [c for c in made.columns if c not in ("source_size", "target", "_times")]
+    made = made.select(F.struct(*[made[c] for c in own]).alias("_r"), *[made[c] for c in ("doc_id", "source", "_size", "_key", "_bucket")])
     sums = common.save(made.groupBy("source", "_bucket").agg(F.sum("_size").alias("n")), "mix-sums")
     goal = targets(sums.groupBy("source").agg(F.sum("n").cast("long").alias("source_size")), **how)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
@@ -71,20 +74,24 @@ def mix(made: DataFrame, **how) -> DataFrame:
     plan = goal.alias("g").join(cross.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").join(done.alias("d"), F.col("g.source").eqNullSafe(F.col("d.source")), "left")
     plan = common.save(plan.select(F.col("g.source").alias("_src"), "source_size", "target", "epochs", "rest", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("cut_from", F.lit(0)).alias("cut_from"), F.coalesce("done", F.lit(-1)).alias("done")), "mix-plan")
     rows = made.join(plan, F.col("source").eqNullSafe(F.col("_src")))
-    keep = [*made.columns, "source_size", "target"]
+    keep = ["_r", "source_size", "target"]
     sure = rows.where("_bucket <> cut").select(*keep, (F.col("epochs") + F.when(F.col("_bucket") <= F.col("done"), 1).otherwise(0)).alias("_times"))
     before = F.col("cut_from") + F.coalesce(F.sum("_size").over(Window.partitionBy("source").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = rows.where("_bucket = cut").withColumn("_before", before)
     edge = edge.select(*keep, (F.col("epochs") + F.when(F.col("_before") + F.col("_size") / 2 <= F.col("rest"), 1).otherwise(0)).alias("_times"))
-    return sure.unionByName(edge)
+    return sure.unionByName(edge).select(*[F.col(f"_r.`{c}`").alias(c) for c in own], "source_size", "target", "_times")
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row as often as its _times says, all columns as they were."""
+    """docs as the mix takes them: each row as often as its _times says, all columns as they were, extra ones of any name included.
+
+    Null and blank texts have no words and are taken as often as their source's complete epochs say. Very long texts
+    are taken whole. Ties go by id and size, repeated rows count one by one. Empty input gives no rows.
+    """
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"))
     text = F.col("r.text")
     size = common.n_words(text)
-    mixed = mix(keyed(packed, size, quality(text, size)))
+    mixed = mix(keyed(packed, size, quality(text, size), text))
     return mixed.where("_times > 0").select(F.explode(F.array_repeat("r", F.col("_times"))).alias("r")).select("r.*")
 
 
@@ -99,7 +106,7 @@ OP1_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
          length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) as sym,
-         (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 1) / 4503599627370496.0::double as u
+         (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint + 1) / 4503599627370496.0::double as u
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size, [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w from d group by source
