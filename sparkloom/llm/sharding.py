@@ -11,7 +11,7 @@ from . import common
 
 common.ship(__name__)
 
-ROWS_A_RUN = 50_000
+ROWS_A_RUN, COPIES = 50_000, 10_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -60,7 +60,10 @@ def assign(docs: DataFrame, shards: int, id_: str = "doc_id", text: str = "text"
     heads = common.save(heads.select("shard", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "shard-heads")
     inside = Window.partitionBy("shard", "run").orderBy("spot", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("before", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(heads, ["shard", "run"])
-    out = out.withColumn("slot", F.explode(F.sequence(F.col("base") + F.col("before"), F.col("base") + F.col("before") + F.col("copies") - 1)))
+    # Two generators, so that the copies of one row never stand in one array.
+    out = out.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    start = F.col("base") + F.col("before")
+    out = out.withColumn("slot", F.explode(F.sequence(start + F.col("from"), start + F.least(F.col("from") + COPIES, F.col("copies")) - 1)))
     return out.select("doc_id", "size", "text_crc32", "shard", "grown_shard", "slot")
 
 
