@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade, in SQL expressions only.
 
-Every rule is a Column over the text. A bounded sample of rows (SAMPLE_ROWS, read once) gives each rule's share of
-rejected rows; its cost is the work of the expression a row, taken from the sample as characters, words or lines
-scanned. Rules run in order of rejections per cost inside one CASE; the order is a plan choice alone: which rows are
-kept does not depend on it. keep() makes each rule's inputs inside its branch, so a row stops at its first failing
-rule and later rules cost it nothing. judge() returns the inputs of all rules, so there is nothing to skip there.
+Every rule is a Column over the text. On a bounded sample (the first SAMPLE_ROWS rows that a task reads) each rule is
+evaluated by itself between two readings of the clock: that gives its share of rejected rows and its cost a row. Rules
+run in order of rejections per cost inside one CASE; the order is a plan choice alone: which rows are kept does not
+depend on it. keep() makes each rule's inputs inside its branch, so a row stops at its first failing rule and later
+rules cost it nothing. judge() returns the inputs of all rules, so there is little to skip there.
 """
 
 from __future__ import annotations
@@ -54,12 +54,12 @@ def _repeated(words: Column) -> Column:
 
     def covered(g: Column) -> Column:
         placed = F.zip_with(g, F.sequence(F.lit(0), F.size(g) - 1), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-        return let(F.array_sort(placed), lambda s: let(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.coalesce(a.v == b.v, F.lit(False))), lambda same: _spans(s, same)))
+        return let(F.sort_array(placed), lambda s: let(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.coalesce(a.v == b.v, F.lit(False))), lambda same: _spans(s, same)))
 
     def _spans(s: Column, same: Column) -> Column:
         before = F.concat(F.array(F.lit(False)), F.slice(same, 1, F.size(same) - 1))
         marks = F.zip_with(same, before, lambda a, b: a | b)
-        at = F.array_sort(F.filter(F.zip_with(s, marks, lambda x, m: F.when(m, x.i)), lambda i: i.isNotNull()))
+        at = F.sort_array(F.filter(F.zip_with(s, marks, lambda x, m: F.when(m, x.i)), lambda i: i.isNotNull()))
         return let(at, lambda p: F.aggregate(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), none, lambda x, y: x + y))
 
     def judged(g: Column) -> Column:
@@ -93,40 +93,54 @@ RULES = {
     "long_words": "q_word_chars > 25 * q_words",
     "repeated_lines": "q_lines >= 4 and 2 * q_dup_lines > q_lines",
 }
-# What a rule scans, in columns of the sample: the measured work behind its inputs.
-_SCANS = {"few_words": ("q_word_chars",), "repeated_windows": ("q_word_chars", "q_words", "q_words"), "symbols": ("q_word_chars", "q_word_chars"), "short_words": ("q_word_chars",), "long_words": ("q_word_chars",), "repeated_lines": ("q_word_chars", "q_lines")}
 
 
-def order(sample: DataFrame, rules: dict[str, str]) -> list[str]:
-    """Rule names by rejection per cost, most first (ties by name), from one aggregate over a bounded sample."""
-    facts = [F.avg(F.expr(f"cast(({x}) as double)")).alias(f"r_{k}") for k, x in rules.items()]
-    facts += [F.avg(reduce(lambda a, b: a + b, [F.col(c) for c in _SCANS.get(k, ("q_word_chars",))])).alias(f"c_{k}") for k in rules]
-    row = sample.agg(*facts).first()
-    rate = {k: (row[f"r_{k}"] or 0.0) / (1.0 + (row[f"c_{k}"] or 0.0)) for k in rules}
-    return sorted(rules, key=lambda k: (-rate[k], k))
+def _fails(rule: str, t: Column, w: Column | None = None) -> Column:
+    """Whether the text t fails a rule; w is its array of words where that is made already."""
+    used = sorted(set(re.findall(r"q_\w+", rule)))
+    python = "(" + rule.replace(" and ", ") & (") + ")"
+    of_lines = {"q_lines": "n", "q_dup_lines": "d"}
+    if set(used) & set(of_lines):
+        if not set(used) <= set(of_lines):
+            raise ValueError(f"a rule over lines and words: {rule}")
+        return let(_line_stats(t), lambda q: eval(python, {}, {k: q[f] for k, f in of_lines.items()}))
+    words = common.words(t) if w is None else w
+    make: dict[str, Callable[[], Column]] = {
+        "q_words": lambda: F.size(words).cast("long"), "q_word_chars": lambda: _word_chars(t), "q_symbols": lambda: _chars_in(t, SYMBOLS), "q_repeat_words": lambda: _repeated(words),
+    }
+    return let(F.struct(*[make[k]().alias(k) for k in used]), lambda q: eval(python, {}, {k: q[k] for k in used}))
+
+
+def measured(docs: DataFrame, rules: dict[str, str], text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+    """Share of rejected rows and nanoseconds a row of each rule, over at most `rows` rows; zeros without rows.
+
+    The limit is met where the rows are read, and only verdicts and times leave the tasks, whatever the texts' size.
+    """
+    t = F.coalesce(docs[text], F.lit(""))
+
+    def clock() -> Column:
+        return F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+    def timed(rule: str) -> Column:
+        return let(clock(), lambda a: let(_fails(rule, t), lambda r: F.struct(r.alias("r"), (clock() - a).alias("ns"))))
+
+    seen = docs.select(*[timed(rules[k]).alias(k) for k in rules]).limit(rows).collect()
+    return {k: (sum(bool(x[k].r) for x in seen) / max(1, len(seen)), sum(x[k].ns for x in seen) / max(1, len(seen))) for k in rules}
+
+
+def order(facts: dict[str, tuple[float, float]]) -> list[str]:
+    """Rule names by rejections per cost, most first; ties by name."""
+    return sorted(facts, key=lambda k: (-facts[k][0] / (1.0 + facts[k][1]), k))
 
 
 def cascade(rules: dict[str, str], names: list[str]) -> Column:
-    """Name of the first failing rule in the given order, null for rows that pass all."""
+    """Name of the first failing rule in the given order, null for rows that pass all; over the columns of features()."""
     return F.coalesce(*[F.when(F.expr(rules[k]), F.lit(k)) for k in names], F.lit(None).cast("string"))
 
 
 def passes(rules: dict[str, str], names: list[str], text: Column) -> Column:
     """Whether text fails none of the rules, tried in the given order; words are made once, at the first rule in need."""
     t = F.coalesce(text, F.lit(""))
-    of_lines = {"q_lines": "n", "q_dup_lines": "d"}
-
-    def fails(rule: str, w: Column | None) -> Column:
-        used = set(re.findall(r"q_\w+", rule))
-        python = "(" + rule.replace(" and ", ") & (") + ")"
-        if used & set(of_lines):
-            if not used <= set(of_lines):
-                raise ValueError(f"a rule over lines and words: {rule}")
-            return let(_line_stats(t), lambda q: eval(python, {}, {k: q[f] for k, f in of_lines.items()}))
-        make: dict[str, Callable[[], Column]] = {
-            "q_words": lambda: F.size(w).cast("long"), "q_word_chars": lambda: _word_chars(t), "q_symbols": lambda: _chars_in(t, SYMBOLS), "q_repeat_words": lambda: _repeated(w),
-        }
-        return let(F.struct(*[make[k]().alias(k) for k in sorted(used)]), lambda q: eval(python, {}, {k: q[k] for k in used}))
 
     def chain(rest: list[str], w: Column | None) -> Column:
         if not rest:
@@ -134,30 +148,32 @@ def passes(rules: dict[str, str], names: list[str], text: Column) -> Column:
         rule = rules[rest[0]]
         if w is None and re.search("q_words|q_repeat_words", rule):
             return let(common.words(t), lambda w: chain(rest, w))
-        return F.when(fails(rule, w), F.lit(False)).otherwise(chain(rest[1:], w))
+        return F.when(_fails(rule, t, w), F.lit(False)).otherwise(chain(rest[1:], w))
 
     return chain(names, None)
 
 
 def judge(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with the q_ features, base_failed, kept and rejected_by.
+    """docs with the q_ features, base_failed, kept and rejected_by, added or replaced.
 
-    Null, empty and blank texts have no words, fail few_words and are not kept. Ties and repeated rows are judged
-    alike. Empty input gives no rows.
+    rejected_by names the failing rule that is declared first, whatever the cascade's order. Null, empty and blank
+    texts have no words, fail few_words and are not kept. Very long texts are judged whole. Ties and repeated rows are
+    judged alike. Other columns, of any name, stay. Empty input gives no rows.
     """
-    sample = features(docs.select(text).limit(sample_rows), text)
     rules = {**BASE, **RULES}
+    names = order(measured(docs, rules, text, sample_rows))
     made = features(docs, text)
-    failed = cascade(rules, order(sample, rules))
     base = reduce(lambda a, b: a | b, [F.expr(x) for x in BASE.values()])
-    return made.withColumns({"base_failed": base, "rejected_by": failed}).withColumn("kept", F.col("rejected_by").isNull())
+    return made.withColumns({"base_failed": base, "kept": cascade(rules, names).isNull(), "rejected_by": cascade(rules, list(rules))})
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass every rule, all columns as they were."""
+    """The rows of docs that pass every rule, all columns as they were, extra ones of any name included.
+
+    Null, empty and blank texts fail few_words and go. Repeated rows are kept or go together. Empty input gives no rows.
+    """
     rules = {**BASE, **RULES}
-    names = order(features(docs.select("text").limit(SAMPLE_ROWS)), rules)
-    return docs.where(passes(rules, names, docs["text"]))
+    return docs.where(passes(rules, order(measured(docs, rules)), docs["text"]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
