@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # The white space that separates words, and the word pattern made from it.
@@ -25,10 +25,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is set only where none is configured (tests)."""
+    """The shared folder of spark.checkpoint.dir; a local one is set only in local mode where none is configured (tests)."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loom-"))
         have = sc.getCheckpointDir()
     return have
@@ -66,6 +68,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges saved, with their number and a sum of hashes, both taken by the job that writes them."""
+    seen = Observation()
+    out = save(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "cc")
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the smallest node reached.
 
@@ -73,23 +82,21 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     split, so a star with any number of leaves stays distributed. Edges never multiply beyond twice the input.
     Empty edges give no rows; self-loops and repeated edges are dropped.
     """
-    e = save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    mark = None
+    e, now = _counted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == mark:
+        if now[0] == 0:
             break
-        mark = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        big = save(large, "cc")
+        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         star = big.join(low, "u").select("v", "m", "u")
         small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new = save(small.distinct(), "cc")
-        drop(e, big)
-        e = new
+        new, then = _counted(small.distinct())
+        drop(e)
+        e, now, mark = new, then, now
+        if now == mark:
+            break
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -13,8 +13,11 @@ Linking at Hamming distance 3, exact and without emitting the pairs of a group:
 
 Distance 3 misses most copies below a similarity of 0.9, so deduplication adds texts whose sets of five-word shingles
 have a Jaccard similarity of SIMILAR or more: MinHash bands propose, the exact similarity of the sets decides. A band
-held by one component proposes nothing. Large groups are first linked to leaders, one a text and round; what is left
-meets in pairs, in bands of more than CROWD texts only where a second band agrees.
+held by one component proposes nothing. Every text first meets the leader of each of its bands: the member that shares
+bands with most texts, so that edited copies of one text meet that text. What is then left in different components
+meets in pairs in bands of up to CROWD texts; in larger ones every text meets LEADERS members drawn by hash, so rows
+grow with the texts and never with the square of a group. Pairs of a larger band that agree in no other and with no
+leader are not compared.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ common.ship(__name__)
 HOT = 512
 # Least similarity of near copies, MinHash bands and rows of a band (at 0.8 all bands fail once in 2e7).
 SIMILAR, BANDS, ROWS = 0.8, 32, 4
-CROWD, ROUNDS = 64, 2
+CROWD, LEADERS = 64, 3
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LANES = np.uint64(0x0101010101010101)
 
@@ -195,13 +198,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "ta").join(b, "tb").where(F.when(sizes, near).otherwise(F.lit(False))).select("u", "v").distinct()
 
 
-def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    a, b = left.alias("a"), right.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    met = a.join(b, [*on, F.col("a.th") < F.col("b.th"), F.col("a.comp") != F.col("b.comp")])
+def _pairs(members: DataFrame) -> DataFrame:
+    """Pairs of members (key, th, comp) of different components that meet on a key; callers bound a key's members."""
+    a, b = members.alias("a"), members.alias("b")
+    met = a.join(b, [F.col("a.key") == F.col("b.key"), F.col("a.th") < F.col("b.th"), F.col("a.comp") != F.col("b.comp")])
     return met.select(F.col("a.th").alias("ta"), F.col("b.th").alias("tb"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v")).distinct()
 
 
+def _led(members: DataFrame, leads: DataFrame) -> DataFrame:
+    """Pairs of each member with the leaders b of its keys, where their components differ."""
+    met = members.join(leads, "key").where("comp <> b.comp")
+    return met.select(F.col("th").alias("ta"), F.col("b.th").alias("tb"), F.col("comp").alias("u"), F.col("b.comp").alias("v")).distinct()
+
+
 def resemble(texts: DataFrame, keyed: DataFrame, roots: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """(node, top): the roots that similar texts link, with one root of each such group.
 
@@ -214,28 +223,25 @@ def resemble(texts: DataFrame, keyed: DataFrame, roots: DataFrame, similarity: f
         return none.toDF("node", "top")
     held = common.save(texts.join(first.select("th").distinct(), "th", "left_semi"), "similar-texts")
     sets = common.save(held.groupBy("th").agg(F.first("text").alias("text")).select("th", shingle_set("text").alias("set")), "similar-sets")
-    links, members, top = none, first, None
+    sizes = common.save(first.groupBy("key").agg(F.count("*").alias("n")), "similar-sizes")
+    degree = common.save(first.join(sizes, "key").groupBy("th").agg(F.sum("n").alias("d")), "similar-degree")
+    lead = F.min(F.struct((-F.col("d")).alias("x"), "th", "comp")).alias("b")
+    leads = common.save(first.join(degree, "th").groupBy("key").agg(lead), "similar-leads")
+    links = common.save(_alike(_led(first, leads), sets, similarity), "similar-links")
 
     def merged() -> DataFrame:
         return common.save(common.components(links).toDF("node", "top"), "similar-top")
 
-    for r in range(ROUNDS):
-        # One leader a key, then one leader a text: as many pairs as texts at most, however large the group.
-        leads = common.save(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("th", F.lit(r)).alias("x"), "th", "comp")).alias("b")), "similar-leads")
-        met = members.join(leads, "key").where("comp <> b.comp").groupBy("th", "comp").agg(F.min("b").alias("b"))
-        pairs = met.select(F.col("th").alias("ta"), F.col("b.th").alias("tb"), F.col("comp").alias("u"), F.col("b.comp").alias("v"))
-        links = common.save(links.unionByName(_alike(pairs, sets, similarity)), "similar-links")
-        top = merged()
-        moved = first.join(top, first["comp"] == top["node"], "left").select("key", "th", F.coalesce("top", "comp").alias("comp"))
-        members = common.save(_open(common.save(moved, "similar-moved")), "similar-members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    crowds = common.save(sizes.where(F.col("n") > CROWD).select("key"), "similar-crowds")
-    pairs = _pairs(calm := members.join(crowds, "key", "left_anti"), calm, ["key"])
-    if not crowds.isEmpty():
-        crowded = common.save(members.join(crowds, "key", "left_semi"), "similar-crowded")
-        other = crowded.select("th", F.col("key").alias("also"))
-        twice = common.save(crowded.join(other, "th").where("key < also"), "similar-twice")
-        pairs = pairs.unionByName(_pairs(twice, twice, ["key", "also"])).distinct()
+    top = merged()
+    moved = first.join(top, first["comp"] == top["node"], "left").select("key", "th", F.coalesce("top", "comp").alias("comp"))
+    members = common.save(_open(common.save(moved, "similar-moved")), "similar-members")
+    sizes = common.save(members.groupBy("key").agg(F.count("*").alias("n")), "similar-sizes")
+    crowds = sizes.where(F.col("n") > CROWD).select("key")
+    pairs = _pairs(members.join(crowds, "key", "left_anti"))
+    drawn = [F.min(F.struct(F.xxhash64("th", F.lit(r)).alias("x"), "th", "comp")).alias(f"b{r}") for r in range(LEADERS)]
+    crowded = common.save(members.join(crowds, "key", "left_semi"), "similar-crowded")
+    leads = crowded.groupBy("key").agg(*drawn).select("key", F.explode(F.array(*[f"b{r}" for r in range(LEADERS)])).alias("b"))
+    pairs = pairs.unionByName(_led(crowded, common.save(leads.distinct(), "similar-leads"))).distinct()
     links = common.save(links.unionByName(_alike(pairs, sets, similarity)), "similar-links")
     return merged()
 
