@@ -137,7 +137,8 @@ def training_order(packed: DataFrame, key: int = KEY, per_shard: int = PER_SHARD
     def place(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(np.int64), total, key))
 
-    rows = packed.join(base, "part").withColumn("index", F.col("base") + F.col("ord"))
+    # The counts have a row a task of the scan, so tokens are never shuffled to meet them.
+    rows = packed.join(F.broadcast(base), "part").withColumn("index", F.col("base") + F.col("ord"))
     rows = rows.withColumn("slot", place("index"))
     n = max(1, min(total // 256 + 1, max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // per_shard + 1)))
     rows = rows.withColumns({"shard": F.expr(f"cast(slot div {per_shard} as int)"), "position": F.expr(f"cast(slot % {per_shard} as int)")})
@@ -191,6 +192,12 @@ def read_sequences(folder: str, start: int, length: int = LENGTH, per_shard: int
 
 
 def materialise(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Packed sequences of docs in training order, see training_order().
+
+    Null and empty texts add their end token alone; null ids stand as null in doc_ids. Very long texts run over as
+    many sequences as they need. Repeated rows are packed one by one. Columns but doc_id and text are not read. Empty
+    input gives no rows.
+    """
     return training_order(pack(docs, tokenizer))
 
 
