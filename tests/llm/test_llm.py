@@ -180,14 +180,20 @@ def test_keep_skips_the_rules_after_the_first_failing_one(spark, rows, monkeypat
     rules = {**quality.BASE, **quality.RULES}
     for names in (list(rules), list(rules)[::-1]):
         assert Counter(r.doc_id for r in docs.where(quality.passes(rules, names, F.col("text"))).collect()) == want
-    monkeypatch.setattr(quality, "order", lambda sample, rules: list(rules))
+    monkeypatch.setattr(quality, "order", lambda facts: list(rules))
+    monkeypatch.setattr(quality, "measured", lambda *a: {})
     monkeypatch.setattr(quality, "_repeated", lambda words: F.raise_error(F.lit("made")).cast("long"))
     assert quality.keep(docs_of(spark, [(i, "few words " * i, "x") for i in range(20)])).count() == 0
 
 
 def test_cascade_orders_rules_by_rejection_per_cost(spark):
-    sample = quality.features(docs_of(spark, [(i, "word " * 10, "x") for i in range(9)] + [(9, "word " * 80, "x")]))
-    assert quality.order(sample, {"never": "q_words < 0", "few_words": "q_words < 50"}) == ["few_words", "never"]
+    docs = docs_of(spark, [(i, "word " * 10, "x") for i in range(9)] + [(9, "word " * 80, "x")])
+    facts = quality.measured(docs, {"never": "q_words < 0", "few_words": "q_words < 50"})
+    assert facts["never"][0] == 0 and facts["few_words"][0] == 0.9 and min(facts["never"][1], facts["few_words"][1]) > 0
+    assert quality.order(facts) == ["few_words", "never"]
+    assert quality.order({"dear": (0.9, 9000.0), "cheap": (0.5, 10.0), "b": (0.0, 1.0), "a": (0.0, 5.0)}) == ["cheap", "dear", "a", "b"]
+    assert quality.measured(docs.limit(0), quality.BASE) == dict.fromkeys(quality.BASE, (0.0, 0.0))
+    assert quality.measured(docs, quality.RULES, rows=3).keys() == quality.RULES.keys()
 
 
 def test_mix_takes_words_near_targets(spark, rows):
@@ -337,7 +343,7 @@ def edits(a, b):
 
 def test_decontamination_matches_brute_force(spark, rows):
     rng = random.Random(4)
-    items = [(i, rows[i][1][20:140]) for i in range(12)] + [(50, ""), (51, None), (52, "tiny"), (None, "x")]
+    items = [(i, rows[i][1][20:140]) for i in range(12)] + [(50, ""), (51, None), (52, "tiny"), (None, rows[20][1][10:120])]
     docs = []
     for n in range(80):
         text, (_, item) = rows[40 + n % 60][1], items[n % 12]
@@ -351,16 +357,16 @@ def test_decontamination_matches_brute_force(spark, rows):
             else:
                 del x[at]
         docs.append((n, text[:60] + " " + "".join(x).upper() + "\n" + text[60:], "s"))
-    docs += [(200, None, "s"), (201, "", "s"), docs[0]]
+    docs += [(200, None, "s"), (201, "", "s"), docs[0], (202, f"found {items[-1][1]} here", "s"), (203, "x " * 30_000 + items[0][1] + " y" * 30_000, "s")]
     frame, bench = docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.hits(frame, bench).collect()}
     want = {}
     for i, text, _ in docs:
-        for k, item in items:
+        for k, item in items[:1] if i == 203 else items:
             norm, body = decontaminate.normal(item), decontaminate.normal(text)
-            if k is not None and norm and body and (d := edits(norm, body)) <= decontaminate.budget(len(norm)):
+            if norm and body and (d := edits(norm, body)) <= decontaminate.budget(len(norm)):
                 want[(i, k)] = d
-    assert got == want and len(want) > 20
+    assert got == want and len(want) > 20 and (202, None) in want and (203, 0) in want
     kept = decontaminate.clean(frame, bench)
     assert kept.columns == frame.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _, _ in docs if i not in {d for d, _ in want})
@@ -403,6 +409,68 @@ def test_chat_keeps_maximal_conversations(spark, monkeypatch, block):
     assert chat.render(frame.limit(0)).count() == 0
 
 
+def test_url_rules_of_many_shapes_and_clashing_columns(spark):
+    rules = [(f"h{n}.org", "/" + "p" * n, "block") for n in range(300)] + [("a.b.c.org", "", "block"), ("org", "/q", "allow")]
+    made = [(n, f"http://x.h{n}.org/" + "p" * (n + 1)) for n in range(300)] + [(300, "http://z.a.b.c.org"), (301, "http://org/q"), (302, None), (303, "http://h7.org/pp")] + [(304, "http://h9.org/" + "p" * 9)] * 200
+    names = "page_id long, url string, b string, p string, s string, r string, digest string, host string, b_host string, labels string"
+    pages = spark.createDataFrame([(*m, *"12345678") for m in made], names)
+    got = urls.judge(pages, urls.rule_table(spark, rules))
+    assert got.columns == ["page_id", "url", "b", "p", "s", "r", "digest", "b_host", "labels", "host", "path", "rule", "verdict"]
+    rows = got.collect()
+    assert len(rows) == len(made) and all((r.b, r.p, r.labels) == ("1", "2", "8") for r in rows)
+    want = {n: (f"h{n}.org/" + "p" * n, "block") for n in range(300)} | {300: ("a.b.c.org", "block"), 301: ("org/q", "allow"), 302: (None, "allow"), 303: (None, "allow"), 304: ("h9.org/" + "p" * 9, "block")}
+    assert {r.page_id: (r.rule, r.verdict) for r in rows} == want
+
+
+def test_mix_with_clashing_columns_and_null_ids(spark):
+    names = "doc_id long, text string, source string, target string, done string, cut string, epochs string, source_size string, b string, _r string, r string"
+    docs = spark.createDataFrame([(None, f"w{i} " * (1 + i % 7), "ab"[i % 2], *"1234567" , "8") for i in range(60)], names)
+    out = mixing.sample(docs)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {tuple("12345678")}
+    size = common.n_words(F.col("text"))
+    made = mixing.mix(mixing.keyed(docs, size, F.lit(1.0)))
+    assert made.columns[:3] == ["doc_id", "text", "source"] and made.count() == 60
+    assert made.select("_key").distinct().count() > 50
+
+
+def test_sharding_opens_a_row_of_many_copies_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 4)
+    docs = spark.createDataFrame([(1, "x")] * 23 + [(None, None)] * 9, "doc_id long, text string")
+    got = sharding.assign(docs, 3).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 32 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    return duckdb.connect()
+
+
+@pytest.mark.parametrize("name", ["op1_mix_sources", "op5_quality_rules", "op8_chat", "op9_url_filter"])
+def test_queries_match_their_sql(spark, duck, tmp_path, name, rows):
+    from sparkloom.llm import queries
+
+    long = [(1000, n, "user" if n % 2 else None, f"t{n}") for n in range(1200)] + [(1001, n, "user" if n % 2 else None, f"t{n}") for n in range(700)]
+    ties = [(1002, None, "a", f"u{n}") for n in range(600)] + [(None, 1, "x", None), (None, None, None, "")]
+    tables = {
+        "documents": docs_of(spark, rows + [(None, None, None), (None, "a b c " * 40, "sA"), (700, "one\n" * 60, "sB")]).select("doc_id", "text", "lang", "source", "n_chars"),
+        "pages": spark.createDataFrame([(i, u, "") for i, u in enumerate(["http://A.example.com/en/77?x", "http://com/en/", "http://x.org/es", "http://d.example.net/de/8/1", None, "", "x://a.com/en/b://c.org/es/"] * 3)] + [(None, "http://net/de/9", "")], "page_id long, url string, html string"),
+        "conversations": spark.createDataFrame(long + ties + long[:9], "conv_id long, turn long, role string, text string"),
+    }
+    for k, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{k}.parquet"))
+        duck.execute(f"create or replace view {k} as select * from read_parquet('{tmp_path}/{k}.parquet/*.parquet')")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    want = duck.execute(queries.ORACLES[name]).fetchall()
+    columns = [d[0] for d in duck.description]
+    key = repr
+    assert sorted(map(tuple, got.select(*columns).collect()), key=key) == sorted(want, key=key) and want
+
+
 def test_url_rules(spark):
     made = ["http://A.example.com/en/77?x=/de/", "https://example.com/en/7", "http://com/en/", "http://notcom/en/", "http://x.org/es", "http://x.org/es/#q", "http://d.example.net/de/8/1", "http://net/de/9", None, "", "no scheme/en/", "ftp://", "http://h.com:80/en/", "x://a.com/en/b://c.org/es/", "http://" + "a." * 3000 + "com/en/" + "p" * 5000]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate([*made, made[0]])] + [(None, made[1], "h", "p")], "page_id long, url string, host string, path string")
@@ -458,6 +526,21 @@ def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     assert kinds is not pii.surrogate and draw is not None
 
 
+def test_pii_full_domains_are_permuted(spark):
+    docs = spark.range(1001).select(F.col("id").alias("doc_id"))
+    dense = docs.withColumn("text", F.when(F.col("doc_id") < 1000, F.format_string("call +1 %d %02d now", F.expr("cast(doc_id div 100 as int)"), F.expr("cast(doc_id % 100 as int)"))))
+    got = {r.doc_id: r.text for r in pii.replace(dense).collect()}
+    was = {r.doc_id: r.text for r in dense.collect()}
+    assert got[1000] is None and len({got[i] for i in range(1000)}) == 1000
+    assert all(re.fullmatch(r"call \+1 \d \d\d now", got[i]) for i in range(1000)) and not any(got[i] == was[i] for i in range(1000))
+
+
+def test_pii_names_grow_with_draws(spark):
+    names = spark.createDataFrame([("name", "f:Anna Smith", d) for d in range(9)] + [("name", "mc:Петров", d) for d in range(9)], "kind string, canon string, draw int")
+    got = [r.s for r in names.select(pii.surrogate(F.col("kind"), F.col("canon"), F.col("draw")).alias("s")).collect()]
+    assert len(set(got)) == 18 and len(got[8]) > len(got[0]) and len(got[17]) > len(got[9])
+
+
 def test_pii_exceptions_reach_the_text(spark, monkeypatch):
     real = spark.createDataFrame([("ipv4", "1.2.3.4", 1)], "kind string, canon string, draw int")
     docs = spark.createDataFrame([(1, "at 1.2.3.4 now"), (2, "at 1.2.3.5 now"), (3, None)], "doc_id long, text string")
