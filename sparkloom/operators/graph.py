@@ -14,6 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loom-"))
     path = f"{sc.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -64,17 +66,18 @@ def trace_path(edges: DataFrame, source: str, target: str, depth: int = 5) -> Da
     return spark.createDataFrame([(i, n, r) for i, (n, r) in enumerate(reversed(path))], "hop int, id string, relation_type string")
 
 
-def closure(edges: DataFrame, depth: int = 20) -> DataFrame:
-    """(u, v): transitive closure of small hierarchies by semi-naive rounds; cycles end by the distinct."""
-    base = cut(edges.select("u", "v").distinct())
-    every, new = base, base
-    for _ in range(depth):
-        step = new.join(base.withColumnsRenamed({"u": "m", "v": "w"}), F.col("v") == F.col("m")).select("u", F.col("w").alias("v")).distinct()
+def closure(edges: DataFrame) -> DataFrame:
+    """(u, v): transitive closure, to the fixpoint whatever its depth; cycles end by the anti-join.
+
+    A round joins the newest pairs to all pairs, so path lengths double and a chain of n edges takes log2(n) rounds.
+    """
+    every = new = cut(edges.select("u", "v").distinct())
+    while True:
+        step = new.join(every.withColumnsRenamed({"u": "m", "v": "w"}), F.col("v") == F.col("m")).select("u", F.col("w").alias("v")).distinct()
         new = cut(step.join(every, ["u", "v"], "left_anti"))
         if new.isEmpty():
-            break
+            return every
         every = every.unionByName(new)
-    return every
 
 
 def orphans(entities: DataFrame, rels: DataFrame, key: str = "id") -> DataFrame:
@@ -97,7 +100,28 @@ def connected(edges: DataFrame) -> DataFrame:
             return label.select("id", F.col("c").alias("component"))
 
 
-def two_cycles(edges: DataFrame) -> DataFrame:
-    """(a, b) with edges both ways, a < b."""
-    e = edges.select("u", "v").distinct()
-    return e.join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"]).where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
+    """(relation_type, nodes): every simple cycle of one relation with up to `longest` nodes, from its smallest node on.
+
+    edges: (u, v, relation_type). A node that refers to itself is a cycle, but not for IMPORTS. A path starts at the
+    smallest node of its cycle and grows through larger ones only, so each cycle is found once, in its least rotation.
+    Edges that lie on no cycle are peeled off first: those from nodes nothing leads to and to nodes that lead nowhere.
+    """
+    e = cut(edges.select("relation_type", "u", "v").distinct())
+    own = e.where("u = v and relation_type <> 'IMPORTS'").select("relation_type", F.array("u").alias("nodes"))
+    live, n = e.where("u <> v"), -1
+    while True:
+        inner = live.join(live.select("relation_type", F.col("v").alias("u")).distinct(), ["relation_type", "u"], "left_semi")
+        inner = cut(inner.join(live.select("relation_type", F.col("u").alias("v")).distinct(), ["relation_type", "v"], "left_semi").select("relation_type", "u", "v"))
+        live, was, n = inner, n, inner.count()
+        if n in (0, was):
+            break
+    found, paths = own, live.where("u < v").select("relation_type", F.array("u", "v").alias("nodes"))
+    for size in range(2, longest + 1):
+        paths = cut(paths)
+        if paths.isEmpty():
+            break
+        tip = paths.withColumn("u", F.element_at("nodes", -1)).join(live, ["relation_type", "u"])
+        found = found.unionByName(tip.where(F.col("v") == F.element_at("nodes", 1)).select("relation_type", "nodes"))
+        paths = tip.where((F.col("v") > F.element_at("nodes", 1)) & ~F.array_contains("nodes", F.col("v"))).select("relation_type", F.concat("nodes", F.array("v")).alias("nodes"))
+    return found
