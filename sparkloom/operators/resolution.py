@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import module_of
 from .filters import base_name, is_stub
+from .graph import cut
 
 # Confidence of each strategy, best strategy first.
 STRATEGIES = {"exact_match": 0.95, "package_alias": 0.85, "scope_qualified": 0.70}
 
 
 def by_name(entities: DataFrame, query: str) -> DataFrame:
-    """Entities a name means: exact id, else exact name, else name up to its hash suffix, else stubs. One rung only.
+    """Entities a name means: exact id, else dotted path, else exact name, else name up to its hash suffix, else stubs.
 
-    Of several rows on the rung, a MODULE gives way where exactly one other row is left.
+    One rung only. A dotted path is a module, or the end of one, and a name in its file. Of several rows on the rung, a MODULE gives way where exactly one other row is left.
     """
     stub = is_stub("entity_id")
-    rung = F.when(F.col("entity_id") == query, 1).when((F.col("name") == query) & ~stub, 3).when((base_name() == query) & ~stub, 4).when((F.col("name") == query) & stub, 5)
+    module, _, last = query.rpartition(".")
+    dotted = (base_name() == last) & F.endswith(F.concat(F.lit("."), module_of(F.col("file_path"))), F.lit("." + module)) if module else F.lit(False)
+    rung = F.when(F.col("entity_id") == query, 1).when(F.coalesce(dotted, F.lit(False)) & ~stub, 2).when((F.col("name") == query) & ~stub, 3).when((base_name() == query) & ~stub, 4).when((F.col("name") == query) & stub, 5)
     hits = entities.withColumn("rung", rung).where("rung is not null")
     others = F.sum(F.when(F.col("entity_type") != "MODULE", 1).otherwise(0)).alias("others")
     best = hits.groupBy("rung").agg(others).orderBy("rung").limit(1)
@@ -42,12 +46,19 @@ def resolve(stubs: DataFrame, candidates: dict[str, DataFrame]) -> DataFrame:
 
 
 def compress(links: DataFrame, rounds: int = 3) -> DataFrame:
-    """(u, v) with chains u -> v -> ... followed up to 2^rounds hops by pointer jumping; cycles are dropped."""
-    now = links.select("u", "v")
+    """(u, v) of the links u -> v whose chain ends, after at most 2^rounds further hops, in what is no stub.
+
+    Pointer jumping over saved tables, then one hop more. Chains that run into a cycle of any length, that are longer,
+    or that end in a stub without a link are dropped. links has one row a u; stubs begin with `unresolved:`.
+    """
+    first = now = cut(links.select("u", "v"))
+
+    def hop(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b.select(F.col("u").alias("m"), F.col("v").alias("w")), F.col("v") == F.col("m"), "left").select("u", F.coalesce("w", "v").alias("v"))
+
     for _ in range(rounds):
-        nxt = now.select(F.col("u").alias("m"), F.col("v").alias("w"))
-        now = now.join(nxt, F.col("v") == F.col("m"), "left").select("u", F.coalesce("w", "v").alias("v")).where("u <> v")
-    return now
+        now = cut(hop(now, now))
+    return hop(now, first).where(~is_stub("v"))
 
 
 def retarget(rels: DataFrame, resolved: DataFrame) -> DataFrame:
