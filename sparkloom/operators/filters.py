@@ -8,11 +8,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import language
+
 # Legacy relation types and their forward names; role bits; what a traversal may follow, by priority.
 INVERSE = {"CALLED_BY": "CALLS", "IMPORTED_BY": "IMPORTS", "REFERENCED_IN": "READS", "CONTAINED_WITHIN": "CONTAINS"}
 ROLES = {"definition": 1, "import": 2, "writeaccess": 4, "readaccess": 8, "generated": 16, "declaration": 32, "dynamic": 64, "heuristic": 128}
 PRIORITY = {"CALLS": 0, "INHERITS": 1, "IMPLEMENTS": 1, "IMPORTS": 2, "READS": 3, "WRITES": 3, "CONTAINS": 4} | dict.fromkeys(["USES", "DEFINES", "OVERRIDES", "STACK_BOUNDARY", "WRAPPED_BY", "DEPENDS_ON_API", "CLEANED_BY", "HAS_ATTRIBUTE", "LINKS_TO", "IMPORTS_STYLE", "REFERENCES"], 5)
 
+# Folders and file names of tests; characters that make a search a pattern; separators of a language's names.
+TEST_FOLDERS = ("test", "tests", "testing", "spec", "specs", "__tests__", "test_utils")
+TEST_FILE = r"(^test_.+|.+_test|.+\.test|.+\.spec)\.[^.]+$"
+PATTERN_SIGNS = r"[.\[\]{}()*+?^$|\\]"
+SEPARATORS = {
+    "python": (".",), "typescript": (".", "/", "./", "@/"), "javascript": (".", "/", "./", "@/"), "rust": ("::",), "go": ("/", "."), "java": (".",), "kotlin": (".",), "scala": (".",),
+    "csharp": (".",), "swift": (".",), "dart": (".", "package:"), "cpp": ("::",), "ruby": ("::",), "perl": ("::",), "php": ("\\", "::"), "r": ("::",), "haskell": (".",), "ocaml": (".",),
+    "julia": (".",), "erlang": (":",), "lua": (".", ":"), "zig": (".",), "verilog": (".",),
+}
+
 
 def is_stub(col: str) -> Column:
     return F.startswith(F.col(col), F.lit("unresolved:"))
@@ -29,10 +41,17 @@ def name_matches(pattern: str, col: str = "name") -> Column:
 
 
 def truthy(meta: str, key: str) -> Column:
-    """Whether a JSON value is true in the loose sense: false, 0, "", [], {} and null are not. The cheap test comes first."""
-    v = F.try_parse_json(F.col(meta))
-    text = F.expr(f"try_variant_get(try_parse_json({meta}), \"$['{key}']\", 'string')")
-    return F.contains(F.col(meta), F.lit(f'"{key}"')) & v.isNotNull() & F.coalesce(~text.isin("false", "0", "0.0", "", "[]", "{}"), F.lit(False))
+    """Whether a JSON value is true in the loose sense: false, 0, "", [], {} and null are not, other strings are.
+
+    The value's JSON type decides, so "false", "0" and "[]" in quotes are true. The cheap test comes first.
+    """
+    at = f"try_parse_json({meta}), \"$['{key}']\""
+    kind, text = F.expr(f"schema_of_variant(try_variant_get({at}, 'variant'))"), F.expr(f"try_variant_get({at}, 'string')")
+    true = (
+        F.when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true").when(F.startswith(kind, F.lit("ARRAY")), text != "[]").when(F.startswith(kind, F.lit("OBJECT")), text != "{}")
+        .when(kind == "VOID", F.lit(False)).otherwise(F.expr(f"try_variant_get({at}, 'double')") != 0)
+    )
+    return F.contains(F.col(meta), F.lit(f'"{key}"')) & F.coalesce(true, F.lit(False))
 
 
 def quarantined(meta: str = "metadata_json") -> Column:
@@ -60,8 +79,8 @@ def forward(rels: DataFrame) -> DataFrame:
 
 def is_test_path(path: str = "file_path") -> Column:
     segments = F.slice(F.split(F.lower(path), "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
-    words = F.array(*[F.lit(x) for x in ("test", "tests", "testing", "spec", "specs", "__tests__", "test_utils")])
-    return F.arrays_overlap(segments, words) | F.rlike(F.lower(F.substring_index(path, "/", -1)), F.lit(r"(^test_.+|.+_test|.+\.test|.+\.spec)\.[^.]+$"))
+    words = F.array(*[F.lit(x) for x in TEST_FOLDERS])
+    return F.arrays_overlap(segments, words) | F.rlike(F.lower(F.substring_index(path, "/", -1)), F.lit(TEST_FILE))
 
 
 def category(path: str = "file_path") -> Column:
@@ -102,12 +121,12 @@ def base_name(col: str = "name") -> Column:
 def score(query: str) -> Column:
     """Search score: how the name matches, kind, export, path and test weight."""
     name, low = base_name(), re.sub(r"[_\-.\s]", "", query).lower()
-    match = F.when(name == query, 100).when(F.startswith(name, F.lit(query)), 60).when(F.contains(name, F.lit(query)), 30).otherwise(30 if re.search(r"[.\[\]{}()*+?^$|\\]", query) else 10)
+    match = F.when(name == query, 100).when(F.startswith(name, F.lit(query)), 60).when(F.contains(name, F.lit(query)), 30).otherwise(30 if re.search(PATTERN_SIGNS, query) else 10)
     kind = F.when(F.col("entity_type").isin("CLASS", "METHOD", "FUNCTION", "INTERFACE"), 40).when(F.col("entity_type") == "MODULE", 30).when(F.col("entity_type") == "EXTERNAL_SYMBOL", -25).when(F.col("entity_type") == "COMMENT_BLOCK", -40).otherwise(0)
     segment = F.exists(F.split("file_path", "/"), lambda s: F.contains(F.lower(F.regexp_replace(s, r"[_\-.\s]", "")), F.lit(low))) if low else F.lit(False)
     near = F.coalesce(F.contains(F.col("fqn"), F.lit(query)), F.lit(False)) | segment
-    own = {"py": ["."], "ts": [".", "/", "./", "@/"]}
-    mark = reduce(lambda acc, kv: acc.when(F.endswith(F.col("file_path"), F.lit("." + kv[0])), 5 if any(x in query for x in kv[1]) else 0), own.items(), F.when(F.lit(False), 0)).otherwise(0)
+    told = [k for k, signs in SEPARATORS.items() if any(x in query for x in signs)]
+    mark = F.when(language(F.col("file_path")).isin(*told), 5).otherwise(0) if told else F.lit(0)
     return match + kind + F.when(F.col("is_exported"), 15).otherwise(0) + F.when(near, 20).otherwise(0) + mark - F.when(is_test_path(), 15).otherwise(0)
 
 

@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Languages by extension, by file name, and by interpreter line.
-EXTENSIONS = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "html": "html", "css": "css", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "tf": "hcl", "sh": "bash", "sql": "sql"}
+EXTENSIONS = {
+    "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "go": "go", "java": "java",
+    "rb": "ruby", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "php": "php", "cs": "csharp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "scala": "scala",
+    "sc": "scala", "dart": "dart", "hs": "haskell", "lhs": "haskell", "jl": "julia", "erl": "erlang", "hrl": "erlang", "ml": "ocaml", "mli": "ocaml", "fml": "ocaml", "fsi": "ocaml", "lua": "lua",
+    "r": "r", "rdata": "r", "rds": "r", "pl": "perl", "pm": "perl", "v": "verilog", "sv": "verilog", "vh": "verilog", "zig": "zig", "sh": "bash", "bash": "bash", "zsh": "bash", "fish": "bash", "ksh": "bash",
+    "dash": "bash", "m": "objectivec", "mm": "objectivec", "agda": "agda", "hack": "hack", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "htm": "html", "css": "css",
+    "scss": "css", "sass": "css", "less": "css", "md": "markdown", "markdown": "markdown", "mdown": "markdown", "mkd": "markdown", "mkdn": "markdown", "hcl": "hcl", "tf": "hcl", "tfvars": "hcl", "sql": "sql",
+}
 NAMES = {"dockerfile": "dockerfile", "makefile": "makefile", "jenkinsfile": "groovy"}
 INTERPRETERS = {"python": "python", "node": "javascript", "bash": "bash", "sh": "bash", "ruby": "ruby"}
 IGNORED = (".git/**", "node_modules/**", "**/node_modules/**", "**/__pycache__/**", "*.pyc", "dist/**", "build/**")
