@@ -95,3 +95,16 @@ def strided(df: DataFrame, key: str, group: list[str], step: int, n: int) -> Dat
     """Every step-th row of each group in key order, n at most."""
     w = Window.partitionBy(*group).orderBy(key)
     return df.withColumn("rn", F.row_number().over(w) - 1).where((F.col("rn") % step == 0) & (F.col("rn") < step * n)).drop("rn")
+
+
+def stub_states(stubs: DataFrame, meta: str = "metadata_json") -> DataFrame:
+    """(state, n): stubs by the resolution state in their metadata; without one, or without readable metadata, `unknown`."""
+    state = F.coalesce(F.get_json_object(meta, "$.stub_resolution_state"), F.lit("unknown"))
+    return stubs.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def ambiguous(rels: DataFrame, meta: str = "metadata_json") -> DataFrame:
+    """(ambiguous): edges whose metadata marks them ambiguous, in the loose sense of truth."""
+    from .filters import truthy
+
+    return rels.agg(F.count(F.when(truthy(meta, "ambiguous"), 1)).alias("ambiguous"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def change_scan(old: DataFrame, new: DataFrame, key: str = "id", digest: str = "hash") -> DataFrame:
-    """(key, change): added, deleted, modified or unchanged, by one full outer join."""
-    a, b = old.select(key, F.col(digest).alias("h_old")), new.select(key, F.col(digest).alias("h_new"))
-    change = F.when(F.col("h_old").isNull(), "added").when(F.col("h_new").isNull(), "deleted").when(F.col("h_old") != F.col("h_new"), "modified").otherwise("unchanged")
+    """(key, change): added, deleted, modified or unchanged, by one full outer join. A hash missing on one side only is a change."""
+    a, b = old.select(key, F.col(digest).alias("h_old"), F.lit(1).alias("in_old")), new.select(key, F.col(digest).alias("h_new"), F.lit(1).alias("in_new"))
+    change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "deleted").when(~F.col("h_old").eqNullSafe(F.col("h_new")), "modified").otherwise("unchanged")
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 

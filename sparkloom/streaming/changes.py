@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Silence that ends a burst, and the longest wait of a pending change.
@@ -28,14 +28,14 @@ def flushes(events: DataFrame, key: str = "repo", ts: str = "ts", path: str = "p
 # Files of a repository's own folder whose change ends an operation, folders of a running one, folders that never tell.
 BOUNDARY = ("index", "HEAD", "MERGE_HEAD", "CHERRY_PICK_HEAD", "REVERT_HEAD", "AUTO_MERGE", "ORIG_HEAD", "COMMIT_EDITMSG", "MERGE_MSG")
 RUNNING = ("rebase-merge", "rebase-apply", "sequencer")
-SILENT = ("fsmonitor--daemon", "batho", "objects", "logs", "hooks", "info", "lfs", "worktrees", "modules")
+SILENT = ("fsmonitor--daemon", "objects", "logs", "hooks", "info", "lfs", "worktrees", "modules")
 
 
-def boundary(path: Column, event: Column, folder: Column) -> Column:
-    """boundary, lock, in_progress or ignore for an event on a path of the repository's own folder."""
+def boundary(path: Column, event: Column, folder: Column, own: tuple[str, ...] = ()) -> Column:
+    """boundary, lock, in_progress or ignore for an event on a path of the repository's own folder; `own` folders never tell either."""
     p = F.filter(F.split(path, "/"), lambda x: x != "")
     first, name, one = F.get(p, F.lit(0)), F.element_at(p, -1), F.size(p) == 1
-    silent = F.arrays_overlap(p, F.array(*[F.lit(x) for x in SILENT])) | F.contains(path, F.lit(".watchman-cookie-"))
+    silent = F.arrays_overlap(p, F.array(*[F.lit(x) for x in (*SILENT, *own)])) | F.contains(path, F.lit(".watchman-cookie-"))
     running = F.when((event == "deleted") & (folder | one), "boundary").otherwise("in_progress")
     return (
         F.when((F.size(p) < 1) | silent, "ignore").when(F.endswith(name, F.lit(".lock")), "lock").when(first.isin(*RUNNING), running)
@@ -51,3 +51,8 @@ def scan_mode(pending: Column, most: int = 10_000, least: int = 300) -> Column:
 def banner(patching: Column, held: Column, file_pending: Column, pending: Column, failed: Column) -> Column:
     """What a reader is told about staleness, the most pressing first; null where all is current."""
     return F.when(patching, "patching").when(held, "held").when(file_pending, "file_pending").when(pending > 0, F.concat(pending.cast("string"), F.lit(" pending"))).when(failed, "failed")
+
+
+def threshold(order: list[str], key: str, most: int) -> Column:
+    """Number of the flush an event falls in when `most` pending events of a key flush at once."""
+    return F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / most)
