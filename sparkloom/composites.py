@@ -146,11 +146,11 @@ def tiers(t):
     return A.count_by(t.entities().withColumn("tier", key), "tier")
 
 
-@query("O-149", """with t as (select p_brand as community, unnest(list_distinct(string_split(lower(p_name), ' '))) as token from part), tf as (select community, token, count(*) as tf from t where length(token) >= 2 group by 1, 2), df as (select token, count(*) as df from tf group by 1), n as (select count(distinct community) as n from tf),
+@query("O-149", """with t as (select p_brand || '/' || p_size as community, unnest(list_distinct(string_split(lower(p_name), ' '))) as token from part), tf as (select community, token, count(*) as tf from t where length(token) >= 2 group by 1, 2), df as (select token, count(*) as df from tf group by 1), n as (select count(distinct community) as n from tf),
 s as (select community, token, round_even(tf * ln((n + 1) / (df + 1)), 6) as score from tf join df using (token), n), r as (select *, row_number() over (partition by community order by score desc, token) as r from s where score > 0)
 select community, string_agg(token, ' ' order by r) as label from r where r <= 3 group by 1""")
 def labels(t):
-    return C.term_labels(t.raw("part").select(F.col("p_brand").alias("community"), F.col("p_name").alias("name")))
+    return C.term_labels(t.raw("part").select(F.concat_ws("/", "p_brand", "p_size").alias("community"), F.col("p_name").alias("name")))
 
 
 REFS = "case p_partkey % 3 when 0 then p_type || '.' || p_name when 1 then p_name else 'other.' || p_name end"

@@ -129,4 +129,6 @@ changelog as (select * from (select strftime(ts, '%Y-%m-%d') as run_uuid, event_
 
 
 def oracle(sql: str) -> str:
+    if sql.lstrip().startswith("with recursive "):
+        return f"with recursive {CTE.strip()}, {sql.lstrip()[15:]}"
     return f"with {CTE.strip()}\n{sql.strip()}" if not sql.lstrip().startswith("with ") else f"with {CTE.strip()}, {sql.lstrip()[5:]}"

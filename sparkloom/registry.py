@@ -14,7 +14,9 @@ from .operators import joins as J
 from .operators import resolution as R
 from .operators import rules as U
 from .plans.projection import Tables, oracle
+from .sources import files as FS
 from .sources import html, text
+from .streaming import changes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,9 +48,18 @@ def slice_of_file(t):
     return t.entities().where("file_path = 'src/asia/nation_2.py'").select("entity_id", "start_line")
 
 
-@query("O-07", "select regexp_extract(file_path, '[^.]*$') as language, count(*) as n from files group by 1")
+LANGUAGES = ", ".join(f"('{k}', '{v}')" for k, v in FS.EXTENSIONS.items())
+
+
+@query("O-07", f"""with x(ext, language) as (values {LANGUAGES}), n as (select row_number() over (order by ext) - 1 as k, ext, count(*) over () as c from x),
+f as (select p_partkey, 'src/a' || p_partkey || '.' || case p_partkey % 3 when 0 then upper(ext) when 1 then ext else 'none' end as path from part join n on k = p_partkey % c)
+select language, count(*) as n from f left join x on ext = lower(regexp_extract(path, '[^.]*$')) group by 1""")
 def by_language(t):
-    return A.count_by(t.files().withColumn("language", F.substring_index("file_path", ".", -1)), "language")
+    every = F.array(*[F.lit(x) for x in sorted(FS.EXTENSIONS)])
+    k = F.col("p_partkey") % len(FS.EXTENSIONS)
+    ext = F.element_at(every, (k + 1).cast("int"))
+    path = F.concat(F.lit("src/a"), F.col("p_partkey").cast("string"), F.lit("."), F.when(F.col("p_partkey") % 3 == 0, F.upper(ext)).when(F.col("p_partkey") % 3 == 1, ext).otherwise("none"))
+    return A.count_by(t.raw("part").select(FS.language(path).alias("language")), "language")
 
 
 @query("O-10", "select page_id, lower(u.tag) as tag, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)\\b[^>]*>', 1)) as tag from pages) u group by 1, 2")
@@ -216,10 +227,11 @@ def per_file(t):
     return A.entities_per_file(t.files(), t.entities())
 
 
-@query("O-92", "select case l_orderkey % 3 when 0 then 'resolved' when 1 then 'pending' else 'unknown' end as state, count(*) as n from lineitem where l_partkey % 17 = 0 group by 1")
+@query("O-92", "select case l_orderkey % 4 when 0 then 'resolved' when 1 then 'pending' else 'unknown' end as state, count(*) as n from lineitem where l_partkey % 17 = 0 group by 1")
 def stub_states(t):
-    state = F.when(F.col("file_id") % 3 == 0, "resolved").when(F.col("file_id") % 3 == 1, "pending").otherwise("unknown")
-    return A.count_by(t.rels().where(P.is_stub("target_id")).withColumn("state", state), "state")
+    state = F.when(F.col("file_id") % 4 == 0, "resolved").when(F.col("file_id") % 4 == 1, "pending")
+    meta = F.when(F.col("file_id") % 4 == 3, F.lit("no json")).otherwise(F.to_json(F.struct(F.col("line"), state.alias("stub_resolution_state"))))
+    return A.stub_states(t.rels().where(P.is_stub("target_id")).withColumn("metadata_json", meta))
 
 
 @query("O-94", "select sum(case when starts_with(target_id, 'unresolved:') then 1 else 0 end)::bigint as dangling, count(*) as edges from rels")
@@ -347,15 +359,28 @@ def components(t):
     return G.connected(t.raw("orders").select(F.col("o_custkey").alias("u"), (1000000 + F.col("o_orderkey") % 997).alias("v")).distinct())
 
 
-def _two_way(t: Tables) -> DataFrame:
-    li = t.raw("lineitem").join(t.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("u"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("v"))
-    back = t.raw("supplier").join(t.raw("customer"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("u"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("v"))
-    return li.unionByName(back)
+RINGS = """select case when c_custkey div 6 % 2 = 0 then 'CALLS' else 'IMPORTS' end as r, printf('%07d.%d', c_custkey div 6, c_custkey % 6) as u, c_custkey div 6 as g, c_custkey % 6 as k, 2 + c_custkey div 6 % 5 as m from customer""".replace(" div ", " // ")
+
+
+def _rings(t: Tables) -> DataFrame:
+    """Rings of 2 to 6 customers, chords across every fourth, a tail that lies on no cycle, and nodes that refer to themselves."""
+    c = t.raw("customer").select(F.expr("c_custkey div 6").alias("g"), F.expr("cast(c_custkey % 6 as int)").alias("k")).withColumn("m", F.expr("cast(2 + g % 5 as int)"))
+
+    def node(k):
+        return F.format_string("%07d.%d", F.col("g"), k)
 
+    kind = F.when(F.col("g") % 2 == 0, "CALLS").otherwise("IMPORTS").alias("relation_type")
+    ring = c.where("k < m").select(node(F.col("k")).alias("u"), node((F.col("k") + 1) % F.col("m")).alias("v"), kind)
+    chord = c.where("k < m and g % 4 = 0").select(node(F.col("k")).alias("u"), node((F.col("k") + 2) % F.col("m")).alias("v"), kind)
+    rest = c.where("k = 5").select(node(F.col("k")).alias("u"), node(F.col("k")).alias("v"), kind).unionByName(c.where("k > 0").select(node(F.col("k")).alias("u"), F.concat(F.lit("tail"), F.col("g")).alias("v"), kind))
+    return ring.unionByName(chord).unionByName(rest)
 
-@query("O-143", "select distinct 'c' || o_custkey as a, 's' || l_suppkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey where s_nationkey = c_nationkey")
+
+@query("O-143", f"""with recursive c as ({RINGS}), e as (select distinct r, u, printf('%07d.%d', g, (k + 1) % m) as v from c where k < m union select r, u, printf('%07d.%d', g, (k + 2) % m) from c where k < m and g % 4 = 0 union select r, u, u from c where k = 5 union select r, u, 'tail' || g from c where k > 0),
+p as (select r, [u] as nodes, v as tip from e where not (u = v and r = 'IMPORTS') union all select p.r, list_append(p.nodes, p.tip), e.v from p join e on e.r = p.r and e.u = p.tip where not list_contains(p.nodes, p.tip) and len(p.nodes) < 8)
+select distinct r as relation_type, array_to_string(nodes, '>') as nodes from p where tip = nodes[1] and nodes[1] = list_min(nodes)""")
 def cycles(t):
-    return G.two_cycles(_two_way(t))
+    return G.cycles(_rings(t)).select("relation_type", F.array_join("nodes", ">").alias("nodes"))
 
 
 PATH_EDGES = "select distinct 'c' || o_custkey as u, 'p' || l_partkey as v from lineitem join orders on l_orderkey = o_orderkey union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem"
@@ -376,11 +401,21 @@ def trace(t):
     return G.trace_path(e, "c1", end, 5)
 
 
-@query("O-142", "with recursive_edges as (select n_name as u, r_name as v from nations union all select r_name, 'WORLD' from region union all select 'c' || c_custkey, n_name from customer join nations on c_nationkey = file_id) select u, v from recursive_edges union select a.u, b.v from recursive_edges a join recursive_edges b on a.v = b.u union select a.u, c.v from recursive_edges a join recursive_edges b on a.v = b.u join recursive_edges c on b.v = c.u")
+@query("O-142", """with recursive e as (select n_name as u, r_name as v from nations union select r_name, 'WORLD' from region union select 'c' || c_custkey, n_name from customer join nations on c_nationkey = file_id
+union select 's' || s_suppkey, 's' || (s_suppkey + 1) from supplier where s_suppkey % 48 <> 0 union select 'p' || s_suppkey, 'p' || case when s_suppkey % 3 = 2 then s_suppkey - 2 else s_suppkey + 1 end from supplier),
+c as (select u, v from e union select c.u, e.v from c join e on c.v = e.u) select u, v from c""")
 def closure(t):
-    n = t.nations()
+    """Hierarchies, chains of up to 48 suppliers and rings of three."""
+    n, s = t.nations(), t.raw("supplier")
+
+    def ref(tag, key):
+        return F.concat(F.lit(tag), key.cast("string"))
+
+    k = F.col("s_suppkey")
     e = n.select(F.col("n_name").alias("u"), F.col("r_name").alias("v")).union(t.raw("region").select("r_name", F.lit("WORLD")))
-    return G.closure(e.union(t.raw("customer").join(n, F.col("c_nationkey") == F.col("file_id")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "n_name")))
+    e = e.union(t.raw("customer").join(n, F.col("c_nationkey") == F.col("file_id")).select(ref("c", F.col("c_custkey")), "n_name"))
+    e = e.union(s.where(k % 48 != 0).select(ref("s", k), ref("s", k + 1)))
+    return G.closure(e.union(s.select(ref("p", k), ref("p", F.when(k % 3 == 2, k - 2).otherwise(k + 1)))))
 
 
 @query("O-162", "select id, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree from (select source_id as id, 1 as o, 0 as i from rels union all select target_id, 0, 1 from rels) group by 1")
@@ -431,8 +466,7 @@ def debounce(t):
 
 @query("O-203", "select user_id, event_id, ((row_number() over (partition by user_id order by ts, event_id) - 1) // 3)::bigint as flush from events")
 def threshold_flush(t):
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return t.raw("events").select("user_id", "event_id", F.floor(rn / 3).alias("flush"))
+    return t.raw("events").select("user_id", "event_id", changes.threshold(["ts", "event_id"], "user_id", 3).alias("flush"))
 
 
 @query("O-210", "select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2")
@@ -466,9 +500,26 @@ def stub_resolution(t):
     return R.resolve(stubs, {"exact_match": exact, "package_alias": alias})
 
 
-@query("O-154", "with l as (select o_orderkey as u, o_orderkey + 7 as v from orders where o_orderkey % 9 < 5), j as (select a.u, coalesce(b.v, a.v) as v from l a left join l b on a.v = b.u), k as (select a.u, coalesce(b.v, a.v) as v from j a left join j b on a.v = b.u) select a.u, coalesce(b.v, a.v) as v from k a left join k b on a.v = b.u")
+@query("O-154", """with recursive l as (select 'unresolved:' || o_orderkey as u, case when (o_orderkey + 7) % 9 < 5 then 'unresolved:' || (o_orderkey + 7) when o_orderkey % 5 = 0 then 'unresolved:none' || o_orderkey else 'o:' || (o_orderkey + 7) end as v from orders where o_orderkey % 9 < 5
+union all select 'unresolved:k' || o_orderkey || '.' || k, 'unresolved:k' || o_orderkey || '.' || (k + 1) % (2 + o_orderkey % 6) from orders, lateral (select unnest(range(0, (2 + o_orderkey % 6)::bigint)) as k) where o_orderkey % 9 = 8
+union all select 'unresolved:d' || o_orderkey || '.' || k, case when k = 3 + o_orderkey % 9 then 'o:' || o_orderkey else 'unresolved:d' || o_orderkey || '.' || (k + 1) end from orders, lateral (select unnest(range(0, (4 + o_orderkey % 9)::bigint)) as k) where o_orderkey % 9 = 7),
+f as (select u, v, 0 as hops from l union all select f.u, l.v, hops + 1 from f join l on l.u = f.v where hops < 8)
+select u, arg_max(v, hops) as v from f group by u having not starts_with(arg_max(v, hops), 'unresolved:')""")
 def chains(t):
-    return R.compress(t.raw("orders").where("o_orderkey % 9 < 5").select(F.col("o_orderkey").alias("u"), (F.col("o_orderkey") + 7).alias("v")))
+    """Chains of up to five links, some open, cycles of two to seven stubs, and deep chains of up to twelve."""
+    o = t.raw("orders").select(F.col("o_orderkey").alias("k"))
+
+    def stub(tag, *parts):
+        return F.concat(F.lit("unresolved:" + tag), *[p.cast("string") for p in parts])
+
+    key, far = F.col("k"), F.col("k") + 7
+    flat = o.where("k % 9 < 5").select(stub("", key).alias("u"), F.when(far % 9 < 5, stub("", far)).when(key % 5 == 0, stub("none", key)).otherwise(F.concat(F.lit("o:"), far.cast("string"))).alias("v"))
+    n = F.expr("cast(2 + k % 6 as int)")
+    ring = o.where("k % 9 = 8").select("k", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(stub("k", key, F.lit("."), F.col("i")).alias("u"), stub("k", key, F.lit("."), (F.col("i") + 1) % n).alias("v"))
+    last = F.expr("cast(3 + k % 9 as int)")
+    deep = o.where("k % 9 = 7").select("k", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    deep = deep.select(stub("d", key, F.lit("."), F.col("i")).alias("u"), F.when(F.col("i") == last, F.concat(F.lit("o:"), key.cast("string"))).otherwise(stub("d", key, F.lit("."), F.col("i") + 1)).alias("v"))
+    return R.compress(flat.unionByName(ring).unionByName(deep))
 
 
 @query("O-27", "select relation_type, count(*) as n, count(*) filter (starts_with(target_id, 'unresolved:')) as stubs from (select relation_type, case when starts_with(target_id, 'unresolved:') and l % 2 = 0 then 'p:' || l else target_id end as target_id from (select *, try_cast(regexp_extract(target_id, '[0-9]+$') as bigint) as l from rels)) group by 1")
@@ -530,7 +581,6 @@ def overview(t):
 
 from .operators import communities as C  # noqa: E402
 from .operators import semantic as S  # noqa: E402
-from .sources import files as FS  # noqa: E402
 
 PAIRS = "select least(source_id, target_id) as u, greatest(source_id, target_id) as v, round(sum((case relation_type when 'CALLS' then 3 when 'IMPORTS' then 2 when 'READS' then 1 when 'WRITES' then 1 else 0 end) * coalesce(confidence, 1.0::float)::double), 4) as w from rels where source_id <> target_id and relation_type in ('CALLS', 'IMPORTS', 'READS', 'WRITES') and coalesce(confidence, 1.0) > 0 group by 1, 2"
 
@@ -542,7 +592,7 @@ def pair_weights(t):
 
 @query("O-147", None)
 def communities(t):
-    return C.detect(t.rels().where("relation_type in ('CALLS', 'IMPORTS')"), most=2000)
+    return C.detect(t.rels())
 
 
 @query("O-108", """with m as (select 'c:' || c_custkey as id, c_mktsegment as community from customer union all select 'n:' || n_nationkey, 'BUILDING' from nation),
@@ -589,13 +639,12 @@ def not_ignored(t):
     return t.files().where(~FS.ignored(F.col("file_path"), ("lib/* brass/**",))).select("file_path")
 
 
-@query("O-11", """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where text is not null)
-select doc_id, line_no::int as line_no, 'header' as kind, regexp_extract(line, '^#{1,6}\\s+(.+?)\\s*$', 1) as value from l where regexp_matches(line, '^#{1,6}\\s+(.+?)\\s*$')
-union all select doc_id, line_no::int, 'item', regexp_extract(line, '^\\s*(?:[-*+]|\\d+\\.)\\s+(.+)$', 1) from l where regexp_matches(line, '^\\s*(?:[-*+]|\\d+\\.)\\s+(.+)$')
-union all select doc_id, line_no::int, 'code', regexp_extract(line, '^\\s*```(\\w+)', 1) from l where regexp_matches(line, '^\\s*```(\\w+)')
-union all select doc_id, line_no::int, 'link', regexp_extract(line, '\\[[^\\]]*\\]\\(([^)\\s]+)', 1) from l where regexp_matches(line, '\\[[^\\]]*\\]\\(([^)\\s]+)')""")
+@query("O-11", """select c_custkey, unnest([1, 3, 4, 5, 5]) as line_no, unnest(['header', 'item', 'code', 'item', 'link']) as kind, unnest([c_name, c_mktsegment, 'py', 'see [' || c_name || '](http://x.org/' || c_custkey || ')', 'http://x.org/' || c_custkey]) as value from customer""")
 def markdown(t):
-    return FS.markdown(t.raw("documents"), "doc_id", "text")
+    """Whole customers as markdown: a header, a blank line, an item, a code fence, an item with a link."""
+    key = F.col("c_custkey").cast("string")
+    body = F.concat(F.lit("## "), "c_name", F.lit("  \n\n* "), "c_mktsegment", F.lit("\n```py\n1. see ["), "c_name", F.lit("](http://x.org/"), key, F.lit(")\nplain # text\n"))
+    return FS.markdown(t.raw("customer").select("c_custkey", body.alias("text")), "c_custkey", "text")
 
 
 @query("O-119", None)

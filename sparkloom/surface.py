@@ -285,9 +285,12 @@ def sibling_modules(t):
     return L.siblings(p.select(F.col("p_brand").alias("scope"), F.col("p_name").alias("ref")), p.select(F.col("p_brand").alias("scope"), module.alias("module")), p.select(F.concat_ws(".", module, "p_name").alias("symbol")))
 
 
-@query("O-93", "select count(*) filter (n > 1) as ambiguous from (select p_name, count(distinct p_type) as n from part group by 1)")
+@query("O-93", "select count(*) filter (l_orderkey % 7 in (1, 3, 5)) as ambiguous from lineitem")
 def ambiguous(t):
-    return t.raw("part").groupBy("p_name").agg(F.countDistinct("p_type").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("ambiguous"))
+    """Edges with every form of the mark: true, false, the string "false", 0, a list, null, none."""
+    forms = ['{"ambiguous":false}', '{"ambiguous":true}', '{"ambiguous":0}', '{"ambiguous":"false"}', '{"ambiguous":null}', '{"ambiguous":[0]}', "{}"]
+    meta = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("l_orderkey") % 7 + 1).cast("int"))
+    return A.ambiguous(t.raw("lineitem").select(meta.alias("metadata_json")))
 
 
 FILE_EDGES = "with d as (select source_file as a, target_file as b, relation_type, count(*) as n from sourced where source_file <> target_file group by all)"
