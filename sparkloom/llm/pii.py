@@ -37,6 +37,7 @@ GIVEN = {"m": ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo
 SYLLABLES = {"m": ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "wo", "zu", "han"], "mc": ["ба", "де", "фи", "го", "ку", "ла", "ме", "ни", "по", "ру", "са", "те", "ви", "во", "зу", "хан"]}
 
 ALL = "|".join(f"(?:{x})" for x in (EMAIL, NAME, IPV4, SECRET, PHONE, SSN, CARD))
+NO_EMAIL = "|".join(f"(?:{x})" for x in (NAME, IPV4, SECRET, PHONE, SSN, CARD))
 
 
 def kind_of(m: Column) -> Column:
@@ -161,8 +162,16 @@ def layout(kind: Column, m: Column, made: Column) -> Column:
     return F.when(kind.isin("email", "secret", "ipv4"), made).when(kind == "name", name).when(kind == "phone", phone).otherwise(fill(m, made))
 
 
+def _screened(text: Column, with_pattern, none: Column) -> Column:
+    """with_pattern(the alternatives that can match at all): an e-mail has an @, every other kind but a name an ASCII digit, a
+    name a title. These signs are looked for by plain search, so most texts never meet a pattern; the matches are those of ALL.
+    """
+    titled = reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for ts in TITLES.values() for t in ts])
+    return F.when(F.contains(text, F.lit("@")), with_pattern(ALL)).when(F.rlike(text, F.lit("[0-9]")), with_pattern(NO_EMAIL)).when(titled, with_pattern(NAME)).otherwise(none)
+
+
 def matches(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ALL), F.lit(0))
+    return _screened(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -241,7 +250,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     text = F.col("r.text")
     found = packed.withColumn("m", matches(text))
-    parts = F.split(text, ALL, -1)
+    parts = _screened(text, lambda p: F.split(text, p, -1), F.array(text))
     new = F.array_join(F.concat(F.transform(F.arrays_zip(F.slice(parts, F.lit(1), F.size("m")).alias("p"), F.col("m").alias("e")), lambda z: F.concat(z.p, one(z.e))), F.slice(parts, -1, 1)), "")
     text_new = F.when(F.size("m") == 0, text).otherwise(new)
     return found.select(*[text_new.alias(c) if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns], F.size("m").cast("long").alias("n_entities"))

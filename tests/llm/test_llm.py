@@ -517,6 +517,16 @@ def test_pii_surrogates(spark):
     assert pii.replace(docs.limit(0)).count() == 0
 
 
+def test_pii_screen_finds_what_the_whole_pattern_finds(spark):
+    rng = random.Random(6)
+    bits = ["a.b@c.org", "@", "x@y", "Mr. Adam Smith", "Frau Ëva", "Mrs", "Госпожа Иванова", "10.0.0.1", "999.1.1.1", "+1 555 123 4567", "555-123-4567", "123-45-6789", "4111 1111 1111 1111", "deadbeef" * 4, "abcdef12" * 5, "plain", "\u0663\u0664", "7", "\n", "é"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pii.ALL), F.lit(0))
+    rows = df.select("text", pii.matches(F.col("text")).alias("got"), whole.alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and sum(len(r.want) for r in rows) > 400
+
+
 def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     kinds, draw = pii.surrogate, F.col("draw")
     monkeypatch.setattr(pii, "surrogate", lambda k, c, d, key=pii.KEY: F.when(d == 0, F.lit("same")).when((d == 1) & (c == "b"), F.lit("a")).otherwise(F.concat(c, d.cast("string"))))
@@ -526,7 +536,8 @@ def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     assert kinds is not pii.surrogate and draw is not None
 
 
-def test_pii_full_domains_are_permuted(spark):
+def test_pii_full_domains_are_permuted(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DRAWS", 2)
     docs = spark.range(1001).select(F.col("id").alias("doc_id"))
     dense = docs.withColumn("text", F.when(F.col("doc_id") < 1000, F.format_string("call +1 %d %02d now", F.expr("cast(doc_id div 100 as int)"), F.expr("cast(doc_id % 100 as int)"))))
     got = {r.doc_id: r.text for r in pii.replace(dense).collect()}
