@@ -576,12 +576,15 @@ def test_pipeline_against_plain_python(spark, rows, tmp_path):
     spark.createDataFrame(body, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = [r for r in body if (q := naive_quality(r[1]))[0] >= 50 and 100 * q[4] <= 50 * q[0] and 10 * q[2] <= 3 * q[0] and 2 * q[0] <= q[1] <= 25 * q[0]]
-    fps = {simhash.fingerprint(r[1]) for r in kept}
-    groups = roots_by_brute_force([f - (1 << 64) if f >> 63 else f for f in fps])
-    top = {f % (1 << 64): min(g) for g in groups for f in g}
+    texts = sorted({r[1] for r in kept})
+    bits, top = {t: simhash.fingerprint(t) for t in texts}, {t: t for t in texts}
+    for n, t in enumerate(texts):  # the stage links at 3 bits or at a similarity of 0.8
+        for u in texts[:n]:
+            if top[t] != top[u] and ((bits[t] ^ bits[u]).bit_count() <= 3 or similarity_of(t, u) >= 0.8):
+                top = {x: top[u] if y == top[t] else y for x, y in top.items()}
     best = {}
     for r in sorted(kept, key=lambda r: (r[0] is None, r[0])):
-        best.setdefault(top[simhash.fingerprint(r[1])], r)
+        best.setdefault(top[r[1]], r)
     clean = [r for r in best.values() if edits(decontaminate.normal(bench[0][1]), decontaminate.normal(r[1])) > 10]
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     seen = []
