@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back: survives lost executors and ends its lineage."""
-    spark = df.sparkSession
+def shared(spark: SparkSession, kind: str) -> str:
+    """A new path of this kind in the checkpoint folder that all executors share."""
     sc = spark.sparkContext
     if not (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loom-"))
-    path = f"{sc.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/graph-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back: survives lost executors and ends its lineage."""
+    spark, path = df.sparkSession, shared(df.sparkSession, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,6 +13,20 @@ def change_scan(old: DataFrame, new: DataFrame, key: str = "id", digest: str = "
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+def reuse(files: DataFrame, kept: DataFrame, build, now=None, ttl_days: int | None = None) -> DataFrame:
+    """Rows of build over files (path, hash, variant), taken from kept (the same, built_at, and build's columns) where a file is as it was.
+
+    Content hash and variant must agree; rows older than ttl_days at `now` do not count. build takes the other files
+    alone and returns path, hash, variant and its columns. A file that gave no rows before is built again.
+    """
+    key = ["path", "hash", "variant"]
+    if ttl_days is not None:
+        kept = kept.where(F.col("built_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {ttl_days} days"))
+    known = kept.join(files.select(key).distinct(), key, "left_semi")
+    fresh = build(files.join(kept.select(key).distinct(), key, "left_anti"))
+    return known.drop("built_at").withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))
+
+
 def _kth(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 

@@ -6,9 +6,15 @@ All file work goes through Spark's file system classes, so a catalog may lie in
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACK = "1"  # form of packs
+# Bounds of unpacking a member, an archive, a manifest.
+MOST_BYTES, MOST_RATIO, MOST_MANIFEST = 200 * 1024 * 1024, 100, 10 * 1024 * 1024
+_SAFE = re.compile(r"[A-Za-z0-9._=+-]+")
+
 
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
@@ -54,6 +60,9 @@ class Catalog:
             out = df.repartitionByRange(key).sortWithinPartitions(key) if key else df  # narrow row-group ranges for point reads
             out.write.mode("overwrite").parquet(f"{self.root}/{name}/gen={g}")
             now[name] = f"{name}/gen={g}"
+        return self._publish(now, g)
+
+    def _publish(self, now: dict, g: int) -> int:
         self._fs.mkdirs(self._path(f"{self.root}/_manifest"))
         part = self._path(f"{self.root}/_manifest/.{g:08d}.part")
         stream = self._fs.create(part, True)
@@ -63,6 +72,91 @@ class Catalog:
             raise RuntimeError(f"generation {g} was committed by another writer")
         return g
 
+    def _files(self, folder: str) -> list[tuple[str, int]]:
+        """(name, bytes) of a table folder's data files; success marks and checksums are left out."""
+        listed = self._fs.listStatus(self._path(f"{self.root}/{folder}"))
+        return sorted((s.getPath().getName(), s.getLen()) for s in listed if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+
+    def status(self) -> DataFrame:
+        """(name, generation, files, bytes) of the tables of the last generation, from listings alone."""
+        rows = [(n, int(f.rpartition("=")[2]), *(lambda x: (len(x), sum(b for _, b in x)))(self._files(f))) for n, f in sorted(self.manifest().items())]
+        return self.spark.createDataFrame(rows, "name string, generation long, files long, bytes long")
+
+    def delete_runs(self, gone: DataFrame, key: str = "run_uuid") -> int:
+        """A new generation in which no table that has the key holds rows of the runs in gone (key); others are kept as they are."""
+        tables = {n: self.table(n) for n in self.manifest()}
+        return self.commit({n: t.join(gone.select(key).distinct(), key, "left_anti").select(t.columns) for n, t in tables.items() if key in t.columns})
+
+    def export_pack(self, archive: str) -> int:
+        """Write the last generation's files and manifest into one ZIP for transport; returns the number of data files.
+
+        Parquet is compressed already, so members are stored nearly as they are. Streams, so memory stays small.
+        """
+        java = self.spark._jvm.java.util.zip
+        out = java.ZipOutputStream(self._path(archive).getFileSystem(self.spark._jsc.hadoopConfiguration()).create(self._path(archive), True))
+        count, now = 0, self.manifest()
+        out.setLevel(1)
+        out.putNextEntry(java.ZipEntry("manifest.json"))
+        out.write(bytearray(json.dumps({"schema_version": PACK, "tables": sorted(now)}).encode()))
+        out.closeEntry()
+        for name, folder in sorted(now.items()):
+            for file, _ in self._files(folder):
+                out.putNextEntry(java.ZipEntry(f"{name}/{file}"))
+                data = self._fs.open(self._path(f"{self.root}/{folder}/{file}"))
+                self.spark._jvm.org.apache.commons.io.IOUtils.copyLarge(data, out)
+                data.close()
+                out.closeEntry()
+                count += 1
+        out.close()
+        return count
+
+    def import_pack(self, archive: str, most: int = MOST_BYTES, ratio: int = MOST_RATIO) -> int:
+        """Take a pack's tables in as a new generation; returns its number.
+
+        A member that unpacks to more than `most` bytes, an archive that unpacks to more than `ratio` times its size
+        (beyond a megabyte), a name that is not one table and one plain file, and another schema version raise
+        ValueError. Files written up to then belong to no generation and are collected as garbage.
+        """
+        java, io = self.spark._jvm.java.util.zip, self.spark._jvm.org.apache.commons.io.IOUtils
+        store = self._path(archive).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        left = max(1 << 20, ratio * store.getFileStatus(self._path(archive)).getLen())
+        data = java.ZipInputStream(store.open(self._path(archive)))
+        known = self._manifests()
+        now, g = (self.manifest(known[-1]), known[-1] + 1) if known else ({}, 1)
+        tables = None
+        try:
+            while (entry := data.getNextEntry()) is not None:
+                member = entry.getName()
+                if tables is None:
+                    tables = self._head(member, data)
+                    continue
+                name, _, file = member.partition("/")
+                if name not in tables or not _SAFE.fullmatch(file) or ".." in file:
+                    raise ValueError(f"unsafe member {member}")
+                out = self._fs.create(self._path(f"{self.root}/{name}/gen={g}/{file}"), True)
+                allowed = min(most, left)
+                got = io.copyLarge(data, out, 0, allowed + 1)
+                out.close()
+                if got > allowed:
+                    raise ValueError(f"{member} unpacks to more than {allowed} bytes")
+                left -= got
+                now[name] = f"{name}/gen={g}"
+        finally:
+            data.close()
+        if tables is None:
+            raise ValueError("no manifest")
+        return self._publish(now, g)
+
+    def _head(self, member: str, data) -> list[str]:
+        """Table names of a pack's manifest, its first member."""
+        text = bytes(data.readNBytes(MOST_MANIFEST + 1))
+        if member != "manifest.json" or len(text) > MOST_MANIFEST:
+            raise ValueError("no manifest, or one too long")
+        head = json.loads(text)
+        if head.get("schema_version") != PACK or not all(_SAFE.fullmatch(n) and not n.startswith((".", "_")) for n in head["tables"]):
+            raise ValueError(f"schema version {head.get('schema_version')} or unsafe names")
+        return head["tables"]
+
     def collect_garbage(self, keep: int = 1) -> list[str]:
         """Delete folders that none of the last `keep` manifests names, and older manifests; returns the folders."""
         known = self._manifests()

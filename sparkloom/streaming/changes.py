@@ -56,3 +56,28 @@ def banner(patching: Column, held: Column, file_pending: Column, pending: Column
 def threshold(order: list[str], key: str, most: int) -> Column:
     """Number of the flush an event falls in when `most` pending events of a key flush at once."""
     return F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / most)
+
+
+# Longest hold during an operation of the version control, time between looks at it (milliseconds).
+HOLD_MS, LOOK_MS = 30_000, 500
+
+
+def release_at(first: Column, ended: Column, most: int = HOLD_MS, every: int = LOOK_MS) -> Column:
+    """Milliseconds at which a hold begun at `first` lets go: the first look after the operation ended, or the longest hold; null `ended`: never ended."""
+    looks = F.when(ended.isNotNull(), F.ceil(F.greatest(ended - first, F.lit(0)) / every) * every)
+    return first + F.least(looks, F.lit(most))
+
+
+def pending(events: DataFrame, flushes_done: DataFrame, key: str = "path", at: str = "ts") -> DataFrame:
+    """(key, at): the last event of each key that no successful flush (key, started) took after it; a failed flush takes nothing.
+
+    A flush takes what arrived before it started, so events during a flush stay, and none is lost: at least once.
+    """
+    last = events.groupBy(key).agg(F.max(at).alias(at))
+    taken = flushes_done.groupBy(key).agg(F.max("started").alias("started"))
+    return last.join(taken, key, "left").where(F.col("started").isNull() | (F.col(at) >= F.col("started"))).select(key, at)
+
+
+def catch_up(queue: DataFrame, scan: DataFrame, key: str = "path") -> DataFrame:
+    """(key): what to process after events may have been lost: the queue, and all that a full scan (key, change) finds changed."""
+    return queue.select(key).unionByName(scan.where("change <> 'unchanged'").select(key)).distinct()
