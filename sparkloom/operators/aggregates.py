@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import is_stub
+from .graph import cut
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -97,6 +98,32 @@ def strided(df: DataFrame, key: str, group: list[str], step: int, n: int) -> Dat
     return df.withColumn("rn", F.row_number().over(w) - 1).where((F.col("rn") % step == 0) & (F.col("rn") < step * n)).drop("rn")
 
 
+def running(df: DataFrame, cost: Column, order: list[str], name: str = "spent") -> DataFrame:
+    """df with the sum of cost over all rows up to each in one global order.
+
+    Two levels: range partitions are saved, their sums are added up (a row a partition), and rows are summed within
+    their own partition. Equal orders fall in one partition, in no fixed sequence: order should be a key.
+    """
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    d = cut(df.withColumn("_cost", cost).repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id()))
+    before = d.groupBy("_part").agg(F.sum("_cost").alias("_sum"))
+    before = before.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.sum("_cost").over(w)).drop("_part", "_base", "_cost")
+
+
+def budget_cut(df: DataFrame, cost: str, budget: int, order: list[str]) -> DataFrame:
+    """Rows in one global order until the first that does not fit the budget; costs are not negative."""
+    return running(df, F.coalesce(F.col(cost), F.lit(0)), order).where(F.col("spent") <= budget).drop("spent")
+
+
+def strided_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows at most at even strides of the global key order: every max(1, rows // n)-th, from the first on."""
+    step = df.agg(F.greatest(F.lit(1), F.expr(f"count(*) div {max(n, 1)}")).alias("_step"))
+    d = running(df, F.lit(1), [key], "_rn").crossJoin(F.broadcast(step))  # one row
+    return d.where("(_rn - 1) % _step = 0").where(F.expr(f"(_rn - 1) div _step < {n}")).drop("_rn", "_step")
+
+
 def stub_states(stubs: DataFrame, meta: str = "metadata_json") -> DataFrame:
     """(state, n): stubs by the resolution state in their metadata; without one, or without readable metadata, `unknown`."""
     state = F.coalesce(F.get_json_object(meta, "$.stub_resolution_state"), F.lit("unknown"))

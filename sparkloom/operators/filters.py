@@ -136,6 +136,21 @@ def search(entities: DataFrame, query: str, limit: int = 25) -> DataFrame:
     return hits.orderBy(F.desc("score"), F.coalesce("start_line", F.lit(0)), "file_path", "entity_id").limit(limit)
 
 
+def plain_category(path: str = "file_path") -> Column:
+    """TEST, CONFIG, DOC or SOURCE as the rendered views have it: by words anywhere in the path, other rules than category()."""
+    low = F.lower(path)
+    doc = F.contains(low, F.lit("doc")) | F.endswith(path, F.lit(".md"))
+    return F.when(F.contains(low, F.lit("test")), "TEST").when(F.rlike(path, F.lit(r"\.(ya?ml|json|toml)$")), "CONFIG").when(doc, "DOC").otherwise("SOURCE")
+
+
+def cut_to_tokens(text: Column, most: int) -> Column:
+    """text if its estimate fits, else its first 4 * most characters up to their last line end (all of them without one)."""
+    head = F.left(text, F.lit(4 * most))
+    tail = F.length(F.substring_index(head, "\n", -1))
+    at = F.length(head) - tail - 1
+    return F.when(tokens(text) <= most, text).when(at > 0, F.left(head, at)).otherwise(head)
+
+
 def tokens(text: Column) -> Column:
     """Estimated tokens: a quarter of the characters, rounded down."""
     return F.expr("0") + F.floor(F.length(text) / 4)

@@ -89,6 +89,20 @@ def orphans(entities: DataFrame, rels: DataFrame, key: str = "id") -> DataFrame:
     return entities.join(ends, key, "left_anti")
 
 
+def prunable(entities: DataFrame, rels: DataFrame, keep: DataFrame | None = None, entry_points: bool = True, exports: bool = True, key: str = "entity_id") -> DataFrame:
+    """Entities without an edge that may go: not in keep (key), no entry point, not exported, no external symbol but stubs.
+
+    entities has entity_type and is_exported; the flags let entry points or exported ones go too.
+    """
+    stays = (F.col("entity_type") == "EXTERNAL_SYMBOL") & ~F.startswith(key, F.lit("unresolved:"))
+    if entry_points:
+        stays |= F.col("entity_type") == "ENTRY_POINT"
+    if exports:
+        stays |= F.coalesce("is_exported", F.lit(False))
+    out = orphans(entities.where(~F.coalesce(stays, F.lit(False))), rels, key)
+    return out.join(keep.select(key), key, "left_anti") if keep else out
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id reached. Min labels, each round doubled by looking up the label's own label."""
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())

@@ -57,6 +57,31 @@ def enclosing(points: DataFrame, spans: DataFrame, file: str = "file_path") -> D
     return first_by(hit, [file, "line"], "span", "entity_id").drop("_bin", "span")
 
 
+def enclosing_or_next(points: DataFrame, spans: DataFrame, file: str = "file_path") -> DataFrame:
+    """(file, line, entity_id, how): the smallest span around a line, else the nearest that starts after it; first id on ties.
+
+    The nearest start is the first in a running minimum from the file's end: one union, no pairs.
+    """
+    around = enclosing(points, spans, file).select(file, "line", "entity_id", F.lit("enclosing").alias("how"))
+    rest = points.select(file, "line").distinct().join(around.select(file, "line"), [file, "line"], "left_anti")
+    starts = spans.groupBy(file, F.col("start_line").alias("line")).agg(F.min("entity_id").alias("_id"))
+    both = starts.unionByName(rest.withColumn("_id", F.lit(None).cast("string")))
+    later = Window.partitionBy(file).orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    after = both.withColumn("entity_id", F.first("_id", ignorenulls=True).over(later)).where("_id is null and entity_id is not null")
+    return around.unionByName(after.select(file, "line", "entity_id", F.lit("following").alias("how")))
+
+
+def strong_overlap(left: DataFrame, right: DataFrame, lid: str, rid: str, strong: Column, least: int = 2, most: int = 3) -> DataFrame:
+    """(lid, rid, score): pairs with `least` tokens in common or one strong one; 10 a token and 1 more a strong one, `most` best for each lid.
+
+    Inputs: (id, token); strong is a Column over token. A pair counts a token once.
+    """
+    pairs = left.distinct().join(right.distinct(), "token").groupBy(lid, rid).agg(F.count("*").alias("shared"), F.count(F.when(strong, 1)).alias("strong"))
+    w = Window.partitionBy(lid).orderBy(F.desc("score"), rid)
+    scored = pairs.where((F.col("shared") >= least) | (F.col("strong") >= 1)).select(lid, rid, (10 * F.col("shared") + F.col("strong")).alias("score"))
+    return scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, value: str) -> DataFrame:
     """left with the latest `value` of right at or before its time: one union, one window, no pair of rows is made."""
     a = left.withColumns({"_t": F.col(lt), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.text import plain_json
+
 # Files that mark their folder as a package.
 MARKERS = ("__init__.py", "__init__.pyi")
 
@@ -41,12 +43,6 @@ def marked(files: DataFrame) -> DataFrame:
     return files.withColumn("folder", _folder("path")).join(start, "folder").select("path", F.when(stem == "__init__", dotted).otherwise(F.concat(dotted, F.lit("."), stem)).alias("module"))
 
 
-def _plain_json(text: Column) -> Column:
-    """JSON without comments and trailing commas; quoted text stays as it is."""
-    quoted = r'("(?:[^"\\]|\\.)*")'
-    return F.regexp_replace(F.regexp_replace(text, quoted + r"|//[^\n]*|(?s:/\*.*?\*/)", "$1"), quoted + r"|,(?=\s*[}\]])", "$1")
-
-
 def _under(folder: Column, child: Column) -> Column:
     """child below folder as a clean relative path; ./ and outer slashes go."""
     clean = F.regexp_replace(child, r"^(?:\./|/)+|^\.$|/+$", "")
@@ -55,7 +51,7 @@ def _under(folder: Column, child: Column) -> Column:
 
 def _options(manifests: DataFrame) -> DataFrame:
     ts = manifests.where(F.rlike(F.substring_index("path", "/", -1), F.lit(r"^tsconfig.*\.json$")))
-    return ts.select(_folder("path").alias("folder"), F.from_json(_plain_json(F.col("text")), "compilerOptions struct<baseUrl: string, paths: map<string,array<string>>>").alias("j")).select("folder", "j.compilerOptions.*")
+    return ts.select(_folder("path").alias("folder"), F.from_json(plain_json(F.col("text")), "compilerOptions struct<baseUrl: string, paths: map<string,array<string>>>").alias("j")).select("folder", "j.compilerOptions.*")
 
 
 def roots(manifests: DataFrame) -> DataFrame:

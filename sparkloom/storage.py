@@ -10,12 +10,14 @@ from .operators import extensions as E
 from .operators import filters as P
 from .operators import graph as G
 from .operators import history as H
+from .operators import joins as J
 from .operators import packages as K
 from .operators import rules as U
 from .operators.hooks import Hooks
 from .plans.catalog import Catalog
 from .plans.workspaces import Workspace, Workspaces
 from .sources import files as FS
+from .sources import html, text
 from .sources import symbols as SY
 from .streaming import changes
 
@@ -239,3 +241,83 @@ def extractors(t):
     x.add("python", lambda d: d.select(F.lit("src").alias("kind"), F.col("path").alias("name")))
     f = t.files().select(F.col("file_path").alias("path"), FS.language(F.col("file_path")).alias("language")).distinct()
     return x.run(f, lambda d: d.select(F.lit("any").alias("kind"), F.col("path").alias("name")))
+
+
+@query("O-10-graph", """with p as (select page_id, '<link rel="Stylesheet" href="/s' || page_id || '.css"><a HREF=''//x.org/' || page_id || ''' href="y">z</a><a href="/local">q</a>' as html from pages)
+select page_id, 'document' as source, 'CONTAINS' as relation_type, unnest(['link#0', 'a#1', 'a#2']) as target from p union all select page_id, 'a#1', 'LINKS_TO', '//x.org/' || page_id from p union all select page_id, 'document', 'IMPORTS_STYLE', '/s' || page_id || '.css' from p""")
+def html_graph(t):
+    page = F.col("page_id").cast("string")
+    made = F.concat(F.lit('<link rel="Stylesheet" href="/s'), page, F.lit(".css\"><a HREF='//x.org/"), page, F.lit("' href=\"y\">z</a><a href=\"/local\">q</a>"))
+    return html.graph(t.raw("pages").select("page_id", made.alias("html")))
+
+
+@query("O-12-nested", """with e as (select event_id, props from events where props is not null)
+select event_id, unnest(['document', 'root', 'root.a', 'root.a.p', 'root.a.l', 'root.s', 'root.n']) as path, unnest(['DOCUMENT', 'SECTION', 'SECTION', 'SECTION', 'SECTION', 'SETTING', 'SETTING']) as entity_type,
+unnest([null, '3', '2', len(json_keys(props::json))::varchar, '3', 't // u', null]) as value from e
+union all select event_id, 'root.a.p.' || k, 'SETTING', props::json ->> k from (select event_id, props, unnest(json_keys(props::json)) as k from e)""")
+def nested_json(t):
+    made = F.concat(F.lit('{"a": {"p": '), F.col("props"), F.lit(', "l": [1, 2, {"x": 3}], /* end */}, // line\n "s": "t // u", "n": null}'))
+    return text.json_tree(t.raw("events").select("event_id", made.alias("t")), "event_id", "t")
+
+
+@query("O-42-plain", "select case when contains(lower(file_path), 'test') then 'TEST' when contains(lower(file_path), 'doc') then 'DOC' else 'SOURCE' end as category, count(*) as n from files group by 1")
+def plain_category(t):
+    return A.count_by(t.files().withColumn("category", P.plain_category()), "category")
+
+
+@query("O-54-cut", """with h as (select doc_id, text, replace(text, ' ', chr(10)) as t from documents), c as (select *, left(t, 80) as s from h)
+select doc_id, case when text is null then null when length(t) // 4 <= 20 then t when length(s) - instr(reverse(s), chr(10)) > 0 and contains(s, chr(10)) then left(s, (length(s) - instr(reverse(s), chr(10)))::bigint) else s end as t from c""")
+def cut_text(t):
+    lines = F.replace("text", F.lit(" "), F.lit("\n"))
+    return t.raw("documents").select("doc_id", P.cut_to_tokens(lines, 20).alias("t"))
+
+
+@query("O-65-both", "select entity_id from (select 'p:' || p_partkey as entity_id from part union all select 'o:' || o_orderkey from orders) where entity_id in (select target_id from rels where roles & 128 != 0 union all select source_id from rels where roles & 128 != 0)")
+def role_ends(t):
+    ids = t.raw("part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("entity_id")).unionByName(t.raw("orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("entity_id")))
+    ends = t.rels().where(P.has_role("heuristic")).select(F.explode(F.array("source_id", "target_id")).alias("entity_id"))
+    return ids.join(ends, "entity_id", "left_semi")
+
+
+@query("O-73-strong", """with l as (select distinct p_name as l, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as token from part), r as (select distinct p_type as r, unnest(regexp_extract_all(lower(p_type || ' ' || p_brand), '[a-z0-9]+')) as token from part),
+p as (select l, r, count(*) as shared, count(*) filter (length(token) >= 4) as strong from l join r using (token) group by 1, 2 having count(*) >= 2 or count(*) filter (length(token) >= 4) >= 1)
+select l, r, 10 * shared + strong as score from p qualify row_number() over (partition by l order by 10 * shared + strong desc, r) <= 3""")
+def strong_tokens(t):
+    def words(df, key):
+        return df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token")).distinct()
+
+    p = t.raw("part")
+    left = words(p.select(F.col("p_name").alias("l"), F.col("p_name").alias("x")).distinct(), "l")
+    right = words(p.select(F.col("p_type").alias("r"), F.concat_ws(" ", "p_type", "p_brand").alias("x")).distinct(), "r")
+    return J.strong_overlap(left, right, "l", "r", F.length("token") >= 4)
+
+
+@query("O-76-next", """with s as (select file_path, start_line, end_line, entity_id from entities where entity_type = 'FUNCTION'), p as (select distinct file_path, (key % 1500)::int as line from entities where entity_type = 'METHOD'),
+a as (select p.file_path, line, entity_id from p join s on s.file_path = p.file_path and line between start_line and end_line qualify row_number() over (partition by p.file_path, line order by end_line - start_line, entity_id) = 1),
+b as (select p.file_path, line, entity_id from p join s on s.file_path = p.file_path and start_line > line where not exists (select 1 from a where a.file_path = p.file_path and a.line = p.line) qualify row_number() over (partition by p.file_path, line order by start_line, entity_id) = 1)
+select *, 'enclosing' as how from a union all select *, 'following' from b""")
+def next_symbol(t):
+    e = t.entities()
+    p = e.where("entity_type = 'METHOD'").select("file_path", ((F.col("start_line") - 1) % 1500).alias("line")).distinct()
+    return J.enclosing_or_next(p, e.where("entity_type = 'FUNCTION'").select("file_path", "start_line", "end_line", "entity_id"))
+
+
+@query("O-131-global", "select doc_id from (select doc_id, sum(n_chars // 4) over (order by doc_id) as spent from documents) where spent <= 20000")
+def global_budget(t):
+    return A.budget_cut(t.raw("documents").select("doc_id", F.expr("n_chars div 4").alias("cost")), "cost", 20000, ["doc_id"]).select("doc_id")
+
+
+@query("O-134-global", "with d as (select doc_id, row_number() over (order by doc_id) - 1 as rn, greatest(1, (select count(*) from documents) // 30) as step from documents) select doc_id from d where rn % step = 0 and rn // step < 30")
+def global_stride(t):
+    return A.strided_sample(t.raw("documents").select("doc_id"), "doc_id", 30)
+
+
+@query("O-144-prune", """with e as (select 's:' || s_suppkey as entity_id, case when s_suppkey % 5 = 0 then 'ENTRY_POINT' else 'FUNCTION' end as entity_type, s_acctbal > 0 as is_exported from supplier union all select 'x:' || p_partkey, 'EXTERNAL_SYMBOL', false from part where p_partkey % 2 = 0 union all select 'unresolved:' || p_partkey, 'EXTERNAL_SYMBOL', null from part)
+select entity_id from e where entity_type = 'FUNCTION' and not is_exported and entity_id not in (select source_id from rels where relation_type = 'READS') and not ends_with(entity_id, '1') or starts_with(entity_id, 'unresolved:') and not ends_with(entity_id, '1')""")
+def prune(t):
+    sid, pid = F.col("s_suppkey").cast("string"), F.col("p_partkey").cast("string")
+    s = t.raw("supplier").select(F.concat(F.lit("s:"), sid).alias("entity_id"), F.when(F.col("s_suppkey") % 5 == 0, "ENTRY_POINT").otherwise("FUNCTION").alias("entity_type"), (F.col("s_acctbal") > 0).alias("is_exported"))
+    x = t.raw("part").where("p_partkey % 2 = 0").select(F.concat(F.lit("x:"), pid).alias("entity_id"), F.lit("EXTERNAL_SYMBOL").alias("entity_type"), F.lit(False).alias("is_exported"))
+    u = t.raw("part").select(F.concat(F.lit("unresolved:"), pid).alias("entity_id"), F.lit("EXTERNAL_SYMBOL").alias("entity_type"), F.lit(None).cast("boolean").alias("is_exported"))
+    e = s.unionByName(x).unionByName(u)
+    return G.prunable(e, t.rels().where("relation_type = 'READS'"), e.where(F.endswith("entity_id", F.lit("1")))).select("entity_id")
