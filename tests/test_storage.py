@@ -6,9 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import extensions, history, packages
+from sparkloom.operators import aggregates, extensions, filters, graph, history, packages
 from sparkloom.plans.catalog import Catalog
 from sparkloom.plans.workspaces import Workspace, Workspaces
+from sparkloom.sources import html, text
 from sparkloom.streaming import changes
 
 
@@ -123,3 +124,33 @@ def test_queue_keeps_what_came_during_a_flush(spark):
     assert {r.path for r in changes.catch_up(changes.pending(e, done), scan).collect()} == {"a", "b", "c"}
     row = spark.range(1).select(*[changes.release_at(F.lit(100), F.lit(x).cast("int")).alias(f"x{i}") for i, x in enumerate([None, 90, 601, 99999])]).first()
     assert tuple(row) == (30100, 100, 1100, 30100)
+
+
+def test_global_orders(spark):
+    d = spark.createDataFrame([(i, c) for i, c in enumerate([3, None, 4, 5, 1])], "k long, c long")
+    assert sorted(r.k for r in aggregates.budget_cut(d, "c", 7, ["k"]).collect()) == [0, 1, 2]
+    assert sorted(r.k for r in aggregates.strided_sample(d, "k", 2).collect()) == [0, 2]
+    assert sorted(r.k for r in aggregates.strided_sample(d, "k", 9).collect()) == [0, 1, 2, 3, 4]
+    none = d.where("false")
+    assert aggregates.budget_cut(none, "c", 7, ["k"]).count() == 0 and aggregates.strided_sample(none, "k", 2).count() == 0
+
+
+def test_trees_of_json_and_html(spark):
+    deep = "[" * 20 + "]" * 20
+    rows = [(1, '{"a": {}, "b": [{"c": 1}], "d": true}'), (2, "nope"), (3, None), (4, "7"), (5, '{"u": "a, ] // b",} // c'), (6, deep)]
+    got = {tuple(r) for r in text.json_tree(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    doc = {(i, "document", "DOCUMENT", None) for i in (1, 4, 5, 6)}
+    assert got == doc | {(1, "root", "SECTION", "3"), (1, "root.a", "SECTION", "0"), (1, "root.b", "SECTION", "1"), (1, "root.d", "SETTING", "true"), (4, "root", "SETTING", "7"), (5, "root", "SECTION", "1"), (5, "root.u", "SETTING", "a, ] // b"), (6, "root", "SECTION", "1")}
+    page = spark.createDataFrame([(1, "<P id=a ID='b' class=\"c d\"><br><link rel=icon href=x>"), (2, None), (3, "")], "page_id int, html string")
+    e = {(r.ord, r.tag): r.attrs for r in html.attributes(page).collect()}
+    assert e == {(0, "p"): {"id": "a", "class": "c d"}, (1, "br"): {}, (2, "link"): {"rel": "icon", "href": "x"}}
+    assert {r.relation_type for r in html.graph(page).collect()} == {"CONTAINS"}
+
+
+def test_cut_text_and_prunable(spark):
+    d = spark.createDataFrame([("ab\ncdefgh",), ("abcdefghij",), ("\nabcdefghi",), ("ab",), ("",), (None,)], "t string")
+    assert [r.c for r in d.select(filters.cut_to_tokens(F.col("t"), 1).alias("c")).collect()] == ["ab", "abcd", "\nabc", "ab", "", None]
+    e = spark.createDataFrame([("a", "FUNCTION", None), ("b", "FUNCTION", True), ("c", "ENTRY_POINT", False), ("d", "EXTERNAL_SYMBOL", False), ("unresolved:d", "EXTERNAL_SYMBOL", False), ("e", None, None), ("f", "FUNCTION", False)], "entity_id string, entity_type string, is_exported boolean")
+    r = spark.createDataFrame([("f", "z")], "source_id string, target_id string")
+    assert {x.entity_id for x in graph.prunable(e, r).collect()} == {"a", "unresolved:d", "e"}
+    assert {x.entity_id for x in graph.prunable(e, r, e.where("entity_id = 'a'"), False, False).collect()} == {"b", "c", "unresolved:d", "e"}
