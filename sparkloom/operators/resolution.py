@@ -10,7 +10,11 @@ from .filters import base_name, is_stub
 from .graph import cut
 
 # Confidence of each strategy, best strategy first.
-STRATEGIES = {"exact_match": 0.95, "package_alias": 0.85, "scope_qualified": 0.70}
+STRATEGIES = {
+    "exact_match": 0.95, "package_alias": 0.85, "external_prefix": 0.85, "stdlib_method": 0.90, "receiver_param": 0.90, "receiver_assignment": 0.75,
+    "receiver_type": 0.65, "parent_chain": 0.75, "sibling_module": 0.75, "relative_path": 0.85, "scope_qualified": 0.70,
+}
+AMBIGUOUS = 0.5
 
 
 def by_name(entities: DataFrame, query: str) -> DataFrame:
@@ -41,7 +45,7 @@ def resolve(stubs: DataFrame, candidates: dict[str, DataFrame]) -> DataFrame:
             ranked = part if ranked is None else ranked.unionByName(part)
     best = ranked.groupBy("ref").agg(F.min(F.struct("rank", "target", "strategy", "c")).alias("b"), F.countDistinct("target").alias("n"))
     out = stubs.join(best, "ref", "left")
-    confidence = F.when(F.col("b").isNull(), 0.0).when(F.col("n") > 1, 0.5).otherwise(F.col("b.c"))
+    confidence = F.when(F.col("b").isNull(), 0.0).when(F.col("n") > 1, AMBIGUOUS).otherwise(F.col("b.c"))
     return out.select("stub", F.col("b.target").alias("target"), F.col("b.strategy").alias("strategy"), confidence.alias("confidence"), F.coalesce("n", F.lit(0)).alias("n_candidates"))
 
 

@@ -689,4 +689,4 @@ def external_summary(t):
     return t.rels().groupBy("source_id").agg(F.count(F.when(stub, 1)).alias("unresolved"), F.countDistinct(F.when(~stub, F.substring_index("target_id", ":", 1))).alias("kinds"))
 
 
-from . import composites, storage, surface  # noqa: E402,F401  (they register more queries)
+from . import composites, references, storage, surface  # noqa: E402,F401  (they register more queries)
