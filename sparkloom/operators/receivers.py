@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import joins as J
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
 # Names in annotations. A container is the type itself, a wrapper stands for what it holds, the rest give no type.
 CONTAINERS = ("list", "dict", "set", "tuple", "frozenset", "List", "Dict", "Tuple", "Set", "FrozenSet", "Sequence", "Mapping", "MutableMapping", "Iterable", "Iterator", "Callable", "Awaitable", "Coroutine", "Promise", "Array", "ReadonlyArray", "Record", "Vec", "HashMap", "HashSet", "Option", "Result", "Maybe", "Literal")
 WRAPPERS = ("Optional", "Union", "Annotated", "Type", "type", "Partial", "Required", "NotRequired", "ClassVar", "Final", "Box")

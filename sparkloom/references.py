@@ -1,4 +1,4 @@
-"""More registered queries: the whole ladder of stub resolution, and receiver types read from signatures."""
+"""More registered queries: the whole ladder of stub resolution, receiver types read from signatures, the queue with both timers."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import registry
 from .operators import ladder, receivers
+from .streaming import queue
 
 query = registry.query
 
@@ -82,3 +83,17 @@ def types_from_signatures(t):
     types = c.select(F.explode(F.array(text("Base", "$c"), text("Base", "$c", ".db"), text("Made", "$c"))).alias("name"), F.lit(False).alias("module"))
     assigned = c.select(scope, text("Made", "$c").alias("made")).select("scope", F.inline(F.array(*[F.struct(F.lit(v).alias("var"), F.lit(line).alias("line"), callee.alias("callee")) for v, line, callee in (("made", 5, F.lit("m")), ("made", 9, F.col("made")), ("made", 60, F.lit("get_store")), ("lost", 8, F.lit("unknown")))])))
     return receivers.infer(calls, callables.unionByName(shared), types, assigned)
+
+
+HOUR = 3_600_000_000
+
+
+@query("O-202-pending", """with recursive e as (select user_id, event_type, ts, row_number() over (partition by user_id order by ts, event_type) as rn from events),
+r as (select user_id, rn, ts, event_type, ts as first, [event_type] as seen, 1 as flush from e where rn = 1
+union all select user_id, e.rn, e.ts, e.event_type, case when d then e.ts else first end, case when d then [e.event_type] else list_distinct(list_append(seen, e.event_type)) end, flush + d::int
+from (select r.*, e as nx from r join e on e.user_id = r.user_id and e.rn = r.rn + 1) j, lateral (select nx.rn as rn, nx.ts as ts, nx.event_type as event_type) e, lateral (select len(seen) >= 4 or e.ts > least(j.ts + interval 12 hour, first + interval 30 hour) as d))
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last_at, strftime(case when count(distinct event_type) >= 4 then max(ts) else least(max(ts) + interval 12 hour, min(ts) + interval 30 hour) end, '%Y-%m-%d %H:%M:%S.%f') as flush_at, count(distinct event_type) as n, count(*) as events,
+case when count(distinct event_type) >= 4 then 'threshold' when max(ts) + interval 12 hour <= min(ts) + interval 30 hour then 'debounce' else 'staleness' end as reason from r group by user_id, flush""")
+def pending_flushes(t):
+    out = queue.flushes(t.raw("events"), "user_id", "ts", "event_type", 12 * HOUR, 30 * HOUR, 4)
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("first_at", "last_at", "flush_at")})

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import ladder, receivers
+from sparkloom.streaming import queue
 
 
 @pytest.mark.parametrize(
@@ -113,3 +114,46 @@ def test_members_with_hashes_after_exact_names(spark):
 
 def test_ladder_of_nothing(spark):
     assert climbed(spark, [], []) == {} and inferred(spark, []) == {}
+
+
+def flushed(df):
+    return sorted((r.repo or "", str(r.first_at), str(r.last_at), str(r.flush_at), r.n, r.events, r.reason) for r in df.collect())
+
+
+def events_of(spark, rows):
+    df = spark.createDataFrame(rows, "repo string, t string, path string")
+    return df.select("repo", F.to_timestamp("t").alias("ts"), "path")
+
+
+def test_pending_queue_with_both_timers(spark):
+    day = "2024-01-01 00:"
+    quiet = [("q", f"{day}00:0{s}", f"f{s % 4}") for s in (0, 2, 4)] + [("q", f"{day}00:07", None)]
+    stale = [("s", f"{day}{s // 60:02d}:{s % 60:02d}", "same") for s in range(0, 123, 2)]
+    full = [(None, f"{day}10:00", f"p{i}") for i in range(7)] + [("none", None, "x")]
+    got = flushed(queue.flushes(events_of(spark, quiet + stale + full), most=3))
+    d = day
+    assert got == [
+        ("", f"{d}10:00", f"{d}10:00", f"{d}10:00", 3, 3, "threshold"), ("", f"{d}10:00", f"{d}10:00", f"{d}10:00", 3, 3, "threshold"), ("", f"{d}10:00", f"{d}10:00", f"{d}10:02", 1, 1, "debounce"),
+        ("q", f"{d}00:00", f"{d}00:04", f"{d}00:06", 2, 3, "debounce"), ("q", f"{d}00:07", f"{d}00:07", f"{d}00:09", 1, 1, "debounce"),
+        ("s", f"{d}00:00", f"{d}01:00", f"{d}01:00", 1, 31, "staleness"), ("s", f"{d}01:02", f"{d}02:02", f"{d}02:02", 1, 31, "staleness"),
+    ]
+    assert flushed(queue.flushes(events_of(spark, []))) == []
+
+
+def test_pending_queue_of_a_stream(spark, tmp_path):
+    """Three micro-batches end as one batch does; what the watermark has not passed still waits."""
+    day = "2024-01-01 00:"
+    batches = [
+        [("a", f"{day}00:0{s}", f"f{s}") for s in (0, 1)] + [("b", f"{day}00:{s:02d}", "same") for s in range(0, 40, 2)],
+        [("a", f"{day}00:02", "f2"), ("a", f"{day}00:30", "g")] + [("b", f"{day}{s // 60:02d}:{s % 60:02d}", "same") for s in range(40, 90, 2)] + [("c", f"{day}01:00", f"p{i}") for i in range(4)],
+        [("end", "2024-01-01 05:00:00", "end")],
+    ]
+    for i, rows in enumerate(batches):
+        events_of(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    every = [r for b in batches for r in b]
+    schema = events_of(spark, every).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in" / "*"))
+    q = queue.stream(stream, most=4).writeStream.outputMode("append").format("memory").queryName("pending").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    want = [r for r in flushed(queue.flushes(events_of(spark, every), most=4)) if r[0] != "end"]
+    assert flushed(spark.table("pending")) == want and {r[-1] for r in want} == {"debounce", "staleness", "threshold"}
