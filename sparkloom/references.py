@@ -1,12 +1,16 @@
-"""More registered queries: the whole ladder of stub resolution, receiver types read from signatures, the queue with both timers."""
+"""More registered queries: the whole ladder of stub resolution, receiver types read from signatures, the queue with both timers,
+whole calls and export views."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from . import registry
+from .operators import calls as Q
+from .operators import filters as P
 from .operators import ladder, receivers
 from .streaming import queue
+from .surface import NODES, SOURCED, nodes, sourced
 
 query = registry.query
 
@@ -97,3 +101,69 @@ case when count(distinct event_type) >= 4 then 'threshold' when max(ts) + interv
 def pending_flushes(t):
     out = queue.flushes(t.raw("events"), "user_id", "ts", "event_type", 12 * HOUR, 30 * HOUR, 4)
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("first_at", "last_at", "flush_at")})
+
+
+# Stubs name a part; those of even parts are resolved to it.
+TO = "case when starts_with(target_id, 'unresolved:') and regexp_extract(target_id, '[0-9]+$')::bigint % 2 = 0 then 'p:' || regexp_extract(target_id, '[0-9]+$') else target_id end"
+STUB = f"case when {TO} <> target_id then target_id end"
+
+
+def resolved_stubs(t):
+    s = t.rels().where(P.is_stub("target_id")).select(F.col("target_id").alias("stub"), F.regexp_extract("target_id", "[0-9]+$", 0).alias("n")).distinct()
+    return s.where(F.col("n").cast("long") % 2 == 0).select("stub", F.concat(F.lit("p:"), "n").alias("target"))
+
+
+@query("O-181-filters", f"""with {NODES}, e as (select source_id, {TO} as target_id, {STUB} as stub_id, relation_type, roles, confidence, line from rels), pg as (select id from nodes where regexp_matches(name, '^[a-f]') and starts_with(id, 'p:'))
+select source_id, target_id, relation_type, struct_extract(b, 'line') as line, struct_extract(b, 'stub') as stub_id from (select source_id, target_id, relation_type, min({{'line': line, 'c': coalesce(confidence, -1), 'stub': coalesce(stub_id, '')}}) as b from e
+where target_id in (select id from pg) and relation_type in ('READS', 'WRITES') and (coalesce(roles, 0) & 4) <> 0 and coalesce(confidence, 1.0::float) >= 0.7::float group by 1, 2, 3)""")
+def filtered_page(t):
+    pg = nodes(t).where(F.startswith("id", F.lit("p:")) & P.name_matches("^[a-f]")).select("id")
+    e = Q.page_edges(t.rels(), pg, resolved_stubs(t), ["READS", "WRITES"], ("WriteAccess",), 0.7, "incoming")
+    return e.select("source_id", "target_id", "relation_type", "line", F.coalesce("stub_id", F.lit("")).alias("stub_id"))
+
+
+@query("O-182-stubs", f"""with {NODES}, f as (select id as entity_id from nodes where name = (select min(p_name) from part) and starts_with(id, 'p:')), e as (select distinct source_id, {TO} as target_id, relation_type, line, {STUB} is not null as via_stub from rels),
+g as (select source_id, target_id, relation_type, min({{'l': line, 'v': via_stub}}) as b from e where target_id in (select entity_id from f) group by 1, 2, 3)
+select entity_id, source_id, target_id, relation_type, b.l as line, b.v as via_stub from f left join g on target_id = entity_id""")
+def entity_with_stubs(t):
+    """The parts of the first name; parts are never sources."""
+    first = t.raw("part").agg(F.min("p_name")).first()[0]
+    e = nodes(t).where(F.startswith("id", F.lit("p:"))).select(F.col("id").alias("entity_id"), "name", F.lit("CONSTANT").alias("entity_type"), F.col("path").alias("file_path"))
+    return Q.entity_card(e, t.rels(), resolved_stubs(t), first)
+
+
+@query("O-186-via", f"""{SOURCED}, c as (select 'out' as way, target_file as other, relation_type, confidence, line, target_id as id from sourced where source_file = 'src/asia/nation_2.py' and target_file <> source_file and relation_type <> 'CONTAINS'
+union all select 'in', source_file, relation_type, confidence, line, source_id from sourced where target_file = 'src/asia/nation_2.py' and target_file <> source_file and relation_type <> 'CONTAINS'),
+k as (select way, other, relation_type, name, count(*) as n, max(coalesce(confidence, 1.0::float)) as m, min(line) as line from c join nodes using (id) where coalesce(confidence, 1.0::float) >= 0.65::float group by 1, 2, 3, 4)
+select way, other, relation_type, sum(n)::bigint as n, round_even(max(m)::double, 3) as max_confidence, string_agg(name, ',' order by line, name) as via from k group by 1, 2, 3""")
+def connections_by_name(t):
+    out = Q.file_connections(sourced(t), nodes(t), "src/asia/nation_2.py", 0.65)
+    return out.withColumn("via", F.array_join("via", ","))
+
+
+@query("O-97-roots", """with k as (select 'f' || o_custkey % 50 as file_path, case o_orderkey % 4 when 0 then 'external_stdlib' when 1 then 'external_package' when 2 then 'external_unresolved' else 'direct' end as kind, lower(o_orderstatus) || o_orderkey % 7 || '.x' as ref from orders)
+select file_path, coalesce(string_agg(distinct case when kind = 'external_stdlib' then split_part(ref, '.', 1) end, ' ' order by case when kind = 'external_stdlib' then split_part(ref, '.', 1) end), '') as stdlib,
+coalesce(string_agg(distinct case when kind = 'external_package' then split_part(ref, '.', 1) end, ' ' order by case when kind = 'external_package' then split_part(ref, '.', 1) end), '') as packages, count(*) filter (kind = 'external_unresolved') as unresolved from k group by 1""")
+def roots_outside(t):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("external_stdlib", "external_package", "external_unresolved", "direct")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    k = t.raw("orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 50).cast("string")).alias("file_path"), kind.alias("kind"), F.concat(F.lower("o_orderstatus"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".x")).alias("ref"))
+    return Q.file_externals(k).withColumns({c: F.array_join(c, " ") for c in ("stdlib", "packages")})
+
+
+@query("O-192-symbols", "select file_path as file, start_line as line, entity_id as id, name, entity_type as type, null::varchar as signature from entities")
+def symbols(t):
+    return Q.symbols_view(t.entities())
+
+
+@query("O-192-dependencies", f"""{SOURCED}, d as (select distinct source_file as f, target_file as g from sourced where source_file <> target_file), o as (select f, string_agg(g, ' ' order by g) as a from d group by 1), i as (select g, string_agg(f, ' ' order by f) as b from d group by 1)
+select coalesce(f, g) as file, coalesce(a, '') as depends_on, coalesce(b, '') as required_by from o full join i on f = g""")
+def file_dependencies(t):
+    d = sourced(t).where("source_file <> target_file").select(F.col("source_file").alias("file"), F.col("target_file").alias("target"))
+    return Q.dependencies_view(d).withColumns({c: F.array_join(c, " ") for c in ("depends_on", "required_by")})
+
+
+@query("O-192-delta", """with a as (select file_id, string_agg(id || hash, ',' order by id) as h from v_old group by 1), b as (select file_id, string_agg(id || hash, ',' order by id) as h, count(*) as n from v_new group by 1)
+select coalesce(a.file_id, b.file_id) as file_id, case when a.h is null then 'added' when b.h is null then 'removed' when a.h = b.h then 'unchanged' else 'modified' end as state, coalesce(n, 0) as entities from a full join b on a.file_id = b.file_id""")
+def delta_of_files(t):
+    old, new = t.versions()
+    return Q.delta_view(old, new, "file_id")

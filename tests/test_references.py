@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import ladder, receivers
+from sparkloom.operators import calls, ladder, receivers
 from sparkloom.streaming import queue
 
 
@@ -157,3 +157,48 @@ def test_pending_queue_of_a_stream(spark, tmp_path):
     q.awaitTermination(180)
     want = [r for r in flushed(queue.flushes(events_of(spark, every), most=4)) if r[0] != "end"]
     assert flushed(spark.table("pending")) == want and {r[-1] for r in want} == {"debounce", "staleness", "threshold"}
+
+
+RELS = "source_id string, target_id string, relation_type string, roles int, confidence float, line int"
+
+
+def test_edges_of_a_page_through_stubs(spark):
+    rels = spark.createDataFrame(
+        [("a", "unresolved:x", "CALLS", 8, 0.9, 5), ("a", "t", "CALLS", 8, None, 3), ("t", "b", "CALLED_BY", None, 0.2, 1), ("t", "t", "CALLS", 4, 1.0, 2), ("q", "unresolved:y", "CALLS", 8, 1.0, 1), ("u", "v", "CALLS", 8, 1.0, 1)], RELS
+    )
+    page = spark.createDataFrame([("t",), ("t",)], "id string")
+    stubs = spark.createDataFrame([("unresolved:x", "t"), ("unresolved:y", "other"), ("unresolved:z", "unresolved:x")], "stub string, target string")
+
+    def got(**kw):
+        return {(r.source_id, r.target_id, r.relation_type, r.line, r.stub_id) for r in calls.page_edges(rels, page, stubs, **kw).collect()}
+
+    plain, turned, own = ("a", "t", "CALLS", 3, None), ("b", "t", "CALLS", 1, None), ("t", "t", "CALLS", 2, None)
+    assert got() == {plain, turned, own} and got(direction="outgoing") == {own} and got(least=0.5) == {plain, own}
+    assert got(roles=("readaccess",), direction="incoming") == {plain} and got(types=["READS"]) == set()
+    rels = rels.where("line = 5")
+    assert got() == {("a", "t", "CALLS", 5, "unresolved:x")}
+    with pytest.raises(ValueError):
+        got(direction="sideways")
+
+
+def test_entity_without_edges_and_unknown_names(spark):
+    e = spark.createDataFrame([("i1", "one", "CLASS", "a.py"), ("i2", "two", "CLASS", "a.py")], "entity_id string, name string, entity_type string, file_path string")
+    rels = spark.createDataFrame([("i2", "i2", "CALLS", 1, 1.0, 1), ("x", "unresolved:t", "CALLS", 1, 1.0, 2)], RELS)
+    stubs = spark.createDataFrame([("unresolved:t", "i2")], "stub string, target string")
+    assert [tuple(r) for r in calls.entity_card(e, rels, stubs, "one").collect()] == [("i1", None, None, None, None, None)]
+    assert {tuple(r)[1:] for r in calls.entity_card(e, rels, stubs, "two").collect()} == {("i2", "i2", "CALLS", 1, False), ("x", "i2", "CALLS", 2, True)}
+    assert calls.entity_card(e, rels, stubs, "none").count() == 0
+
+
+def test_connections_and_views_of_small_tables(spark):
+    rows = [("a", "b", "CALLS", None, 1.0, 9, "f", "g"), ("a", "c", "CALLS", None, 0.5, 2, "f", "g"), ("a", "d", "CALLS", None, None, 4, "f", "g"), ("a", "b", "CONTAINS", None, None, 4, "f", "g"), ("b", "a", "READS", None, 0.1, 4, "g", "f"), ("a", "z", "CALLS", None, None, 1, "f", None)]
+    e = spark.createDataFrame(rows, RELS + ", source_file string, target_file string")
+    names = spark.createDataFrame([("b", "bee"), ("c", "cee"), ("d", None)], "id string, name string")
+    got = {(r.way, r.other, r.relation_type, r.n, r.max_confidence, tuple(r.via)) for r in calls.file_connections(e, names, "f").collect()}
+    assert got == {("out", "g", "CALLS", 3, 1.0, ("cee", "bee")), ("in", "g", "READS", 1, 0.1, ("bee",))}
+    assert calls.file_connections(e, names, "f", 0.2).where("way = 'in'").count() == 0
+    d = spark.createDataFrame([("f", "g"), ("f", "g"), ("f", "h"), ("h", "f"), ("x", None)], "file string, target string")
+    assert {(r.file, tuple(r.depends_on), tuple(r.required_by)) for r in calls.dependencies_view(d).collect()} == {("f", ("g", "h"), ("h",)), ("g", (), ("f",)), ("h", ("f",), ("f",))}
+    old = spark.createDataFrame([("same", "1", "h"), ("more", "1", "h"), ("gone", "1", "h"), ("twice", "1", "h")], "file_path string, id string, hash string")
+    new = spark.createDataFrame([("same", "1", "h"), ("more", "1", "h"), ("more", "2", None), ("new", "1", "h"), ("twice", "1", "h"), ("twice", "1", "h")], "file_path string, id string, hash string")
+    assert {tuple(r) for r in calls.delta_view(old, new).collect()} == {("same", "unchanged", 1), ("more", "modified", 2), ("gone", "removed", 0), ("new", "added", 1), ("twice", "modified", 2)}
