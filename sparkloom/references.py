@@ -9,6 +9,7 @@ from . import registry
 from .operators import calls as Q
 from .operators import filters as P
 from .operators import ladder, receivers
+from .operators import rules as U
 from .streaming import queue
 from .surface import NODES, SOURCED, nodes, sourced
 
@@ -167,3 +168,29 @@ select coalesce(a.file_id, b.file_id) as file_id, case when a.h is null then 'ad
 def delta_of_files(t):
     old, new = t.versions()
     return Q.delta_view(old, new, "file_id")
+
+
+RULES = """
+schema_version: "2"
+rules:
+  - {rule_id: busy, priority: 1, matchers: {entity_types: [CLASS], ast_edges: {all: [{edge: CALLS, direction: inbound, min_count: 12}]}}, actions: {add_tags: [busy]}}
+  - {rule_id: big, priority: 2, matchers: {ast_edges: [{edge: IMPORTS, direction: outbound, target_name_patterns: ["[0-9]*[13579]$"]}], regex_patterns: [{pattern: "SEGMENT|build", target: metadata, metadata_key: segment}]}, actions: {add_tags: [big], when: {any: [{key: bsg.domain, operator: eq, value: ASIA}, {key: bsg.domain, operator: eq, value: AMERICA}]}}}
+  - {rule_id: cased, priority: 3, matchers: {regex_patterns: [{pattern: "^customer", case_insensitive: false}]}, actions: {add_tags: [never]}}
+  - {rule_id: bytes, priority: 4, matchers: {entity_types: [MODULE], has_raw_content: true, has_coverage_gap: true, byte_range_start: 3, content_patterns: ["none", "f nat"], content_hash_pattern: "^[0-9]"}, actions: {add_tags: [gap]}}
+"""
+
+
+@query("O-50-all", """with c as (select c_custkey as k, c_name, c_mktsegment, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+select 'c:' || k as entity_id, concat_ws(',', case when n >= 12 then 'busy' end, case when c_mktsegment = 'BUILDING' and regexp_matches(n_name, '[13579]$') and r_name in ('ASIA', 'AMERICA') then 'big' end) as rule_ids from c left join (select o_custkey as k, count(*) as n from orders group by 1) using (k)
+union all select 'n:' || n_nationkey, case when n_nationkey >= 3 and starts_with(lower(n_name), 'nat') and n_nationkey % 3 <> 0 and regexp_matches(md5(n_name), '^[0-9]') then 'bytes' else '' end from nation""")
+def all_conditions(t):
+    """Customers and nations under rules of every kind of condition; a nation's raw text is its name, one byte short of its range unless its key is a multiple of three."""
+    nat = t.nations()
+    c = t.raw("customer").join(F.broadcast(nat.select("file_id", "file_path", "r_name")), F.col("c_nationkey") == F.col("file_id"))  # one row a nation
+    meta = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("r_name").alias("bsg.domain")))
+    none = {k: F.lit(None).cast(v) for k, v in (("raw_content", "string"), ("start_byte", "long"), ("end_byte", "long"), ("content", "string"), ("content_hash", "string"))}
+    key = F.col("file_id")
+    own = {"raw_content": F.col("n_name"), "start_byte": key, "end_byte": key + F.octet_length("n_name") + F.when(key % 3 == 0, 0).otherwise(1), "content": F.concat(F.lit("Of "), "n_name"), "content_hash": F.md5("n_name")}
+    e = c.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("entity_id"), F.col("c_name").alias("name"), F.lit("CLASS").alias("entity_type"), "file_path", meta.alias("metadata_json"), *[v.alias(k) for k, v in none.items()])
+    e = e.unionByName(nat.select(F.concat(F.lit("n:"), key.cast("string")).alias("entity_id"), F.col("n_name").alias("name"), F.lit("MODULE").alias("entity_type"), "file_path", F.lit("{}").alias("metadata_json"), *[v.alias(k) for k, v in own.items()]))
+    return U.apply(e, U.load(RULES), t.rels()).select("entity_id", F.array_join("rule_ids", ",").alias("rule_ids"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import calls, ladder, receivers
+from sparkloom.operators import calls, ladder, receivers, rules
 from sparkloom.streaming import queue
 
 
@@ -202,3 +202,41 @@ def test_connections_and_views_of_small_tables(spark):
     old = spark.createDataFrame([("same", "1", "h"), ("more", "1", "h"), ("gone", "1", "h"), ("twice", "1", "h")], "file_path string, id string, hash string")
     new = spark.createDataFrame([("same", "1", "h"), ("more", "1", "h"), ("more", "2", None), ("new", "1", "h"), ("twice", "1", "h"), ("twice", "1", "h")], "file_path string, id string, hash string")
     assert {tuple(r) for r in calls.delta_view(old, new).collect()} == {("same", "unchanged", 1), ("more", "modified", 2), ("gone", "removed", 0), ("new", "added", 1), ("twice", "modified", 2)}
+
+
+ENTITIES = "entity_id string, name string, entity_type string, file_path string, metadata_json string"
+
+
+def test_edge_conditions_count_ends_that_satisfy_them(spark):
+    e = spark.createDataFrame([("a", "Alpha", "CLASS", "a.py", '{"k": "v"}'), ("b", "Beta", "FUNCTION", "b.py", None), ("c", "Gamma", "CLASS", "c.py", "{}")], ENTITIES)
+    rels = spark.createDataFrame([("a", "b", "calls", 1, 1.0, 1), ("a", "a", "CALLS", 1, 1.0, 1), ("b", "a", "INHERITS_FROM", 1, 1.0, 1), ("a", "gone", "CALLS", 1, 1.0, 1)], RELS)
+    made = [
+        rules.Rule("three_out", edges_all=(rules.Edge("CALLS", "outbound", 3),)), rules.Rule("own_twice", edges_all=(rules.Edge("CALLS", "either", 4),)),
+        rules.Rule("to_function", edges_all=(rules.Edge("CALLS", "outbound", 1, types=("function",)),)), rules.Rule("known", edges_all=(rules.Edge("CALLS", "outbound", 3, types=("*",)),)),
+        rules.Rule("alias", edges_any=(rules.Edge("INHERITS", "outbound", names=("^al",), metadata=(("k", "v"),)), rules.Edge("READS"))),
+        rules.Rule("both", edges_all=(rules.Edge("CALLS", "inbound"),), edges_any=(rules.Edge("INHERITS", "outbound"),)),
+    ]
+    got = {r.entity_id: set(r.rule_ids) for r in rules.apply(e, made, rels).collect()}
+    assert got == {"a": {"three_out", "own_twice", "to_function"}, "b": {"alias", "both"}, "c": set()}
+    with pytest.raises(ValueError):
+        rules.apply(e, made)
+
+
+def test_conditions_on_bytes_text_and_gates(spark):
+    schema = ENTITIES + ", raw_content string, start_byte long, end_byte long, content string, content_hash string, signature string"
+    rows = [
+        ("whole", "n", "T", "p", '{"k": "v"}', "é", 0, 2, "Some TEXT", "0a", "def f()"), ("gap", "n", "T", "p", "{}", "é", 0, 3, "", "fa", None), ("none", "n", "T", "p", None, None, 0, 3, None, None, None), ("odd", "n", "T", "p", "{}", "x", 5, 3, "x", "", ""),
+    ]
+    e = spark.createDataFrame(rows, schema)
+
+    def got(**kw):
+        return {r.entity_id for r in rules.apply(e, [rules.Rule("r", **kw)]).where("size(rule_ids) > 0").collect()}
+
+    assert got(has_raw=True) == {"whole", "gap", "odd"} and got(has_raw=False) == {"none"}
+    assert got(has_gap=True) == {"gap"} and got(has_gap=False) == {"whole"}
+    assert got(start_from=1) == {"odd"} and got(end_to=2) == {"whole"} and got(hash_pattern="^.a|^$") == {"whole", "gap"}
+    assert got(content=("text",)) == {"whole"} and got(gap_types=("t",)) == {"whole", "gap", "none", "odd"}
+    assert got(when_all=(("k", "eq", "v"),)) == {"whole"} and got(when_any=(("k", "exists", None), ("z", "exists", None))) == {"whole"}
+    assert got(regexes=(("signature", "DEF", True),)) == {"whole"} and got(regexes=(("signature", "DEF", False),)) == set() == got(regexes=(("name", "(", True),)) == got(regexes=(("elsewhere", ".*", True),))
+    with pytest.raises(ValueError):
+        rules.load('rules: [{rule_id: a, matchers: {ast_edges: [{edge: CALLS, min_count: 0}]}}]')
