@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import filters as P
 from . import resolution as R
+from .graph import cut
 
 TRIPLE = ["source_id", "target_id", "relation_type"]
 
@@ -54,7 +55,7 @@ def entity_card(entities: DataFrame, rels: DataFrame, resolved: DataFrame, name:
 
     entities needs (entity_id, name, entity_type, file_path); the name is looked up on one rung of `resolution.by_name`.
     """
-    found = R.by_name(entities, name).select("entity_id").distinct()
+    found = cut(R.by_name(entities, name).select("entity_id").distinct())  # read five times below
     e = page_edges(rels, found.withColumnRenamed("entity_id", "id"), resolved).select(*TRIPLE, "line", F.col("stub_id").isNotNull().alias("via_stub"))
     ends = e.withColumn("entity_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))))
     return found.join(ends, "entity_id", "left").select("entity_id", *TRIPLE, "line", "via_stub")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import joins as J
+from .graph import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -115,7 +116,7 @@ def infer(calls: DataFrame, callables: DataFrame, types: DataFrame, assigned: Da
     calls: (call_id, scope, file_path, var, line); callables: (id, name, file_path, signature, owner); types: (name,
     module), modules marked; assigned: (scope, var, line, callee).
     """
-    known, params = makers(callables, types), parameters(callables).withColumn("note", type_in(F.col("annotation")))
+    known, params = makers(callables, types), cut(parameters(callables).withColumn("note", type_in(F.col("annotation"))))  # signatures are parsed once
     calls_in = r"([A-Za-z_][\w.]*)(?=\s*\()|(?<=\()([A-Za-z_][\w.]*)(?=\))"
     by_default = _made(params.where("note is null and default is not null"), ["scope", "var"], F.regexp_extract_all("default", F.lit(calls_in), F.lit(0)), known)
     by_param = params.where("note is not null").groupBy("scope", "var").agg(F.min("note").alias("param"))
