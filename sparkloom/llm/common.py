@@ -10,9 +10,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# The white space that separates words, and the word pattern made from it.
+# The white space that separates words, the word pattern made from it, and the edges up to which a round
+# of components() broadcasts.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+BROADCAST_EDGES = 10_000
 
 
 def ship(module: str) -> None:
@@ -55,6 +57,12 @@ def drop(*saved: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A side of a join that shuffles. Spark guesses sizes from compressed files, before rows are multiplied, and would
+    collect tables that grow with the corpus on the driver to broadcast them; tables of a checked count are exempt."""
+    return df.hint("merge")
+
+
 def let(value: Column, body) -> Column:
     """Bind value once for use inside lambdas; a plain reference would be computed again for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -86,14 +94,25 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if now[0] == 0:
             break
+        kept = []
+
+        def side(df: DataFrame) -> DataFrame:
+            return F.broadcast(df) if now[0] <= BROADCAST_EDGES else spread(held(df))
+
+        def held(df: DataFrame) -> DataFrame:
+            """df, written where it is large: AQE splits a hub's partition only between plain exchanges."""
+            if now[0] > BROADCAST_EDGES:
+                kept.append(df := save(df, "cc-side"))
+            return df
+
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        low = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        big = held(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = side(big.groupBy("u").agg(F.min("v").alias("m")))
         star = big.join(low, "u").select("v", "m", "u")
         small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new, then = _counted(small.distinct())
-        drop(e)
+        drop(e, *kept)
         e, now, mark = new, then, now
         if now == mark:
             break

@@ -34,6 +34,7 @@ from . import common
 common.ship(__name__)
 
 HOT = 512
+BROADCAST_HOT = 10_000
 # Least similarity of near copies, MinHash bands and rows of a band (at 0.8 all bands fail once in 2e7).
 SIMILAR, BANDS, ROWS = 0.8, 32, 4
 CROWD, LEADERS = 64, 3
@@ -142,7 +143,7 @@ def _verified(targets: DataFrame, probes: DataFrame, keys: list[str]) -> DataFra
     a, b = targets.alias("a"), probes.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) == 3
-    return a.join(b, [*on, F.col("a.comp") != F.col("b.comp"), near]).select(F.col("a.comp").alias("u"), F.col("b.comp").alias("v"))
+    return a.join(common.spread(b), [*on, F.col("a.comp") != F.col("b.comp"), near]).select(F.col("a.comp").alias("u"), F.col("b.comp").alias("v"))
 
 
 def link(fps: DataFrame) -> DataFrame:
@@ -154,10 +155,11 @@ def link(fps: DataFrame) -> DataFrame:
     near = variants.select("fp", least.alias("low")).where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v"))
     first = common.save(common.components(near), "simhash-near")
 
-    rep = fps.select("fp").join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
+    rep = fps.select("fp").join(common.spread(first.select(F.col("node").alias("fp"), "root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
     halves = common.save(_parts(rep, "fp", 32, "a"), "simhash-halves")
     hot = common.save(halves.groupBy("a_h", "a_v").agg(F.count("*").alias("n")).where(F.col("n") > HOT).drop("n"), "simhash-hot")
-    any_hot = not hot.isEmpty()
+    any_hot = hot.count()
+    hot = F.broadcast(hot) if any_hot <= BROADCAST_HOT else common.spread(hot)
     cold = halves.join(hot, ["a_h", "a_v"], "left_anti") if any_hot else halves
     slim = cold.select("fp", "comp", "a_h", "a_v")
     probes = _ball(slim, 32, "k", "a_v").select("fp", "comp", "a_h", F.col("k").alias("a_v"))
@@ -178,7 +180,7 @@ def link(fps: DataFrame) -> DataFrame:
 
         links = links.unionByName(_verified(deeper(held, False), deeper(around, True), fine))
     second = common.components(links)
-    joined = rep.join(second.select(F.col("node").alias("comp"), F.col("root").alias("top")), "comp", "left")
+    joined = rep.join(common.spread(second.select(F.col("node").alias("comp"), F.col("root").alias("top"))), "comp", "left")
     return joined.select("fp", F.coalesce("top", "comp").alias("root"))
 
 
@@ -263,11 +265,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
         tops = resemble(docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")), keyed, roots, similarity)
         roots = roots.join(tops, roots["root"] == tops["node"], "left").select("fp", F.coalesce("top", "root").alias("root"))
         roots = common.save(roots, "simhash-tops")
-    rooted = least.join(roots, "fp")
+    rooted = least.join(common.spread(roots), "fp")
     # Saved before the join: a component of a third of all texts is then split over tasks.
     lows = common.save(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
-    table = common.save(rooted.join(lows, "root").select("fp", "root", "component_id"), "simhash-table")
-    return keyed.join(table, "fp").select("doc_id", "th", "fp", "root", "component_id")
+    table = common.save(rooted.join(common.spread(lows), "root").select("fp", "root", "component_id"), "simhash-table")
+    return keyed.join(common.spread(table), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float | None = SIMILAR) -> DataFrame:

@@ -110,6 +110,27 @@ def test_dedup_keeps_unrelated_texts_of_null_and_reused_ids(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
 
 
+def plans_saved(monkeypatch):
+    """The plans of all tables saved from here on."""
+    plans, save = [], common.save
+
+    def noted(df, label, *args):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return save(df, label, *args)
+
+    monkeypatch.setattr(common, "save", noted)
+    monkeypatch.setattr(common, "BROADCAST_EDGES", 0, raising=False)
+    return plans
+
+
+def test_simhash_joins_send_no_table_of_fingerprints_to_the_driver(spark, rows, monkeypatch):
+    plans = plans_saved(monkeypatch)
+    found = simhash.near_duplicates(docs_of(spark, rows))
+    plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
+    assert len(found.collect()) == len(rows) and any("SortMergeJoin" in p for _, p in plans)
+    assert [label for label, p in plans if "Broadcast" in p] == []
+
+
 def similarity_of(a, b):
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (a.lower().split(), b.lower().split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
