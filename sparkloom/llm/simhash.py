@@ -34,7 +34,7 @@ from . import common
 common.ship(__name__)
 
 HOT = 512
-BROADCAST_HOT = 10_000
+BROADCAST_ROWS = 10_000
 # Least similarity of near copies, MinHash bands and rows of a band (at 0.8 all bands fail once in 2e7).
 SIMILAR, BANDS, ROWS = 0.8, 32, 4
 CROWD, LEADERS = 64, 3
@@ -159,7 +159,7 @@ def link(fps: DataFrame) -> DataFrame:
     halves = common.save(_parts(rep, "fp", 32, "a"), "simhash-halves")
     hot = common.save(halves.groupBy("a_h", "a_v").agg(F.count("*").alias("n")).where(F.col("n") > HOT).drop("n"), "simhash-hot")
     any_hot = hot.count()
-    hot = F.broadcast(hot) if any_hot <= BROADCAST_HOT else common.spread(hot)
+    hot = F.broadcast(hot) if any_hot <= BROADCAST_ROWS else common.spread(hot)
     cold = halves.join(hot, ["a_h", "a_v"], "left_anti") if any_hot else halves
     slim = cold.select("fp", "comp", "a_h", "a_v")
     probes = _ball(slim, 32, "k", "a_v").select("fp", "comp", "a_h", F.col("k").alias("a_v"))
@@ -187,7 +187,7 @@ def link(fps: DataFrame) -> DataFrame:
 def _open(members: DataFrame) -> DataFrame:
     """The members (key, th, comp) of keys that several components hold."""
     several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return members.join(common.save(several, "similar-keys"), "key", "left_semi")
+    return members.join(common.spread(common.save(several, "similar-keys")), "key", "left_semi")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -197,19 +197,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = F.size(F.array_intersect("sa", "sb"))
     near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)
     sizes = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb")) - F.lit(1e-9)
-    return pairs.join(a, "ta").join(b, "tb").where(F.when(sizes, near).otherwise(F.lit(False))).select("u", "v").distinct()
+    return pairs.join(common.spread(a), "ta").join(common.spread(b), "tb").where(F.when(sizes, near).otherwise(F.lit(False))).select("u", "v").distinct()
 
 
 def _pairs(members: DataFrame) -> DataFrame:
     """Pairs of members (key, th, comp) of different components that meet on a key; callers bound a key's members."""
     a, b = members.alias("a"), members.alias("b")
-    met = a.join(b, [F.col("a.key") == F.col("b.key"), F.col("a.th") < F.col("b.th"), F.col("a.comp") != F.col("b.comp")])
+    met = a.join(common.spread(b), [F.col("a.key") == F.col("b.key"), F.col("a.th") < F.col("b.th"), F.col("a.comp") != F.col("b.comp")])
     return met.select(F.col("a.th").alias("ta"), F.col("b.th").alias("tb"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v")).distinct()
 
 
 def _led(members: DataFrame, leads: DataFrame) -> DataFrame:
     """Pairs of each member with the leaders b of its keys, where their components differ."""
-    met = members.join(leads, "key").where("comp <> b.comp")
+    met = members.join(common.spread(leads), "key").where("comp <> b.comp")
     return met.select(F.col("th").alias("ta"), F.col("b.th").alias("tb"), F.col("comp").alias("u"), F.col("b.comp").alias("v")).distinct()
 
 
@@ -218,30 +218,30 @@ def resemble(texts: DataFrame, keyed: DataFrame, roots: DataFrame, similarity: f
 
     texts: (th, text); keyed: (th, fp, bands); roots: (fp, root) of every fingerprint.
     """
-    rows = keyed.select("th", "fp", "bands").join(roots, "fp").select("th", F.col("root").alias("comp"), F.explode("bands").alias("key")).distinct()
+    rows = keyed.select("th", "fp", "bands").join(common.spread(roots), "fp").select("th", F.col("root").alias("comp"), F.explode("bands").alias("key")).distinct()
     first = common.save(_open(rows), "similar-members")
     none = first.select(F.col("comp").alias("u"), F.col("comp").alias("v")).limit(0)
     if first.isEmpty():
         return none.toDF("node", "top")
-    held = common.save(texts.join(first.select("th").distinct(), "th", "left_semi"), "similar-texts")
+    held = common.save(texts.join(common.spread(first.select("th").distinct()), "th", "left_semi"), "similar-texts")
     sets = common.save(held.groupBy("th").agg(F.first("text").alias("text")).select("th", shingle_set("text").alias("set")), "similar-sets")
     sizes = common.save(first.groupBy("key").agg(F.count("*").alias("n")), "similar-sizes")
-    degree = common.save(first.join(sizes, "key").groupBy("th").agg(F.sum("n").alias("d")), "similar-degree")
+    degree = common.save(first.join(common.spread(sizes), "key").groupBy("th").agg(F.sum("n").alias("d")), "similar-degree")
     lead = F.min(F.struct((-F.col("d")).alias("x"), "th", "comp")).alias("b")
-    leads = common.save(first.join(degree, "th").groupBy("key").agg(lead), "similar-leads")
+    leads = common.save(first.join(common.spread(degree), "th").groupBy("key").agg(lead), "similar-leads")
     links = common.save(_alike(_led(first, leads), sets, similarity), "similar-links")
 
     def merged() -> DataFrame:
         return common.save(common.components(links).toDF("node", "top"), "similar-top")
 
     top = merged()
-    moved = first.join(top, first["comp"] == top["node"], "left").select("key", "th", F.coalesce("top", "comp").alias("comp"))
+    moved = first.join(common.spread(top), first["comp"] == top["node"], "left").select("key", "th", F.coalesce("top", "comp").alias("comp"))
     members = common.save(_open(common.save(moved, "similar-moved")), "similar-members")
     sizes = common.save(members.groupBy("key").agg(F.count("*").alias("n")), "similar-sizes")
     crowds = sizes.where(F.col("n") > CROWD).select("key")
-    pairs = _pairs(members.join(crowds, "key", "left_anti"))
+    pairs = _pairs(members.join(common.spread(crowds), "key", "left_anti"))
     drawn = [F.min(F.struct(F.xxhash64("th", F.lit(r)).alias("x"), "th", "comp")).alias(f"b{r}") for r in range(LEADERS)]
-    crowded = common.save(members.join(crowds, "key", "left_semi"), "similar-crowded")
+    crowded = common.save(members.join(common.spread(crowds), "key", "left_semi"), "similar-crowded")
     leads = crowded.groupBy("key").agg(*drawn).select("key", F.explode(F.array(*[f"b{r}" for r in range(LEADERS)])).alias("b"))
     pairs = pairs.unionByName(_led(crowded, common.save(leads.distinct(), "similar-leads"))).distinct()
     links = common.save(links.unionByName(_alike(pairs, sets, similarity)), "similar-links")
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
     roots = common.save(link(least), "simhash-roots")
     if similarity is not None:
         tops = resemble(docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")), keyed, roots, similarity)
-        roots = roots.join(tops, roots["root"] == tops["node"], "left").select("fp", F.coalesce("top", "root").alias("root"))
+        roots = roots.join(common.spread(tops), roots["root"] == tops["node"], "left").select("fp", F.coalesce("top", "root").alias("root"))
         roots = common.save(roots, "simhash-tops")
     rooted = least.join(common.spread(roots), "fp")
     # Saved before the join: a component of a third of all texts is then split over tasks.
@@ -279,17 +279,20 @@ def deduplicate(docs: DataFrame, similarity: float | None = SIMILAR) -> DataFram
     rows = common.save(rows, "simhash-rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))
     kept = first.select(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"), F.lit(True).alias("keep"))
-    judged = common.save(rows.join(kept, rows.doc_id.eqNullSafe(kept.doc_id) & (rows.th == kept.th), "left").select(rows.doc_id, rows.th, "n", F.coalesce("keep", F.lit(False)).alias("keep")), "simhash-judged")
+    judged = common.save(rows.join(common.spread(kept), rows.doc_id.eqNullSafe(kept.doc_id) & (rows.th == kept.th), "left").select(rows.doc_id, rows.th, "n", F.coalesce("keep", F.lit(False)).alias("keep")), "simhash-judged")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), F.xxhash64("text").alias("th"))
 
     def on(which: DataFrame):
         return F.col("r.doc_id").eqNullSafe(which["doc_id"]) & (packed["th"] == which["th"])
 
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else common.spread(df)
+
     gone = judged.where("not keep or n > 1").select("doc_id", "th")
-    out = packed.join(gone, on(gone), "left_anti").select("r.*")
+    out = packed.join(side(gone), on(gone), "left_anti").select("r.*")
     again = judged.where("keep and n > 1").select("doc_id", "th")
     if not again.isEmpty():
-        some = packed.join(again, on(again), "left_semi").groupBy("r.doc_id", "th").agg(F.first("r").alias("r"))
+        some = packed.join(side(again), on(again), "left_semi").groupBy("r.doc_id", "th").agg(F.first("r").alias("r"))
         out = out.unionByName(some.select("r.*"))
     return out
 

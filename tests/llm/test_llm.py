@@ -131,6 +131,17 @@ def test_simhash_joins_send_no_table_of_fingerprints_to_the_driver(spark, rows,
     assert [label for label, p in plans if "Broadcast" in p] == []
 
 
+def test_dedup_joins_send_no_table_of_texts_to_the_driver(spark, rows, monkeypatch):
+    plans = plans_saved(monkeypatch)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    rng = random.Random(3)
+    edited = [(1000 + i, t + " " + " ".join(rng.choice("abcdef") for _ in range(9)), s) for i, t, s in rows[:30]]  # linked by similarity
+    found = simhash.deduplicate(docs_of(spark, rows + edited))
+    plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
+    assert found.count() > 0 and any(label == "similar-links" for label, _ in plans)
+    assert [label for label, p in plans if "Broadcast" in p] == []
+
+
 def similarity_of(a, b):
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (a.lower().split(), b.lower().split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
