@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import name_tokens
+from . import graph
 
 
 def tag(entities: DataFrame, tokens: dict[str, set[str]], types: dict[str, set[str]] | None = None) -> DataFrame:
@@ -35,11 +36,15 @@ def implied_edges(rels: DataFrame, tags: DataFrame, rules: list[tuple[str | None
 def tested_by(tests: DataFrame, targets: DataFrame, direct: DataFrame, most: int = 50) -> DataFrame:
     """(test, target, confidence): targets a test is named after, `most` first by id; 0.85 where an edge links them, else 0.65.
 
-    tests: (test, base); targets: (target, base); direct: (test, target).
+    tests: (test, base); targets: (target, base); direct: (test, target). A base's first `most` + 1 targets hold all that
+    its tests can take, themselves left out, so tests never meet the rest of them.
     """
+    rank = F.dense_rank().over(Window.partitionBy("base").orderBy("target"))
+    first = graph.cut(targets.where("target is not null and base is not null").select("base", "target").withColumn("r", rank).where(F.col("r") <= most + 1).select("base", "target").distinct())
     w = Window.partitionBy("test").orderBy("target")
-    near = tests.join(targets, "base").select("test", "target").distinct().where("test <> target").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
-    return near.join(direct.distinct().withColumn("linked", F.lit(True)), ["test", "target"], "left").select("test", "target", F.when(F.col("linked"), 0.85).otherwise(0.65).alias("confidence"))
+    near = tests.join(first, "base").select("test", "target").distinct().where("test <> target").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    linked = direct.join(first.select("target").distinct(), "target", "left_semi").select("test", "target").distinct()
+    return near.join(linked.withColumn("linked", F.lit(True)), ["test", "target"], "left").select("test", "target", F.when(F.col("linked"), 0.85).otherwise(0.65).alias("confidence"))
 
 
 def verdicts(hits: DataFrame, entities: int) -> DataFrame:

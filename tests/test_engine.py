@@ -231,6 +231,32 @@ def test_verdicts_and_tested_by(spark):
     assert {(r.target, r.confidence) for r in semantic.tested_by(t, o, d).collect()} == {("m1", 0.65), ("m2", 0.85)}
 
 
+def test_tested_by_never_pairs_all_tests_and_targets_of_a_base(spark):
+    from sparkloom.operators import semantic
+
+    names = [f"m{i:04}" for i in range(400)]
+    tests = [("m0001", "a"), ("t", "a"), ("t", "b"), ("u", "c"), ("v", None), *[(f"x{i}", "a") for i in range(200)]]
+    targets = [(x, "ab"[i % 2]) for i, x in enumerate(names)] + [(x, "a") for x in names[:8] * 2] + [(None, "a"), ("w", None)]
+    direct = [("t", "m0000"), ("t", "m0000"), ("t", "m0399"), ("m0001", "m0003")]
+    want = set()
+    for t in {t for t, _ in tests}:
+        bases = {b for x, b in tests if x == t and b}
+        near = sorted({m for m, b in targets if b in bases and m and m != t})[:50]
+        want |= {(t, m, 0.85 if (t, m) in direct else 0.65) for m in near}
+    frames = [spark.createDataFrame(rows, f"{a} string, {b} string") for rows, a, b in ((tests, "test", "base"), (targets, "target", "base"), (direct, "test", "target"))]
+    found = semantic.tested_by(*frames)
+    got = found.collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+    def most_rows(node):
+        below = [node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(most_rows, below)])
+
+    rows = most_rows(found._jdf.queryExecution().executedPlan())
+    assert 0 < rows <= len(tests) * 51
+
+
 def test_file_sources(spark, tmp_path):
     from sparkloom.sources import files
 
