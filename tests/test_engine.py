@@ -1,7 +1,7 @@
 """Operators without an SQL form, on small hand-made inputs."""
 
 import random
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +121,21 @@ def test_greedy_merging_with_a_heap_is_the_plain_search():
     assert len(set(communities.split_large(cliques, 1000.0, 2).values())) > 1
 
 
+def test_a_merge_costs_the_neighbours_of_one_side(monkeypatch):
+    import heapq
+
+    from sparkloom.operators import communities
+
+    # Leaves join the centre one by one; each used to push all pairs that the centre has left.
+    n, calls = 400, Counter()
+    edges = [("a", f"b{i:03}", 1.0 + i / n) for i in range(n)]
+    for name in ("heappush", "heapreplace"):
+        monkeypatch.setattr(heapq, name, lambda *x, f=getattr(heapq, name): (calls.update(["n"]), f(*x))[1])
+    found = communities.merge_greedily(edges, 1e6)
+    assert set(found) == {"a", *(x for e in edges for x in e[:2])} and set(found.values()) == {"a"}
+    assert calls["n"] < 10 * len(edges)
+
+
 def test_search_scores(spark):
     rows = [("get_entity", "FUNCTION"), ("get_entity_[800748]", "FUNCTION"), ("get_entity_page", "FUNCTION"), ("the_get_entity_fn", "FUNCTION"), ("get_entity", "COMMENT_BLOCK"), ("get_entity", "EXTERNAL_SYMBOL"), ("get_entity", "MODULE")]
     e = spark.createDataFrame([(n, k, f"id{i}", "src/x.py", i, False, None, None) for i, (n, k) in enumerate(rows)], "name string, entity_type string, entity_id string, file_path string, start_line int, is_exported boolean, fqn string, metadata_json string")
