@@ -15,9 +15,9 @@ Distance 3 misses most copies below a similarity of 0.9, so deduplication adds t
 have a Jaccard similarity of SIMILAR or more: MinHash bands propose, the exact similarity of the sets decides. A band
 held by one component proposes nothing. Every text first meets the leader of each of its bands: the member that shares
 bands with most texts, so that edited copies of one text meet that text. What is then left in different components
-meets in pairs in bands of up to CROWD texts; in larger ones every text meets LEADERS members drawn by hash, so rows
-grow with the texts and never with the square of a group. Pairs of a larger band that agree in no other and with no
-leader are not compared.
+meets in pairs in bands of up to CROWD texts; in larger ones every text meets LEADERS members drawn by hash. Texts of
+larger bands that are then still apart meet by their rarest shingles: of two texts as similar as asked, each has one of
+the other's among its rarest 1 - SIMILAR. That finds all their links, whatever bands they share. No pair is left out.
 """
 
 from __future__ import annotations
@@ -207,6 +207,36 @@ def _pairs(members: DataFrame) -> DataFrame:
     return met.select(F.col("a.th").alias("ta"), F.col("b.th").alias("tb"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v")).distinct()
 
 
+def _rarest(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, th, comp, n, i): the shingles, rarest first and i-th of n, that two texts (th, comp) must share one of.
+
+    Sets with a similarity of s share s of each, so one lies among the first n - ceil(s * n) + 1 of both in any one
+    order. Shingles of one text are counted, but give no row.
+    """
+    from pyspark.sql import Window
+
+    held = sets.join(common.spread(texts), "th").select("th", "comp", F.size("set").alias("n"), F.explode("set").alias("key"))
+    held = common.save(held, "similar-shingles")
+    often = common.save(held.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"), "similar-often")
+    ranked = held.join(common.spread(often), "key", "left").withColumn("i", F.row_number().over(Window.partitionBy("th").orderBy(F.col("d").asc_nulls_first(), "key")))
+    most = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-6)) + 1
+    return ranked.where((F.col("i") <= most) & F.col("d").isNotNull()).select("key", "th", "comp", "n", "i")
+
+
+def _close(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows (key, th, comp, n, i) of _rarest() that may be as similar as asked.
+
+    What two texts share up to their last common key is counted; beyond it they share at most what the shorter has left.
+    """
+    a, b = rows.alias("a"), rows.alias("b")
+    sizes = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - F.lit(1e-6)
+    met = a.join(common.spread(b), [F.col("a.key") == F.col("b.key"), F.col("a.th") < F.col("b.th"), F.col("a.comp") != F.col("b.comp"), sizes])
+    met = met.groupBy(F.col("a.th").alias("ta"), F.col("b.th").alias("tb"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    met = met.agg(F.count("*").alias("c"), F.max("a.i").alias("ia"), F.max("b.i").alias("ib"))
+    most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return met.where(most >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)).select("ta", "tb", "u", "v")
+
+
 def _led(members: DataFrame, leads: DataFrame) -> DataFrame:
     """Pairs of each member with the leaders b of its keys, where their components differ."""
     met = members.join(common.spread(leads), "key").where("comp <> b.comp")
@@ -235,16 +265,41 @@ def resemble(texts: DataFrame, keyed: DataFrame, roots: DataFrame, similarity: f
         return common.save(common.components(links).toDF("node", "top"), "similar-top")
 
     top = merged()
-    moved = first.join(common.spread(top), first["comp"] == top["node"], "left").select("key", "th", F.coalesce("top", "comp").alias("comp"))
-    members = common.save(_open(common.save(moved, "similar-moved")), "similar-members")
+
+    def moved(rows: DataFrame) -> DataFrame:
+        """rows of the keys that several components still hold."""
+        now = rows.join(common.spread(top), rows["comp"] == top["node"], "left").select(*[F.coalesce("top", "comp").alias(c) if c == "comp" else c for c in rows.columns])
+        return common.save(_open(common.save(now, "similar-moved")), "similar-members")
+
+    def drawn(rows: DataFrame, seed: int) -> DataFrame:
+        """One row a key: its member b drawn by hash."""
+        return rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("th", F.lit(seed)).alias("x"), "th", "comp")).alias("b"))
+
+    members = moved(first)
     sizes = common.save(members.groupBy("key").agg(F.count("*").alias("n")), "similar-sizes")
     crowds = sizes.where(F.col("n") > CROWD).select("key")
     pairs = _pairs(members.join(common.spread(crowds), "key", "left_anti"))
-    drawn = [F.min(F.struct(F.xxhash64("th", F.lit(r)).alias("x"), "th", "comp")).alias(f"b{r}") for r in range(LEADERS)]
     crowded = common.save(members.join(common.spread(crowds), "key", "left_semi"), "similar-crowded")
-    leads = crowded.groupBy("key").agg(*drawn).select("key", F.explode(F.array(*[f"b{r}" for r in range(LEADERS)])).alias("b"))
-    pairs = pairs.unionByName(_led(crowded, common.save(leads.distinct(), "similar-leads"))).distinct()
-    links = common.save(links.unionByName(_alike(pairs, sets, similarity)), "similar-links")
+    if crowded.isEmpty():
+        links = common.save(links.unionByName(_alike(pairs, sets, similarity)), "similar-links")
+        return merged()
+    for seed in range(LEADERS):
+        pairs = pairs.unionByName(_led(crowded, common.save(drawn(crowded, seed), "similar-leads")))
+    links = common.save(links.unionByName(_alike(pairs.distinct(), sets, similarity)), "similar-links")
+    top = merged()
+    rest = moved(crowded)
+    if rest.isEmpty():
+        return top
+    keys = moved(common.save(_rarest(rest.select("th", "comp").distinct(), sets, similarity), "similar-rarest"))
+    for seed in range(LEADERS):  # merges most of what a frequent shingle holds; the rest meets in pairs
+        sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
+        often = common.save(keys.join(common.spread(sizes), "key", "left_semi"), "similar-crowded")
+        if often.isEmpty():
+            break
+        links = common.save(links.unionByName(_alike(_led(often, common.save(drawn(often, seed), "similar-leads")), sets, similarity)), "similar-links")
+        top = merged()
+        keys = moved(keys)
+    links = common.save(links.unionByName(_alike(_close(keys, similarity), sets, similarity)), "similar-links")
     return merged()
 
 

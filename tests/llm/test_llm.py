@@ -176,6 +176,39 @@ def test_dedup_finds_copies_of_similarity_080(spark, monkeypatch):
     assert sorted(r.doc_id for r in got) == sorted(lows.values())
 
 
+@pytest.mark.parametrize("crowd", [1, 4, 64])
+def test_similar_texts_of_one_large_band_are_all_linked(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(6)
+
+    def made(n):
+        return ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+    form, texts = made(60), ["one", "two words"]  # a form that all share, filled in twice nearly alike, and cut short
+    for i in range(40):
+        filled = form + made(120)
+        texts += [" ".join(filled), " ".join(f"w{rng.randrange(10**6)}" if at in (70, 100, 130, 160)[: 1 + i % 4] else w for at, w in enumerate(filled)), " ".join(filled[: 100 + i])]
+    parent = list(range(len(texts)))
+
+    def find(a):
+        return a if parent[a] == a else find(parent[a])
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if similarity_of(texts[a], texts[b]) >= 0.8:
+                parent[find(a)] = find(b)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(find(i), set()).add(i)
+    rows = [(i, i, [7], t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "th long, fp long, bands array<long>, text string")
+    tops = {r.node: r.top for r in simhash.resemble(frame.select("th", "text"), frame.drop("text"), frame.select("fp", F.col("fp").alias("root"))).collect()}
+    got = defaultdict(set)
+    for i in range(len(texts)):
+        got[tops.get(i, i)].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 42 < len(want) < 122
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 301)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
