@@ -5,17 +5,22 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# The white space that separates words, the word pattern made from it, and the edges up to which a round
-# of components() broadcasts.
+# The white space that separates words, the word pattern made from it, and the edges up to which
+# components() works in one task.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_EDGES = 10_000
 
+_scopes: list[dict[str, DataFrame]] = []
+
 
 def ship(module: str) -> None:
     """Let Python functions of a module travel by value, so executors need no copy of this package."""
@@ -45,6 +50,8 @@ def save(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if _scopes:
+        _scopes[-1][path] = out
     return out
 
 
@@ -57,6 +64,25 @@ def drop(*saved: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scope():
+    """Deletes on leaving what was saved inside, except the tables given to the function that it yields."""
+    held, kept = {}, set()
+    _scopes.append(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        if _scopes:
+            _scopes[-1].update({path: df for path, df in held.items() if path in kept})
+        drop(*[df for path, df in held.items() if path not in kept])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A side of a join that shuffles. Spark guesses sizes from compressed files, before rows are multiplied, and would
     collect tables that grow with the corpus on the driver to broadcast them; tables of a checked count are exempt."""
@@ -83,14 +109,37 @@ def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["h"])
 
 
+def _together(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (u, v), all in one task, by union-find; the smaller root stays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := top.setdefault(x, x)) != x:
+                top[x] = x = top.setdefault(up, up)
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+                a, b = find(u), find(v)
+                top[max(a, b)] = min(a, b)
+        yield pd.DataFrame([(x, find(x)) for x in list(top)], columns=["node", "root"], dtype="int64")
+
+    return edges.coalesce(1).mapInPandas(run, "node long, root long")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the smallest node reached.
 
     Alternating large-star and small-star steps: each is a partial aggregate and one equi-join that AQE can
     split, so a star with any number of leaves stays distributed. Edges never multiply beyond twice the input.
+    Up to BROADCAST_EDGES edges, counted, are joined in one task instead, without the rounds' exchanges.
     Empty edges give no rows; self-loops and repeated edges are dropped.
     """
-    e, now = _counted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e, now = _counted(edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct())
+    if now[0] <= BROADCAST_EDGES:
+        return _together(e)
     for _ in range(rounds):
         if now[0] == 0:
             break

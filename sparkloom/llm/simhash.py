@@ -38,6 +38,8 @@ BROADCAST_ROWS = 10_000
 # Least similarity of near copies, MinHash bands and rows of a band (at 0.8 all bands fail once in 2e7).
 SIMILAR, BANDS, ROWS = 0.8, 32, 4
 CROWD, LEADERS = 64, 3
+# Slots that count shared shingles; pairs of texts on rare shingles above which more leaders are met first.
+SLOTS, MANY_PAIRS = 1 << 22, 200_000_000
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LANES = np.uint64(0x0101010101010101)
 
@@ -193,6 +195,12 @@ def _open(members: DataFrame) -> DataFrame:
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v): components of those pairs (ta, tb, u, v) whose shingle sets are as similar as asked, exactly."""
     pairs = common.save(pairs, "similar-pairs")
+    n = pairs.count()
+    if n == 0:
+        return pairs.select("u", "v")
+    if n <= BROADCAST_ROWS:  # then only the sets that they name are shuffled
+        named = pairs.select(F.explode(F.array("ta", "tb")).alias("th")).distinct()
+        sets = common.save(sets.join(F.broadcast(named), "th", "left_semi"), "similar-named")
     a, b = sets.select(F.col("th").alias("ta"), F.col("set").alias("sa")), sets.select(F.col("th").alias("tb"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     near = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - F.lit(1e-9)
@@ -207,30 +215,85 @@ def _pairs(members: DataFrame) -> DataFrame:
     return met.select(F.col("a.th").alias("ta"), F.col("b.th").alias("tb"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v")).distinct()
 
 
-def _rarest(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, th, comp, n, i): the shingles, rarest first and i-th of n, that two texts (th, comp) must share one of.
+def _coarse(n):
+    """Sizes rounded down to their ten highest bits, so that few differ."""
+    cut = np.maximum(np.frexp(n)[1] - 10, 0)
+    return n >> cut << cut
+
 
-    Sets with a similarity of s share s of each, so one lies among the first n - ceil(s * n) + 1 of both in any one
-    order. Shingles of one text are counted, but give no row.
+def _shared(live: DataFrame, similarity: float):
+    """Of the texts (th, comp, set) still in question: a function of sets to how many shingles other components may hold
+    too and must hold at least, and one to the shingles that a similar text must share one of, with their places.
+
+    Shingles that several components hold are counted in SLOTS slots by their low bits, a table of bounded size. A
+    shingle that shares another's slot counts as held too, so too many are kept and none is missed.
     """
-    from pyspark.sql import Window
+    rows = live.select("comp", F.explode("set").alias("key"))
+    held = rows.groupBy("key").agg(F.count("*").alias("d"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    table = held.groupBy(F.col("key").bitwiseAND(F.lit(SLOTS - 1).cast("long")).alias("slot")).agg(F.sum("d").alias("d")).toPandas().sort_values("slot")
+    sizes = live.select(F.size("set").alias("n")).selectExpr("n", "greatest(0, length(bin(n)) - 10) AS cut").selectExpr("shiftleft(shiftright(n, cut), cut) AS n").distinct()
+    sizes = np.unique(_coarse(np.array([r.n for r in sizes.collect()], np.int64)))
+    sent = live.sparkSession.sparkContext.broadcast((np.append(table["slot"].to_numpy(np.int64), SLOTS), np.append(table["d"].to_numpy(np.int64), 0), sizes))
+
+    def often(keys: np.ndarray) -> np.ndarray:
+        slots, d, _ = sent.value
+        at = np.searchsorted(slots, keys & (SLOTS - 1))
+        return np.where(slots[at] == keys & (SLOTS - 1), d[at], 0)
+
+    def least(n: int) -> float:
+        """What a text of n shingles shares at least with a similar text of any size that there is."""
+        low = int(np.ceil(similarity * n - 1e-6))
+        known = sent.value[2]
+        at = min(np.searchsorted(known, _coarse(np.int64(low))), len(known) - 1)
+        return similarity / (1 + similarity) * (n + max(low, int(known[at]))) - 1e-6
+
+    @F.pandas_udf("c int, need double")
+    def counts(sets: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(int(np.count_nonzero(often(s))), least(len(s))) for s in sets], columns=["c", "need"])
+
+    @F.pandas_udf("array<struct<key:long,i:int,c:int>>")
+    def places(sets: pd.Series) -> pd.Series:
+        def rows(s):
+            d = often(s)
+            keys, d, n, c = s[d > 0], d[d > 0], len(s), int(np.count_nonzero(d))
+            keys = keys[np.lexsort((keys, d))][: max(0, c - int(np.ceil(similarity * n - 1e-6)) + 1)]
+            return [{"key": int(k), "i": n - c + 1 + at, "c": c} for at, k in enumerate(keys)]
+
+        return pd.Series([rows(s) for s in sets])
+
+    return counts, places
 
-    held = sets.join(common.spread(texts), "th").select("th", "comp", F.size("set").alias("n"), F.explode("set").alias("key"))
-    held = common.save(held, "similar-shingles")
-    often = common.save(held.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"), "similar-often")
-    ranked = held.join(common.spread(often), "key", "left").withColumn("i", F.row_number().over(Window.partitionBy("th").orderBy(F.col("d").asc_nulls_first(), "key")))
-    most = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-6)) + 1
-    return ranked.where((F.col("i") <= most) & F.col("d").isNotNull()).select("key", "th", "comp", "n", "i")
+
+def _rarest(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, th, comp, n, c, i): the shingles, rarest first and i-th of n, that two texts (th, comp) must share one of.
+
+    Sets with a similarity of s share s / (1 + s) of their sizes' sum, so at least s of each. Shingles that no other
+    component holds come first and give no row; c are left. A text with too few left for any size of partner goes, and
+    what it held is counted anew, as long as that removes a tenth of the texts.
+    """
+    live, left = common.save(sets.join(common.spread(texts), "th").select("th", "comp", "set"), "similar-live"), None
+    while True:
+        counts, places = _shared(live, similarity)
+        stay = common.save(live.withColumn("s", counts("set")).where("s.c >= s.need").select("th", "comp", "set"), "similar-live")
+        were, left = live.count() if left is None else left, stay.count()
+        live = stay
+        if left == 0 or left > 0.9 * were:
+            break
+    ranked = live.select("th", "comp", F.size("set").alias("n"), F.explode(places("set")).alias("p"))
+    return ranked.select("p.key", "th", "comp", "n", "p.c", "p.i")
 
 
 def _close(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of rows (key, th, comp, n, i) of _rarest() that may be as similar as asked.
+    """Pairs of rows (key, th, comp, n, c, i) of _rarest() that may be as similar as asked.
 
-    What two texts share up to their last common key is counted; beyond it they share at most what the shorter has left.
+    Such texts share `need` shingles: each has as many that other components hold, and the first in common is early
+    enough in both to leave as many. What two texts share up to their last common key is counted; beyond it they share
+    at most what the shorter has left.
     """
     a, b = rows.alias("a"), rows.alias("b")
-    sizes = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - F.lit(1e-6)
-    met = a.join(common.spread(b), [F.col("a.key") == F.col("b.key"), F.col("a.th") < F.col("b.th"), F.col("a.comp") != F.col("b.comp"), sizes])
+    need = F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
+    early = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) + 1 >= need
+    met = a.join(common.spread(b), [F.col("a.key") == F.col("b.key"), F.col("a.th") < F.col("b.th"), F.col("a.comp") != F.col("b.comp"), F.least("a.c", "b.c") >= need, early])
     met = met.groupBy(F.col("a.th").alias("ta"), F.col("b.th").alias("tb"), F.col("a.comp").alias("u"), F.col("b.comp").alias("v"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
     met = met.agg(F.count("*").alias("c"), F.max("a.i").alias("ia"), F.max("b.i").alias("ib"))
     most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
@@ -290,12 +353,12 @@ def resemble(texts: DataFrame, keyed: DataFrame, roots: DataFrame, similarity: f
     rest = moved(crowded)
     if rest.isEmpty():
         return top
-    keys = moved(common.save(_rarest(rest.select("th", "comp").distinct(), sets, similarity), "similar-rarest"))
+    keys = common.save(_open(common.save(_rarest(rest.select("th", "comp").distinct(), sets, similarity), "similar-rarest")), "similar-members")
     for seed in range(LEADERS):  # merges most of what a frequent shingle holds; the rest meets in pairs
-        sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
-        often = common.save(keys.join(common.spread(sizes), "key", "left_semi"), "similar-crowded")
-        if often.isEmpty():
+        sizes = common.save(keys.groupBy("key").agg(F.count("*").alias("n")), "similar-sizes")
+        if (sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0) <= MANY_PAIRS:
             break
+        often = common.save(keys.join(common.spread(sizes.where(F.col("n") > CROWD).select("key")), "key", "left_semi"), "similar-crowded")
         links = common.save(links.unionByName(_alike(_led(often, common.save(drawn(often, seed), "similar-leads")), sets, similarity)), "similar-links")
         top = merged()
         keys = moved(keys)
@@ -313,28 +376,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
     """
     made = [simhash(F.col(text)).alias("fp")] if similarity is None else [signed(F.col(text)).alias("s")]
     keyed = docs.select(F.col(id_).alias("doc_id"), F.xxhash64(text).alias("th"), *made)
-    keyed = common.save(keyed if similarity is None else keyed.select("doc_id", "th", "s.fp", "s.bands"), "simhash")
-    least = common.save(keyed.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
-    roots = common.save(link(least), "simhash-roots")
-    if similarity is not None:
-        tops = resemble(docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")), keyed, roots, similarity)
-        roots = roots.join(common.spread(tops), roots["root"] == tops["node"], "left").select("fp", F.coalesce("top", "root").alias("root"))
-        roots = common.save(roots, "simhash-tops")
-    rooted = least.join(common.spread(roots), "fp")
-    # Saved before the join: a component of a third of all texts is then split over tasks.
-    lows = common.save(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
-    table = common.save(rooted.join(common.spread(lows), "root").select("fp", "root", "component_id"), "simhash-table")
+    with common.scope() as keep:
+        keyed = keep(common.save(keyed if similarity is None else keyed.select("doc_id", "th", "s.fp", "s.bands"), "simhash"))
+        least = common.save(keyed.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
+        roots = common.save(link(least), "simhash-roots")
+        if similarity is not None:
+            tops = resemble(docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")), keyed, roots, similarity)
+            roots = roots.join(common.spread(tops), roots["root"] == tops["node"], "left").select("fp", F.coalesce("top", "root").alias("root"))
+            roots = common.save(roots, "simhash-tops")
+        rooted = least.join(common.spread(roots), "fp")
+        # Saved before the join: a component of a third of all texts is then split over tasks.
+        lows = common.save(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
+        table = keep(common.save(rooted.join(common.spread(lows), "root").select("fp", "root", "component_id"), "simhash-table"))
     return keyed.join(common.spread(table), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float | None = SIMILAR) -> DataFrame:
     """docs with one row of each component: its smallest doc_id (then smallest text hash); all columns kept."""
-    found = common.save(near_duplicates(docs, similarity=similarity), "simhash-found")
-    rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
-    rows = common.save(rows, "simhash-rows")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))
-    kept = first.select(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"), F.lit(True).alias("keep"))
-    judged = common.save(rows.join(common.spread(kept), rows.doc_id.eqNullSafe(kept.doc_id) & (rows.th == kept.th), "left").select(rows.doc_id, rows.th, "n", F.coalesce("keep", F.lit(False)).alias("keep")), "simhash-judged")
+    with common.scope() as keep:
+        found = common.save(near_duplicates(docs, similarity=similarity), "simhash-found")
+        rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+        rows = common.save(rows, "simhash-rows")
+        first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))
+        kept = first.select(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"), F.lit(True).alias("keep"))
+        judged = keep(common.save(rows.join(common.spread(kept), rows.doc_id.eqNullSafe(kept.doc_id) & (rows.th == kept.th), "left").select(rows.doc_id, rows.th, "n", F.coalesce("keep", F.lit(False)).alias("keep")), "simhash-judged"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), F.xxhash64("text").alias("th"))
 
     def on(which: DataFrame):

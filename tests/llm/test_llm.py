@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import zlib
@@ -209,6 +210,57 @@ def test_similar_texts_of_one_large_band_are_all_linked(spark, monkeypatch, crow
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 42 < len(want) < 122
 
 
+def made_by_joins(df):
+    """Rows that the joins of df's plan made, as it ran."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.finalPhysicalPlan())
+        below = [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return sum(map(walk, below)) + (node.metrics().apply("numOutputRows").value() if "Join" in kind else 0)
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_rare_shingles_pair_few_texts_of_a_large_group(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(150)]
+    texts = []
+    for i in range(300):  # copies of one text with one to eight words changed
+        words = base[:]
+        for at in rng.sample(range(150), 1 + i % 8):
+            words[at] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    near = {(a, b) for b in range(300) for a in range(b) if similarity_of(texts[a], texts[b]) >= 0.8}
+    first = {a: a if 1 + a % 8 > 2 else 0 for a in range(300)}  # those with one or two changes are one component
+    frame = spark.createDataFrame([(i, first[i], t) for i, t in enumerate(texts)], "th long, comp long, text string")
+    sets = common.save(frame.select("th", simhash.shingle_set("text").alias("set")), "sets")
+    rows = common.save(simhash._rarest(frame.select("th", "comp"), sets, 0.8), "rarest")
+    pairs = simhash._close(rows, 0.8)
+    found = {(r.ta, r.tb) for r in pairs.collect()}
+    apart = {(a, b) for a, b in near if first[a] != first[b]}
+    assert apart and apart <= found and made_by_joins(pairs) < 40 * len(apart)
+
+
+def test_small_components_need_no_rounds_and_dedup_leaves_one_table(spark, rows, monkeypatch):
+    saved, save = [], common.save
+
+    def noted(df, label, *args):
+        saved.append((label, out := save(df, label, *args)))
+        return out
+
+    monkeypatch.setattr(common, "save", noted)
+    edges = [(i, i + 1) for i in range(3000)] + [(-5, -9), (-9, 7000), (1 << 62, 7)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(3001)}, -5: -9, -9: -9, 7000: -9, 1 << 62: 0} and [x for x, _ in saved] == ["cc"]
+    saved.clear()
+    assert simhash.deduplicate(docs_of(spark, rows)).count() > 0
+    there = [label for label, df in saved if os.path.exists(df._scratch_path.removeprefix("file:"))]
+    assert there == ["simhash-judged"] and len(saved) > 9
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 301)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
