@@ -268,17 +268,11 @@ def _rarest(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(key, th, comp, n, c, i): the shingles, rarest first and i-th of n, that two texts (th, comp) must share one of.
 
     Sets with a similarity of s share s / (1 + s) of their sizes' sum, so at least s of each. Shingles that no other
-    component holds come first and give no row; c are left. A text with too few left for any size of partner goes, and
-    what it held is counted anew, as long as that removes a tenth of the texts.
+    component holds come first and give no row; c are left. A text with too few left for any size of partner goes.
     """
-    live, left = common.save(sets.join(common.spread(texts), "th").select("th", "comp", "set"), "similar-live"), None
-    while True:
-        counts, places = _shared(live, similarity)
-        stay = common.save(live.withColumn("s", counts("set")).where("s.c >= s.need").select("th", "comp", "set"), "similar-live")
-        were, left = live.count() if left is None else left, stay.count()
-        live = stay
-        if left == 0 or left > 0.9 * were:
-            break
+    live = common.save(sets.join(common.spread(texts), "th").select("th", "comp", "set"), "similar-live")
+    counts, places = _shared(live, similarity)
+    live = live.withColumn("s", counts("set")).where("s.c >= s.need")
     ranked = live.select("th", "comp", F.size("set").alias("n"), F.explode(places("set")).alias("p"))
     return ranked.select("p.key", "th", "comp", "n", "p.c", "p.i")
 
