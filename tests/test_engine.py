@@ -136,6 +136,51 @@ def test_a_merge_costs_the_neighbours_of_one_side(monkeypatch):
     assert calls["n"] < 10 * len(edges)
 
 
+def test_a_merge_enters_only_pairs_whose_weight_it_changed_and_keeps_few_objects(monkeypatch):
+    import heapq
+    import tracemalloc
+
+    from sparkloom.operators import communities
+
+    # Orders of a few parts, in a graph of 60 times this weight, so that one community takes in nearly all.
+    rng, calls = random.Random(5), Counter()
+    pairs = {(f"o{o:05}", f"p{p:04}") for o in range(6000) for p in rng.sample(range(800), 4)}
+    edges = [(o, p, float(rng.choice([500_000, 950_000, 1_000_000]))) for o, p in sorted(pairs)]
+    total = 60 * sum(w for *_, w in edges)
+    for name in ("heappush", "heapreplace"):
+        monkeypatch.setattr(heapq, name, lambda *x, f=getattr(heapq, name): (calls.update(["n"]), f(*x))[1])
+    found = communities.merge_greedily(edges, total)
+    assert len(found) == 6800 and calls["n"] < 2 * len(edges)
+    tracemalloc.start()
+    communities.merge_greedily(edges, total)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * len(edges)
+
+
+def test_greedy_merging_around_nodes_with_many_neighbours():
+    from sparkloom.operators import communities
+
+    # All leaves weigh the same: the smallest names join the two centres first, until none gains.
+    rng = random.Random(2)
+    edges = [(c, f"n{i:03}", 1.0) for i in range(120) for c in rng.sample(["a", "b"], rng.randint(1, 2))]
+    total, near = sum(w for *_, w in edges), Counter(x for e in edges for x in e[:2])
+    found = communities.merge_greedily(edges, total)
+    both = {x for x in near if x > "c" and near[x] == 2}
+    assert set(found.values()) == {"a", "b"} and found["a"] == "a" and found["b"] == "b"
+    assert all(found[v] == u for u, v, _ in edges if v not in both)
+
+
+def test_components_by_contraction(spark):
+    from sparkloom.operators import communities
+
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100 + (i * 7 + 3) % 50) for i in range(50)] + [(200, 205), (203, 205), (203, 204)]
+    edges = spark.createDataFrame([(min(e), max(e)) for e in chain if e[0] != e[1]], "u long, v long").distinct()
+    got = {r.n: r.component for r in communities.components(edges).collect()}
+    want = {r.id: r.component for r in graph.connected(edges).collect()}
+    assert got == {n: c for n, c in want.items() if n != c} and len(got) > 60
+
+
 def test_search_scores(spark):
     rows = [("get_entity", "FUNCTION"), ("get_entity_[800748]", "FUNCTION"), ("get_entity_page", "FUNCTION"), ("the_get_entity_fn", "FUNCTION"), ("get_entity", "COMMENT_BLOCK"), ("get_entity", "EXTERNAL_SYMBOL"), ("get_entity", "MODULE")]
     e = spark.createDataFrame([(n, k, f"id{i}", "src/x.py", i, False, None, None) for i, (n, k) in enumerate(rows)], "name string, entity_type string, entity_id string, file_path string, start_line int, is_exported boolean, fqn string, metadata_json string")
