@@ -260,6 +260,86 @@ def test_communities_of_two_cliques(spark):
     assert profile[got["b1"]] == (6, 1)
 
 
+def plain_communities(rels, entities, smallest=3, share=0.25):
+    """The whole method on one machine; of equal choices the smallest names."""
+    from sparkloom.operators import communities
+
+    file = {i: f for i, f, kind, meta in entities if not i.startswith("unresolved:") and kind != "EXTERNAL_SYMBOL" and "true" not in (meta or "")}
+    near = {}
+    for u, v, kind, conf in rels:
+        w = communities.WEIGHTS[kind] * (1 if conf is None else conf)
+        if u != v and w > 0 and u in file and v in file:
+            near.setdefault(u, Counter())[v] += w
+            near.setdefault(v, Counter())[u] += w
+    deg = sorted(map(len, near.values()))
+    hub = {x for x in near if len(near[x]) > deg[min(len(deg) - 1, int(0.99 * len(deg)))]}
+    rest = sorted(set(near) - hub)
+    most = max(1, int(share * len(rest)))
+
+    def split(nodes, depth):
+        if depth and (len(nodes) <= most or depth > 2):
+            return [nodes]
+        edges = [(u, v, w) for u in nodes for v, w in near[u].items() if v in nodes and u < v]
+        found = communities.merge_greedily(edges, sum(e[2] for e in edges)) if edges else {}
+        parts = {}
+        for x in nodes:
+            parts.setdefault(found.get(x, x), set()).add(x)
+        if depth and len(parts) == 1:
+            return [nodes]
+        return [y for x in sorted(parts.values(), key=lambda x: (-len(x), min(x))) for y in split(x, depth + 1)]
+
+    parts = split(set(rest), 0)
+    small = sorted((x for x in parts if len(x) < smallest), key=len)
+    sets, alone = [x for x in parts if len(x) >= smallest], []
+    names, of = [min(x) for x in sets], {n: i for i, x in enumerate(sets) for n in x}
+    for x in small:
+        pull = Counter()
+        for n in x:
+            for m, w in near[n].items():
+                if m in of:
+                    pull[of[m]] += w
+        if pull:
+            of |= dict.fromkeys(x, max(pull, key=lambda i: (round(pull[i], 6), -i)))
+        else:
+            alone.append(x)
+    for x in alone:
+        of |= dict.fromkeys(x, len(names))
+        names.append(min(x))
+    for x in sorted(set(file) - set(near)):
+        for key in (lambda f: f, lambda f: f.rsplit("/", 1)[0]):
+            votes = Counter(of[y] for y in file if y in of and file[x] and file[y] and key(file[y]) == key(file[x]))
+            if votes:
+                of[x] = max(votes, key=lambda i: (votes[i], -i))
+                break
+    for x in sorted(hub):
+        if best := [(-round(w, 6), y) for y, w in near[x].items() if y in of]:
+            of[x] = of[min(best)[1]]
+    return {x: names[i] for x, i in of.items()}, hub
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_communities_are_those_of_the_whole_method(spark, seed):
+    from sparkloom.operators import communities
+
+    rng = random.Random(seed)
+    ids = [f"{k}{i:03}" for k in "mx" for i in range(110)]
+    group = {x: rng.randrange(12) for x in ids}
+    rels = [(*rng.sample([y for y in ids if group[y] == g], 2), rng.choice(["CALLS", "READS", "IMPORTS", "CONTAINS"]), rng.choice([None, 0.5, 0.25, 0.0])) for _ in range(300) for g in [rng.randrange(12)]]
+    rels += [(*rng.sample(ids, 2), "READS", 0.5) for _ in range(25)] + [("h2", x, "READS", 0.25) for x in rng.sample(ids, 60)] + [("h1", x, "CALLS", 0.25) for x in rng.sample(ids, 50)] + [("h3", "h1", "CALLS", None), ("h1", "h2", "CALLS", None)]
+    rels += [("h3", f"z{i:02}", "READS", 0.25) for i in range(40)] + [("unresolved:q", x, "CALLS", None) for x in ids[:90]] + [("bad", x, "CALLS", None) for x in ids[:80]] + [("ext", x, "CALLS", None) for x in ids[:80]]
+    rels += [("p1", "p2", "READS", 0.5), ("p1", ids[0], "READS", 0.25), ("s1", "s2", "CALLS", None)]
+    files = [f"d{g % 5}/f{g}.py" for g in range(12)]
+    entities = [(x, files[group[x]], "CLASS", None) for x in ids] + [(x, "e/p.py", "CLASS", None) for x in ("p1", "p2", "s1", "s2", "h1", "h2", "h3")] + [(f"z{i:02}", "z.py", "CLASS", None) for i in range(40)]
+    entities += [(f"i{i:03}", rng.choice([*files, *(f"d{g}/new{n}.py" for g in range(5) for n in range(4)), "alone/a.py", "z.py", "", None]), "CLASS", None) for i in range(160)]
+    entities += [("bad", files[0], "CLASS", '{"bsg.noise":true}'), ("ext", files[0], "EXTERNAL_SYMBOL", None), ("unresolved:q", files[0], "CLASS", None)]
+    frame = spark.createDataFrame(rels, "source_id string, target_id string, relation_type string, confidence float")
+    e = spark.createDataFrame(entities, "id string, file_path string, entity_type string, metadata_json string")
+    want, hub = plain_communities(rels, entities)
+    assert hub >= {"h1", "h2"} and {"i", "h", "z"} <= {x[0] for x in want} and want["s1"] == want["s2"] == "s1" and want["p1"] == want["p2"] != "p1"
+    rows = communities.detect(frame, entities=e).collect()
+    assert {r.id: r.community for r in rows} == want and len(rows) == len(want)
+
+
 def test_term_labels(spark):
     from sparkloom.operators import communities
 
