@@ -340,6 +340,19 @@ def test_communities_are_those_of_the_whole_method(spark, seed):
     assert {r.id: r.community for r in rows} == want and len(rows) == len(want)
 
 
+def test_communities_of_odd_inputs(spark):
+    from sparkloom.operators import communities
+
+    edges, kinds = "source_id string, target_id string, relation_type string, confidence float", "id string, file_path string, entity_type string, metadata_json string"
+    e = spark.createDataFrame([("a", "x/f", "CLASS", None), ("b", "x/f", "CLASS", None), ("c", None, None, None)], kinds)
+    assert communities.detect(spark.createDataFrame([], edges), entities=e).collect() == []
+    one = spark.createDataFrame([("a", "c", "CALLS", None), ("a", "c", "CALLS", 0.0), (None, "c", "CALLS", 1.0), ("a", "gone", "CALLS", 1.0), ("a", "b", "OTHER", 1.0)], edges)
+    assert sorted(map(tuple, communities.detect(one, entities=e).collect())) == [("a", "a"), ("b", "a"), ("c", "a")]
+    star = spark.createDataFrame([("h", f"l{i:03}", "CALLS", None) for i in range(150)], edges)
+    got = dict(map(tuple, communities.detect(star).collect()))
+    assert len(got) == 151 and got["h"] == "l000" and all(got[x] == x for x in got if x != "h")
+
+
 def test_term_labels(spark):
     from sparkloom.operators import communities
 
